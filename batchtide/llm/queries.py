@@ -4,10 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, tokenfiles
+from . import bytebpe, decontaminate, licenses, tokenfiles
 from .shared import documents
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(documents(spark, sf_dir))
+
+
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digests(documents(spark, sf_dir))
 
@@ -16,5 +20,9 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op2_byte_bpe, op3_token_files)}
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.report(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_token_files, op6_decontamination)}
 ORACLES: dict[str, str] = {}
