@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, decontaminate, licenses, tokenfiles
+from . import bytebpe, decontaminate, licenses, substrings, tokenfiles
 from .shared import documents
 
 
@@ -20,9 +20,13 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(documents(spark, sf_dir))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substrings.deduplicate(documents(spark, sf_dir))
+
+
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_token_files, op6_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_token_files, op5_substring_dedup, op6_decontamination)}
 ORACLES: dict[str, str] = {}

@@ -46,3 +46,18 @@ def decontaminate(texts, items, n=10):
                     ids |= got
         out.append((len(w), len(hit), len(ids), sha(",".join(sorted(ids))), bool(hit)))
     return out
+
+
+def substrings(texts, n=35):
+    from collections import Counter
+
+    ws = [BLANK.findall(t or "") for t in texts]
+    count = Counter(tuple(w[i : i + n]) for w in ws for i in range(len(w) - n + 1))
+    out = []
+    for w in ws:
+        gone = set()
+        for i in range(len(w) - n + 1):
+            if count[tuple(w[i : i + n])] > 1:
+                gone.update(range(i, i + n))
+        out.append((len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
+    return out
