@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, decontaminate, licenses, substrings, tokenfiles
+from . import bytebpe, decontaminate, licenses, pii, quality, substrings, tokenfiles
 from .shared import documents
 
 
@@ -20,6 +20,10 @@ def op3_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokenfiles.round_trip(documents(spark, sf_dir))
 
 
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(documents(spark, sf_dir))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.deduplicate(documents(spark, sf_dir))
 
@@ -28,5 +32,9 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(documents(spark, sf_dir), documents(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_token_files, op5_substring_dedup, op6_decontamination)}
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_token_files, op4_pii, op5_substring_dedup, op6_decontamination, op7_quality_rules)}
 ORACLES: dict[str, str] = {}

@@ -61,3 +61,53 @@ def substrings(texts, n=35):
                 gone.update(range(i, i + n))
         out.append((len(w), len(gone), sha(" ".join(x for i, x in enumerate(w) if i not in gone))))
     return out
+
+
+PII = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+"),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"),
+    ("card", r"[0-9]([\x20-]?[0-9])+"),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]"),
+)
+
+
+def luhn(d):
+    s = 0
+    for i, c in enumerate(reversed(d)):
+        v = int(c) * (1 + i % 2)
+        s += v - 9 * (v > 9)
+    return s % 10 == 0
+
+
+def pii(text):
+    out = []
+    for kind, p in PII:
+        for m in re.finditer(p, text or ""):
+            d = re.sub("[^0-9]", "", m[0])
+            if kind == "ip" and any(int(x) > 255 for x in m[0].split(".")):
+                continue
+            if kind == "card" and not (13 <= len(d) <= 19 and luhn(d)):
+                continue
+            if kind == "phone" and not 9 <= len(d) <= 15:
+                continue
+            out.append((kind, m.start(), m.end()))
+    return out
+
+
+def quality(text):
+    t = text or ""
+    w = BLANK.findall(t)
+    lines = [x for x in t.split("\n") if BLANK.search(x)]
+    seen, dup = set(), 0
+    for x in lines:
+        dup += x in seen
+        seen.add(x)
+    from collections import Counter
+
+    tri = Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+    rep = set()
+    for i in range(len(w) - 2):
+        if tri[tuple(w[i : i + 3])] > 1:
+            rep.update((i, i + 1, i + 2))
+    failed = len(w) < 50 or 100 * len(rep) > 50 * len(w)
+    return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(rep), failed
