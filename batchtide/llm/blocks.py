@@ -109,12 +109,12 @@ def answers(
     held: DataFrame,
     buckets: int,
     ask: Callable[[list, list[bytes]], tuple[np.ndarray, np.ndarray | None]],
-    answer: Callable[[list[np.ndarray], list[np.ndarray]], list[bytes]],
+    answer: Callable[[list[np.ndarray], list[np.ndarray]], tuple[list[bytes], tuple[int, int]]],
 ) -> DataFrame:
-    """Rows (block, part, data): the answer to each slice of each block.
+    """Rows (block, part, data, x, y): the answer to each slice of each block, and two figures of each part in one of its rows.
 
     ask: the sorted distinct keys of a block's documents (keys, texts), and numbers that go with them or None.
-    answer: from the slices of all blocks and their numbers to an answer for each.
+    answer: from the slices of all blocks and their numbers to an answer for each and the part's two figures.
     """
 
     def out(batch):
@@ -137,8 +137,8 @@ def answers(
         now, rows = None, []
 
         def put():
-            got = answer([unpack_sorted(k) for _, k, _ in rows], [np.frombuffer(n or b"", "<u4") for _, _, n in rows])
-            return pa.RecordBatch.from_pydict({"block": pa.array([b for b, _, _ in rows], pa.int64()), "part": pa.array([now] * len(rows), pa.int32()), "data": pa.array(got, pa.binary())})
+            got, (x, y) = answer([unpack_sorted(k) for _, k, _ in rows], [np.frombuffer(n or b"", "<u4") for _, _, n in rows])
+            return pa.RecordBatch.from_pydict({"block": pa.array([b for b, _, _ in rows], pa.int64()), "part": pa.array([now] * len(rows), pa.int32()), "data": pa.array(got, pa.binary()), "x": pa.array([x] + [0] * (len(got) - 1), pa.int64()), "y": pa.array([y] + [0] * (len(got) - 1), pa.int64())})
 
         for batch in batches:
             for bucket, block, k, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "keys", "numbers")), strict=True):
@@ -150,12 +150,12 @@ def answers(
         if rows:
             yield put()
 
-    return asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(work, "block long, part int, data binary")
+    return asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(work, "block long, part int, data binary, x long, y long")
 
 
 def with_answers(held: DataFrame, answered: DataFrame, use: Callable[[list, list[bytes], Iterator[bytes]], Iterator[dict]], schema: str) -> DataFrame:
     """use: from a block's documents and its answers, in the order of its keys, to columns of rows."""
-    both = held.select("block", F.lit(-1).alias("part"), "data").unionByName(answered)
+    both = held.select("block", F.lit(-1).alias("part"), "data").unionByName(answered.select("block", "part", "data"))
     want = shared.arrow_schema(held.sparkSession, schema)
 
     def work(batches):

@@ -48,7 +48,7 @@ def _distinct(h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return h[at], np.diff(np.append(at, len(h))) > 1
 
 
-def _twice(slices: list[np.ndarray], _) -> list[bytes]:
+def _twice(slices: list[np.ndarray], _):
     every = np.sort(np.concatenate(slices))
     known, more = _distinct(every)
     known = known[more]
@@ -57,7 +57,7 @@ def _twice(slices: list[np.ndarray], _) -> list[bytes]:
         at = np.searchsorted(known, s)
         hit = known[np.minimum(at, len(known) - 1)] == s if len(known) else np.zeros(len(s), bool)
         out.append(len(s).to_bytes(4, "little") + np.packbits(hit).tobytes())
-    return out
+    return out, (len(known), 0)
 
 
 def factors(w: Words, known: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:

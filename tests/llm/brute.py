@@ -111,3 +111,15 @@ def quality(text):
             rep.update((i, i + 1, i + 2))
     failed = len(w) < 50 or 100 * len(rep) > 50 * len(w)
     return len(w), sum(map(len, w)), sum(c in "#*$%&|<>" for c in t), dup, len(rep), failed
+
+
+def unigrams(rows):
+    import zlib
+    from collections import Counter
+    from math import log10
+
+    toks = [BLANK.findall(low(t)) + [None] for _, t in rows]
+    out_ = [zlib.crc32(str(i).encode()) % 5 == 1 for i, _ in rows]
+    c = Counter(x for t, h in zip(toks, out_, strict=True) if not h for x in t)
+    n, v = sum(c.values()), len(c)
+    return [(h, len(t), sum(c[x] > 0 for x in t), n, sum(log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t)) for t, h in zip(toks, out_, strict=True)]
