@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bytebpe, decontaminate, licenses, pii, quality, substrings, suffixlm, tokenfiles
+from . import bytebpe, decontaminate, licenses, neardup, pii, quality, substrings, suffixlm, tokenfiles
 from .shared import documents
 
 
@@ -40,5 +40,9 @@ def op9_suffix_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffixlm.score(documents(spark, sf_dir))
 
 
-QUERIES = {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_token_files, op4_pii, op5_substring_dedup, op6_decontamination, op7_quality_rules, op9_suffix_lm)}
+def op10_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.report(documents(spark, sf_dir))
+
+
+QUERIES = {f.__name__: f for f in (op1_license_scan, op2_byte_bpe, op3_token_files, op4_pii, op5_substring_dedup, op6_decontamination, op7_quality_rules, op9_suffix_lm, op10_minhash_neardup)}
 ORACLES: dict[str, str] = {}

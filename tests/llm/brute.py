@@ -123,3 +123,37 @@ def unigrams(rows):
     c = Counter(x for t, h in zip(toks, out_, strict=True) if not h for x in t)
     n, v = sum(c.values()), len(c)
     return [(h, len(t), sum(c[x] > 0 for x in t), n, sum(log10((c[x] + 0.5) / (n + 0.5 * (v + 1))) for x in t)) for t, h in zip(toks, out_, strict=True)]
+
+
+def near(rows, k=3, percent=85):
+    """(n, component id) of (id, text) rows, all pairs compared."""
+    from collections import defaultdict
+
+    sets = []
+    for _, t in rows:
+        w = BLANK.findall(low(t))
+        sets.append({tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set())
+    at = defaultdict(list)
+    for i, s in enumerate(sets):
+        for x in s:
+            at[x].append(i)
+    both = defaultdict(int)
+    for v in at.values():
+        for i, a in enumerate(v):
+            for b in v[i + 1 :]:
+                both[a, b] += 1
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for (a, b), n in both.items():
+        if 100 * n >= percent * (len(sets[a]) + len(sets[b]) - n):
+            root[max(find(a), find(b))] = min(find(a), find(b))
+    least = {}
+    for i, (d, _) in enumerate(rows):
+        least[find(i)] = min(d, least.get(find(i), d))
+    return [(len(s), least[find(i)]) for i, s in enumerate(sets)]
