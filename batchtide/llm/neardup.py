@@ -87,8 +87,8 @@ def _tree_order() -> list[list[int]]:
 
 
 def scan(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """A written table: uid, doc_id, node (hash of the set, null if empty), n, signature, packed text."""
-    schema = "uid long, doc_id long, node binary, n long, signature binary, packed binary"
+    """A written table: uid, doc_id, node (hash of the set, null if empty), n, signature, packed text, hash of the text."""
+    schema = "uid long, doc_id long, node binary, n long, signature binary, packed binary, said binary"
     want = shared.arrow_schema(docs.sparkSession, schema)
 
     def run(batches):
@@ -114,6 +114,7 @@ def scan(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> Da
                         "n": [len(s) for s in sets],
                         "signature": sig,
                         "packed": [press.compress(t) for t in texts[lo:hi]],
+                        "said": [hashlib.md5(t).digest() for t in texts[lo:hi]],
                     },
                     schema=want,
                 )
@@ -311,7 +312,7 @@ def open_pairs(made: DataFrame, found: DataFrame) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """uid (row number), doc_id, n_shingles, component_id, kept of every row."""
+    """uid (row number), doc_id, said (md5 of the text), n_shingles, component_id, kept of every row."""
     scanned = scan(docs, k, key, text)
     first = shared.written(scanned.where("node is not null").groupBy("node").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("doc_id")), "sets")
     nodes = shared.written(scanned.select("uid", "n", "signature").join(first.select(F.col("rep").alias("uid")), "uid", "left_semi"), "nodes")
@@ -325,11 +326,26 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, key: str = "
     rooted = shared.written(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     of_node = shared.written(rooted.join(least, "root").select("node", "component_id"), "components")
-    rows = scanned.select("uid", "doc_id", "node", F.col("n").alias("n_shingles"))
-    linked = rows.where("node is not null").join(of_node, "node").select("uid", "doc_id", "n_shingles", "component_id")
-    alone = rows.where("node is null").select("uid", "doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
+    rows = scanned.select("uid", "doc_id", "said", "node", F.col("n").alias("n_shingles"))
+    linked = rows.where("node is not null").join(of_node, "node").select("uid", "doc_id", "said", "n_shingles", "component_id")
+    alone = rows.where("node is null").select("uid", "doc_id", "said", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionByName(alone).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def report(docs: DataFrame, k: int = 3, percent: int = 85, **names) -> DataFrame:
-    return near_duplicates(docs, k, percent, **names).drop("uid")
+    return near_duplicates(docs, k, percent, **names).drop("uid", "said")
+
+
+def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of docs that are kept, with all their columns; of repeated rows one is.
+
+    A row is told by its id and its text, so that the rows needn't be carried
+    through the search.
+    """
+    kept = near_duplicates(docs, k, percent, key, text).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("said").alias("_said")).agg(F.count(F.lit(1)).alias("_n"))
+    kept = shared.written(kept, "kept")
+    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").cast("long").alias("id"), F.unhex(F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"))).alias("said"))
+    rows = held.join(kept, F.col("said").eqNullSafe(F.col("_said")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    if not kept.where("_n > 1").isEmpty():
+        rows = rows.dropDuplicates(["id", "said"])
+    return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -160,15 +160,22 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     )
 
 
+def _replaced(kind: str, t: Column) -> Column:
+    tag, pattern = F.lit(f"<{kind.upper()}>"), PATTERNS[kind]
+
+    def joined(gaps, found):
+        put = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.concat(g, F.when(_valid(kind, m), tag).otherwise(m)))
+        return F.concat(F.array_join(put, ""), F.element_at(gaps, -1))
+
+    full = let(F.split(t, pattern, -1), lambda gaps: let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda found: joined(gaps, found)))
+    return F.when(_possible(kind, t), full).otherwise(t)
+
+
 def redact(text: Column) -> Column:
     """The text with confirmed spans replaced by <KIND>, kind by kind; null stays null."""
-    out = text
-    for kind, pattern in PATTERNS.items():
-        tag = F.lit(f"<{kind.upper()}>")
 
-        def joined(gaps, found, kind=kind, tag=tag):
-            put = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.concat(g, F.when(_valid(kind, m), tag).otherwise(m)))
-            return F.concat(F.array_join(put, ""), F.element_at(gaps, -1))
+    def from_kind(i: int, t: Column) -> Column:
+        kinds = list(PATTERNS)
+        return t if i == len(kinds) else let(_replaced(kinds[i], t), lambda u: from_kind(i + 1, u))
 
-        out = let(out, lambda t, p=pattern, kind=kind, joined=joined: F.when(_possible(kind, t), let(F.split(t, p, -1), lambda g: let(F.regexp_extract_all(t, F.lit(p), F.lit(0)), lambda f: joined(g, f)))).otherwise(t))
-    return out
+    return from_kind(0, text)
