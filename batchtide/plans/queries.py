@@ -285,7 +285,7 @@ def fba_fills(spark, sf):
     return side("buy_order_id", False).unionByName(side("sell_order_id", True)).groupBy("is_ask", "oid").agg(F.sum("quantity").alias("filled"))
 
 
-_CDA = f"""WITH RECURSIVE {FLOW_SQL}, ev AS (SELECT row_number() OVER (ORDER BY seq) AS i, oid, ts, is_ask, status_id = 1 AS live, status_id = 2 AS gone, CASE WHEN order_type_id = 0 THEN limit_px END AS px, orig_sz AS q FROM flow WHERE status_id IN (1, 2)),
+_CDA = f"""WITH RECURSIVE {FLOW_SQL}, ev AS MATERIALIZED (SELECT row_number() OVER (ORDER BY seq) AS i, oid, ts, is_ask, status_id = 1 AS live, status_id = 2 AS gone, CASE WHEN order_type_id = 0 THEN limit_px END AS px, orig_sz AS q FROM flow WHERE status_id IN (1, 2)),
 step AS (
   SELECT 0::BIGINT AS i, 1 AS kind, NULL::BIGINT AS oid, NULL::BIGINT AS ts, NULL::BOOLEAN AS is_ask, NULL::BIGINT AS px, 0::BIGINT AS rem, 0::BIGINT AS fill, NULL::BIGINT AS taker
   UNION ALL
