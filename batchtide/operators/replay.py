@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import classify
-from ..schemas import BATCHES, BOOKS, DEPTHS, RESTING, TRADES
+from ..schemas import BATCHES, BOOKS, DEPTHS, RESTING, TRADES, arrow, names
 
 _BANDS = (10, 50, 100)
 
@@ -303,10 +303,6 @@ class Replay:
 _KINDS = {"trade": TRADES, "batch": BATCHES, "book": BOOKS}
 
 
-def _ddl_names(ddl: str) -> list[str]:
-    return [c.split()[0] for c in ddl.split(", ")]
-
-
 def tagged_schema() -> str:
     """One wide row for trades, batches, books and (at the end) resting orders; ``kind`` says which."""
     cols: dict[str, str] = {}
@@ -316,7 +312,7 @@ def tagged_schema() -> str:
 
 
 def _rows_to_batch(kind: str, ddl: str, rows: list[tuple], want: pa.Schema) -> pa.RecordBatch:
-    named = dict(zip(_ddl_names(ddl), zip(*rows, strict=True), strict=True))
+    named = dict(zip(names(ddl), zip(*rows, strict=True), strict=True))
     return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows)) if f.name == "kind" else pa.array(named[f.name], f.type) if f.name in named else pa.nulls(len(rows), f.type) for f in want], schema=want)
 
 
@@ -347,11 +343,8 @@ def replay(events: DataFrame, width: int, engines: tuple[str, ...] = ("cda", "fb
     Without books, records that no engine acts on are left out before the
     shuffle, except that every record moves the clock.
     """
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
     schema = tagged_schema()
-    want = to_arrow_schema(StructType.fromDDL(schema))
+    want = arrow(schema)
     final = tuple(engines) if resting else ()
 
     def run(batches):
@@ -376,7 +369,7 @@ def replay(events: DataFrame, width: int, engines: tuple[str, ...] = ("cda", "fb
 
 def of_kind(tagged: DataFrame, kind: str) -> DataFrame:
     """The rows of a kind with its own columns: trade, batch, book, resting_cda or resting_fba."""
-    return tagged.where(F.col("kind") == kind).select(*_ddl_names(_KINDS.get(kind, RESTING)))
+    return tagged.where(F.col("kind") == kind).select(*names(_KINDS.get(kind, RESTING)))
 
 
 __all__ = ["Batch", "Continuous", "DEPTHS", "Replay", "of_kind", "replay", "tagged_schema"]

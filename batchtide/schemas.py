@@ -33,3 +33,15 @@ INTERVAL_COLUMNS = [
 METRICS = INTERVAL_COLUMNS[3:]
 #: Which engine has a metric (others have both, or need outside data).
 SCOPE = {"book_imbalance": "cda", "total_book_depth": "cda", "boundary_concentration": "fba", "unexecuted_residual_share": "fba", "pricing_error_bps": "external"}
+
+
+def names(ddl: str) -> list[str]:
+    return [c.split()[0] for c in ddl.split(", ")]
+
+
+def arrow(ddl: str):
+    """The Arrow schema of one of the texts above; needs no session, so workers can use it."""
+    import pyarrow as pa
+
+    kinds = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_(), "double": pa.float64()}
+    return pa.schema([(n, kinds[k]) for n, k in (c.split() for c in ddl.split(", "))])

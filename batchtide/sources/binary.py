@@ -14,10 +14,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
-from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
-from ..schemas import ORDER_EVENTS
+from ..schemas import ORDER_EVENTS, arrow
 
 #: Fixed layout of a record.
 RECORD = np.dtype([
@@ -101,7 +100,7 @@ class _Reader(DataSourceReader):
         return [_File(p, i) for i, p in enumerate(paths)]
 
     def read(self, part: _File):
-        want = to_arrow_schema(StructType.fromDDL(ORDER_EVENTS))
+        want = arrow(ORDER_EVENTS)
         name = os.path.basename(part.path)
         coin, seq = name.split("_")[0], part.rank << 36
         opened = gzip.open if part.path.endswith(".gz") else open

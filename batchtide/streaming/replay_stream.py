@@ -16,14 +16,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
-from ..operators.replay import _KINDS, Replay, _ddl_names, prepared, tagged_schema
+from ..operators.replay import _KINDS, Replay, prepared, tagged_schema
+from ..schemas import names
 
 LATE = "35 seconds"
 
 
 class _Engines(StatefulProcessor):
-    def __init__(self, width: int, engines: tuple[str, ...], columns: list[str]):
-        self.width, self.engines, self.columns = width, engines, columns
+    def __init__(self, width: int, engines: tuple[str, ...], kinds: dict[str, str]):
+        self.width, self.engines, self.kinds = width, engines, kinds
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("replay", "data binary")
@@ -39,9 +40,10 @@ class _Engines(StatefulProcessor):
         self.state.update((pickle.dumps(r, protocol=5),))
         for kind, ddl in _KINDS.items():
             if out[kind]:
-                part = pd.DataFrame(out[kind], columns=_ddl_names(ddl), dtype=object)
+                part = pd.DataFrame(out[kind], columns=names(ddl), dtype=object)
                 part["kind"] = kind
-                yield part.reindex(columns=self.columns).convert_dtypes()
+                part = part.reindex(columns=list(self.kinds))
+                yield part.astype({c: {"long": "Int64", "boolean": "boolean"}.get(k, "object") for c, k in self.kinds.items()})
 
     def close(self) -> None:
         pass
@@ -50,8 +52,7 @@ class _Engines(StatefulProcessor):
 def replay_stream(events: DataFrame, width: int, engines: tuple[str, ...] = ("cda", "fba")) -> DataFrame:
     """Tagged rows, as the batch replay gives them before its last batch is closed."""
     schema = tagged_schema()
-    columns = [c.split()[0] for c in schema.split(", ")]
-    return prepared(events).groupBy("coin").transformWithStateInPandas(_Engines(width, engines, columns), schema, "Append", "None")
+    return prepared(events).groupBy("coin").transformWithStateInPandas(_Engines(width, engines, dict(c.split() for c in schema.split(", "))), schema, "Append", "None")
 
 
 def interval_volumes(trades: DataFrame, width: str) -> DataFrame:
