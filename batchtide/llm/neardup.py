@@ -7,19 +7,22 @@
    same first BASE hashes are a region.  In each order a node is paired with
    its nearest neighbours by common prefix and with the region's first node, so
    pairs grow with the nodes, not with the square of a region.
-3. Pairs whose sizes allow the similarity and whose signatures don't rule it
-   out (6.5 standard deviations) are compared on their full sets, in groups of
-   bounded size; confirmed links give components.
-4. Regions that still hold several components are gone through again: all
-   pairs of different components, where a region is larger than REGION deeper
-   down the order until its parts are not.
+3. Pairs that agree in at least LOOSE hashes join nodes to families.  A family
+   of up to FAMILY nodes goes to one task, which compares all of its sets (by
+   products of their incidence matrix, no pair becomes a row) and gives back the
+   links that a spanning forest of its components needs.
+4. In a larger family, pairs whose sizes allow the similarity and whose
+   signatures don't rule it out (6.5 standard deviations) are compared on their
+   full sets, in units of bounded size.  Regions that then still hold several
+   components are gone through again: all pairs of different components, where
+   a region is larger than REGION deeper down the order until its parts are not.
 
 A pair at the threshold of 85 % is in one region of some tree but for a chance
-of (1 - 0.85**BASE)**TREES, about 2e-8.  A dense region is mostly one component
-after step 3.  Where more than REGION nodes still are of several components,
-only pairs that agree deeper in some tree are looked at: at depth 8 a pair at
-the threshold is missed with a chance of 5e-4, one at 90 % of 1e-6, and a text
-is lost to its component only if that happens to all of its links.
+of (1 - 0.85**BASE)**TREES, about 2e-8, and then in one family.  Only in
+families of more than FAMILY different texts can more be missed: there a pair
+that agrees to depth 8 in no tree, with a chance of 5e-4 at the threshold and
+1e-6 at 90 %, is left out, and a text is lost to its component only if that
+happens to all of its links.
 
 Sizes: rows of the forest are ranged over tasks by the whole order, so a region
 that holds much of the corpus is many tasks' work; comparisons are dealt by
@@ -45,6 +48,7 @@ from .words import LOWER, Words, grams, pieces
 
 TREES, BASE, DEPTH = 24, 4, 12
 NEIGHBOURS, REGION = 2, 16
+LOOSE, FAMILY, SMALL = 24, 3000, 24
 UNIT_PAIRS = 4000
 _U = np.uint64
 
@@ -187,9 +191,8 @@ def least_agreement(percent: int) -> int:
     return max(1, math.floor(n * j - 6.5 * math.sqrt(n * j * (1 - j))))
 
 
-def plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and signatures allow the similarity."""
-    least = least_agreement(percent)
+def plausible(pairs: DataFrame, nodes: DataFrame, percent: int, least: int) -> DataFrame:
+    """Pairs whose sizes allow so many percent and whose signatures agree in at least so many hashes."""
     one = nodes.select(F.col("uid").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
     two = nodes.select(F.col("uid").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
     sized = pairs.join(one, "a").join(two, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
@@ -221,6 +224,80 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     return label
 
 
+def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
+    """Links of a spanning forest of the components of some sets, from all of their pairs."""
+    n, root, out = len(sets), list(range(len(sets))), []
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def join(i: int, j: int) -> None:
+        a, b = find(i), find(j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((i, j))
+
+    size = np.array([len(s) for s in sets], np.int64)
+    if n <= SMALL:
+        for i in range(n):
+            for j in range(i + 1, n):
+                if find(i) != find(j) and 100 * min(size[i], size[j]) >= percent * max(size[i], size[j]):
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (size[i] + size[j] - both):
+                        join(i, j)
+        return out
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), size)
+    shared_by = held[column] > 1  # others add to no intersection
+    names, column = np.unique(column[shared_by], return_inverse=True)
+    row = row[shared_by]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n), np.float32)
+    for lo in range(0, len(names), 1024):
+        a, b = np.searchsorted(column, (lo, lo + 1024))
+        m = np.zeros((n, min(1024, len(names) - lo)), np.float32)
+        m[row[a:b], column[a:b] - lo] = 1
+        both += m @ m.T
+    for i in range(n):
+        for j in np.flatnonzero(100 * both[i].astype(np.int64) >= percent * (size[i] + size - both[i].astype(np.int64))).tolist():
+            if j > i:
+                join(i, j)
+    return out
+
+
+def link_families(members: DataFrame, scanned: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) within families of bounded size, from (uid, family): a written table."""
+    rows = scanned.select("uid", "packed").hint("merge").join(members, "uid").select("family", "uid", "packed")
+    want = shared.arrow_schema(members.sparkSession, "a long, b long")
+
+    def run(batches):
+        import zstandard
+
+        press, now, held = zstandard.ZstdDecompressor(), None, []
+
+        def put():
+            sets = shingle_sets([press.decompress(p) if p else b"" for _, p in held], k)
+            got = linked(sets, percent)
+            uid = [u for u, _ in held]
+            return pa.RecordBatch.from_pydict({"a": [min(uid[i], uid[j]) for i, j in got], "b": [max(uid[i], uid[j]) for i, j in got]}, schema=want)
+
+        for batch in batches:
+            for family, u, packed in zip(*(batch.column(c).to_pylist() for c in ("family", "uid", "packed")), strict=True):
+                if family != now:
+                    if len(held) > 1:
+                        yield put()
+                    now, held = family, []
+                held.append((u, packed))
+        if len(held) > 1:
+            yield put()
+
+    return shared.written(rows.repartition("family").sortWithinPartitions("family", "uid").mapInArrow(run, "a long, b long"), "links")
+
+
 def confirm(pairs: DataFrame, scanned: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have the similarity: a written table."""
     pairs = shared.written(pairs, "pairs")
@@ -321,11 +398,20 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, key: str = "
     first = shared.written(scanned.where("node is not null").groupBy("node").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("doc_id")), "sets")
     nodes = shared.written(scanned.select("uid", "n", "signature").join(first.select(F.col("rep").alias("uid")), "uid", "left_semi"), "nodes")
     made = forest(nodes)
-    links = confirm(plausible(made.where("b is not null").select("a", "b").distinct(), nodes, percent), scanned, k, percent)
+    near = shared.written(plausible(made.where("b is not null").select("a", "b").distinct(), nodes, 0, LOOSE), "near")
+    family = components(near).withColumnRenamed("root", "family")
+    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
+    family = shared.written(family.join(sizes, "family"), "families")
+    links = link_families(family.where(F.col("size") <= FAMILY).select("uid", "family"), scanned, k, percent)
+    large = family.where(F.col("size") > FAMILY)
+    if not large.isEmpty():
+        among = large.select(F.col("uid").alias("a"))
+        part = made.join(among, "a", "left_semi")
+        least = least_agreement(percent)
+        links = links.unionByName(confirm(plausible(part.where("b is not null").select("a", "b").distinct(), nodes, percent, least), scanned, k, percent))
+        more = confirm(plausible(open_pairs(part, components(links)), nodes, percent, least), scanned, k, percent)
+        links = links.unionByName(more)
     found = components(links)
-    more = confirm(plausible(open_pairs(made, found), nodes, percent), scanned, k, percent)
-    if not more.isEmpty():
-        found = components(links.unionByName(more))
     rooted = first.join(found, first["rep"] == found["uid"], "left").select("node", "doc_id", F.coalesce("root", "rep").alias("root"))
     rooted = shared.written(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
