@@ -208,20 +208,25 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int, least: int) -> D
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """(uid, root) of every end of an edge; root is the smallest uid that it reaches.
 
-    Each round takes the smallest root among neighbours and then the root of
-    that root, so long chains take few rounds.  Tables are written between.
+    In each round a node takes its smallest neighbour, and then that one's; the
+    edges are drawn between what is left and told apart once, so a dense group
+    is few edges after the first round.  Tables are written between.
     """
-    both = shared.written(edges.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(edges.select(F.col("b").alias("u"), F.col("a").alias("v"))), "edges")
-    label = shared.written(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("uid"), F.least("u", "v").alias("root")), "roots")
+    found = None
+    live = shared.written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
     for _ in range(rounds):
-        near = both.join(label.select(F.col("uid").alias("v"), "root"), "v").groupBy(F.col("u").alias("uid")).agg(F.min("root").alias("near"))
-        step = label.join(near, "uid").select("uid", F.col("root").alias("was"), F.least("root", "near").alias("root"))
-        jump = label.select(F.col("uid").alias("root"), F.col("root").alias("far"))
-        new = shared.written(step.join(jump, "root").select("uid", "was", F.least("root", "far").alias("root")), "roots")
-        label = new.select("uid", "root")
-        if new.where("root <> was").isEmpty():
+        both = live.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(live.select(F.col("b").alias("u"), F.col("a").alias("v")))
+        up = shared.written(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")), "roots")
+        step = shared.written(up.join(up.select(F.col("u").alias("p"), F.col("p").alias("q")), "p").select("u", F.col("q").alias("p")), "roots")
+        if found is None:
+            found = step.select(F.col("u").alias("uid"), F.col("p").alias("root"))
+        else:
+            found = shared.written(found.join(step.select(F.col("u").alias("root"), F.col("p").alias("to")), "root", "left").select("uid", F.coalesce("to", "root").alias("root")), "roots")
+        drawn = live.join(step.select(F.col("u").alias("a"), F.col("p").alias("x")), "a").join(step.select(F.col("u").alias("b"), F.col("p").alias("y")), "b")
+        live = shared.written(drawn.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "edges")
+        if live.isEmpty():
             break
-    return label
+    return found
 
 
 def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
