@@ -205,18 +205,29 @@ def plausible(pairs: DataFrame, nodes: DataFrame, percent: int, least: int) -> D
     return shared.arrow(sized.select("a", "b", "s_a", "s_b"), run, "a long, b long")
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def _mates(live: DataFrame, turn: int) -> DataFrame:
+    """(u, p) of every end of an edge: its neighbour, or itself, that comes first in the turn's hashed order."""
+    first = lambda c: F.xxhash64(c, F.lit(turn))
+    both = live.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(live.select(F.col("b").alias("u"), F.col("a").alias("v")))
+    least = both.groupBy("u").agg(F.min_by("v", first("v")).alias("v"))
+    return shared.written(least.select("u", F.when(first("u") < first("v"), F.col("u")).otherwise(F.col("v")).alias("p")), "roots")
+
+
+def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(uid, root) of every end of an edge; root is the smallest uid that it reaches.
 
-    In each round a node takes its smallest neighbour, and then that one's; the
-    edges are drawn between what is left and told apart once, so a dense group
-    is few edges after the first round.  Tables are written between.
+    In each round a node goes to its first neighbour, and then to that one's, by
+    an order that is hashed anew; the edges are drawn between what is left and
+    told apart once, so a dense group is few edges after the first round.  The
+    order owes nothing to the uids, so a share of the nodes goes in each round
+    whatever the shape, a chain in the order of its uids included.  It ends
+    when no edge is left; rounds only guards against a fault.  Tables are
+    written between.
     """
     found = None
     live = shared.written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
-    for _ in range(rounds):
-        both = live.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(live.select(F.col("b").alias("u"), F.col("a").alias("v")))
-        up = shared.written(both.groupBy("u").agg(F.min("v").alias("v")).select("u", F.least("u", "v").alias("p")), "roots")
+    for turn in range(rounds):
+        up = _mates(live, turn)
         step = shared.written(up.join(up.select(F.col("u").alias("p"), F.col("p").alias("q")), "p").select("u", F.col("q").alias("p")), "roots")
         if found is None:
             found = step.select(F.col("u").alias("uid"), F.col("p").alias("root"))
@@ -226,7 +237,10 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         live = shared.written(drawn.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "edges")
         if live.isEmpty():
             break
-    return found
+    else:
+        raise RuntimeError(f"edges are left after {rounds} rounds")
+    least = found.groupBy("root").agg(F.min("uid").alias("least"))
+    return shared.written(found.join(least, "root").select("uid", F.col("least").alias("root")), "roots")
 
 
 def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
@@ -306,7 +320,7 @@ def link_families(members: DataFrame, scanned: DataFrame, k: int, percent: int)
 def confirm(pairs: DataFrame, scanned: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have the similarity: a written table."""
     pairs = shared.written(pairs, "pairs")
-    near = components(pairs, rounds=1).select(F.col("uid").alias("a"), F.col("root").alias("unit"))
+    near = _mates(pairs, 0).select(F.col("u").alias("a"), F.col("p").alias("unit"))
     dealt = pairs.join(near, "a")
     many = dealt.groupBy("unit").agg(F.ceil(F.count(F.lit(1)) / UNIT_PAIRS).alias("parts"))
     dealt = shared.written(dealt.join(many, "unit").select("unit", F.pmod(F.xxhash64("a"), F.col("parts")).alias("part"), "a", "b"), "dealt")

@@ -272,6 +272,14 @@ def test_near_duplicates_dense_group(spark):
     same(got.collect(), [(i, n, c, i == c) for (i, _), (n, c) in zip(rows, want, strict=True)])
 
 
+def test_components_of_a_chain(spark):
+    chain = [(i, i + 1) for i in range(999)]
+    got = neardup.components(spark.createDataFrame([*chain, (5000, 4000), (4000, 4500)], "a long, b long")).collect()
+    assert sorted(map(tuple, got)) == [*((i, 0) for i in range(1000)), (4000, 4000), (4500, 4000), (5000, 4000)]
+    with pytest.raises(RuntimeError):
+        neardup.components(spark.createDataFrame(chain, "a long, b long"), rounds=1)
+
+
 def test_pipeline(spark, tmp_path):
     import corpus_pipeline
 
