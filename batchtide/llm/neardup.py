@@ -13,20 +13,24 @@
    links that a spanning forest of its components needs.
 4. In a larger family, pairs whose sizes allow the similarity and whose
    signatures don't rule it out (6.5 standard deviations) are compared on their
-   full sets, in units of bounded size.  Regions that then still hold several
-   components are gone through again: all pairs of different components, where
-   a region is larger than REGION deeper down the order until its parts are not.
+   full sets, in units of bounded size.  Then all pairs of different components
+   are searched by prefix: with a set's shingles in order of how many sets of
+   the large families have them, rarest first, two sets of the similarity share
+   one of the first n - ceil(n * percent / 100) + 1.  The sets that share one are
+   compared in blocks of about BLOCK by BLOCK, first by two bits of each
+   minwise hash (6.5 standard deviations again), then on their full sets.
 
 A pair at the threshold of 85 % is in one region of some tree but for a chance
-of (1 - 0.85**BASE)**TREES, about 2e-8, and then in one family.  Only in
-families of more than FAMILY different texts can more be missed: there a pair
-that agrees to depth 8 in no tree, with a chance of 5e-4 at the threshold and
-1e-6 at 90 %, is left out, and a text is lost to its component only if that
-happens to all of its links.
+of (1 - 0.85**BASE)**TREES, about 2e-8, and then in one family.  Inside a
+family of any size no pair is left out but by the signature's 6.5 standard
+deviations.
 
 Sizes: rows of the forest are ranged over tasks by the whole order, so a region
 that holds much of the corpus is many tasks' work; comparisons are dealt by
-component and salted; counts by set are pre-aggregated.
+component and salted; counts by set are pre-aggregated.  Prefix search works on
+a shingle's sets only while they are of several components, and in as many
+tasks as it has pairs of blocks; the order of shingles needs BUCKETS counts,
+whatever the corpus, and any order gives the same pairs.
 
 Nulls and empty texts have no shingles and are linked with nothing; a null
 doc_id can't be a component's id unless all of its texts have none.  Texts with
@@ -47,9 +51,10 @@ from . import shared
 from .words import LOWER, Words, grams, pieces
 
 TREES, BASE, DEPTH = 24, 4, 12
-NEIGHBOURS, REGION = 2, 16
+NEIGHBOURS = 2
 LOOSE, FAMILY, SMALL = 24, 3000, 24
 UNIT_PAIRS = 4000
+BUCKETS, BLOCK = 1 << 20, 512
 _U = np.uint64
 
 
@@ -131,7 +136,7 @@ def scan(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> Da
 
 
 def forest(nodes: DataFrame) -> DataFrame:
-    """A written table of pairs (a, b) of neighbours, and members (tree, place, a) of regions with several nodes."""
+    """A written table of pairs (a, b) of neighbours."""
     orders = _tree_order()
 
     def out(batch):
@@ -142,42 +147,28 @@ def forest(nodes: DataFrame) -> DataFrame:
             yield {"tree": np.full(batch.num_rows, t), "place": [flat[i : i + 2 * DEPTH] for i in range(0, len(flat), 2 * DEPTH)], "uid": batch.column("uid")}
 
     rows = shared.arrow(nodes.select("uid", "signature"), out, "tree int, place binary, uid long")
-    schema = "a long, b long, tree int, place binary"
+    schema = "a long, b long"
     want = shared.arrow_schema(nodes.sparkSession, schema)
     cut = 2 * BASE
 
     def walk(batches):
-        # A region's single node is no member, but for the task's first and last
-        # region: other tasks may hold more of those.
-        pairs, members, region, last = [], [], None, []
-        leader = None
+        pairs, region, last, leader = [], None, [], None
 
         def put():
-            a = [x for x, _ in pairs] + [m[2] for m in members]
-            b = [y for _, y in pairs] + [None] * len(members)
-            t = [None] * len(pairs) + [m[0] for m in members]
-            p = [None] * len(pairs) + [m[1] for m in members]
-            return pa.RecordBatch.from_pydict({"a": a, "b": b, "tree": t, "place": p}, schema=want)
+            return pa.RecordBatch.from_pydict({"a": [x for x, _ in pairs], "b": [y for _, y in pairs]}, schema=want)
 
         for batch in batches:
             for t, p, u in zip(*(batch.column(c).to_pylist() for c in ("tree", "place", "uid")), strict=True):
                 now = (t, p[:cut])
                 if now != region:
-                    region, last, leader, edge = now, [(t, p, u)], u, leader is None
-                    if edge:
-                        members.append((t, p, u))
+                    region, last, leader = now, [u], u
                     continue
-                if len(last) == 1 and not edge:
-                    members.append(last[0])
-                members.append((t, p, u))
-                pairs.extend((min(u, x), max(u, x)) for x in dict.fromkeys([leader, *(m[2] for m in last[-NEIGHBOURS:])]) if x != u)
-                last = [*last[-NEIGHBOURS:], (t, p, u)]
-            if len(pairs) + len(members) > 50_000:
+                pairs.extend((min(u, x), max(u, x)) for x in dict.fromkeys([leader, *last]) if x != u)
+                last = [*last, u][-NEIGHBOURS:]
+            if len(pairs) > 50_000:
                 yield put()
-                pairs, members = [], []
-        if len(last) == 1:
-            members.extend(last)
-        if pairs or members:
+                pairs = []
+        if pairs:
             yield put()
 
     order = ["tree", "place", "uid"]
@@ -362,53 +353,101 @@ def confirm(pairs: DataFrame, scanned: DataFrame, k: int, percent: int) -> DataF
     return shared.written(placed.mapInArrow(run, schema), "links")
 
 
-def open_pairs(made: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of different components that share a region, beyond those already paired."""
-    members = made.where("b is null").select("tree", "place", F.col("a").alias("uid"))
-    held = members.join(found, "uid", "left").select("tree", "place", "uid", F.coalesce("root", "uid").alias("root"))
-    region = held.withColumn("region", F.substring("place", 1, 2 * BASE))
-    mixed = region.groupBy("tree", "region").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("tree", "region")
-    rows = region.join(mixed, ["tree", "region"], "left_semi").select("tree", "place", "uid", "root")
-    want = shared.arrow_schema(made.sparkSession, "a long, b long")
-
-    def split(group, depth):
-        """Pairs of a group that is alike up to depth hashes."""
-        roots = {r for _, _, r in group}
-        if len(roots) < 2:
-            return
-        if len(group) > REGION and depth < DEPTH:
-            lo = 0
-            for i in range(1, len(group) + 1):
-                if i == len(group) or group[i][0][: 2 * depth + 2] != group[lo][0][: 2 * depth + 2]:
-                    yield from split(group[lo:i], depth + 1)
-                    lo = i
-            return
-        near = REGION if len(group) > REGION else len(group)
-        for i, (_, u, r) in enumerate(group):
-            for _, v, q in group[i + 1 : i + 1 + near]:
-                if r != q:
-                    yield min(u, v), max(u, v)
+def _bucket(shingles: np.ndarray) -> np.ndarray:
+    from .words import mix
+
+    return (mix(shingles) >> _U(44)).astype(np.int64) % BUCKETS
+
+
+def _unpacked_sets(packed: list, k: int) -> list[np.ndarray]:
+    import zstandard
+
+    press = zstandard.ZstdDecompressor()
+    return shingle_sets([press.decompress(p) if p else b"" for p in packed], k)
+
+
+def _rarity(texts: DataFrame, k: int) -> np.ndarray:
+    """How many sets have a shingle, by the bucket of its hash; shingles of one bucket add up."""
+    schema = "bucket int, n long"
+    want = shared.arrow_schema(texts.sparkSession, schema)
+
+    def run(batches):
+        count = np.zeros(BUCKETS, np.int64)
+        for batch in batches:
+            for s in _unpacked_sets(batch.column("packed").to_pylist(), k):
+                np.add.at(count, _bucket(s), 1)
+        at = np.flatnonzero(count)
+        yield pa.RecordBatch.from_pydict({"bucket": at, "n": count[at]}, schema=want)
+
+    got = texts.select("packed").mapInArrow(run, schema).groupBy("bucket").agg(F.sum("n").alias("n")).toArrow()
+    out = np.zeros(BUCKETS, np.int64)
+    out[got.column("bucket").to_numpy()] = got.column("n").to_numpy()
+    return out
+
+
+def prefix_pairs(members: DataFrame, scanned: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
+    """All pairs of different components, among the members (uid), that may have the similarity."""
+    texts = scanned.select("uid", "n", "signature", "packed").hint("merge").join(members, "uid")
+    texts = shared.written(texts.join(found, "uid", "left").withColumn("root", F.coalesce("root", "uid")), "members")
+    rarity = _rarity(texts, k)
+    share = percent / 100
+    same = share + (1 - share) / 4  # of the pairs of bits
+    width = TREES * BASE
+    most = width - max(0, math.floor(width * same - 6.5 * math.sqrt(width * same * (1 - same))))
+
+    def head(batch):
+        sets = _unpacked_sets(batch.column("packed").to_pylist(), k)
+        sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), ">u2").reshape(len(sets), -1)
+        bits = np.concatenate([np.packbits(sig & 1, axis=1), np.packbits(sig >> 1 & 1, axis=1)], axis=1)
+        firsts = []
+        for s in sets:
+            held = rarity[_bucket(s)]
+            first = np.lexsort((s, held))[: len(s) - -(-percent * len(s) // 100) + 1]
+            firsts.append(s[first[held[first] > 1]])  # no other set has the rest
+        size = [len(f) for f in firsts]
+        at = np.repeat(np.arange(len(sets)), size)
+        yield {"shingle": np.concatenate(firsts).view(np.int64), **{c: batch.column(c).take(pa.array(at)) for c in ("uid", "n", "root")}, "bits": [bits[i].tobytes() for i in at.tolist()]}
+
+    schema = "shingle long, uid long, n long, root long, bits binary"
+    heads = shared.written(shared.arrow(texts, head, schema), "prefixes")
+    mixed = heads.groupBy("shingle").agg(F.min("root").alias("x"), F.max("root").alias("y"), F.ceil(F.count(F.lit(1)) / BLOCK).alias("parts")).where("x <> y").select("shingle", "parts")
+    dealt = heads.hint("merge").join(mixed, "shingle").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    dealt = dealt.select("shingle", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "part", "uid", "n", "root", "bits")
+    want = shared.arrow_schema(members.sparkSession, "a long, b long")
 
     def run(batches):
         group, now = [], None
 
-        def put(group):
-            got = list(dict.fromkeys(split(group, BASE)))
-            return pa.RecordBatch.from_pydict({"a": [x for x, _ in got], "b": [y for _, y in got]}, schema=want)
+        def put():
+            uid, n, root = (np.array([g[i] for g in group], np.int64) for i in (1, 2, 3))
+            part = np.array([g[0] for g in group], np.int64)
+            bits = np.frombuffer(b"".join(g[4] for g in group), np.uint8).reshape(len(group), 2, -1)
+            a, b = [], []
+            for i in range(len(group) - 1):
+                ok = (root[i + 1 :] != root[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))
+                if now[1] != now[2]:
+                    ok &= part[i + 1 :] != part[i]
+                j = np.flatnonzero(ok) + i + 1
+                far = bits[i] ^ bits[j]
+                j = j[np.bitwise_count(far[:, 0] | far[:, 1]).sum(1, dtype=np.int64) <= most]
+                a.append(np.minimum(uid[i], uid[j]))
+                b.append(np.maximum(uid[i], uid[j]))
+            return pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b)}, schema=want)
 
         for batch in batches:
-            for t, p, u, r in zip(*(batch.column(c).to_pylist() for c in ("tree", "place", "uid", "root")), strict=True):
-                if (t, p[: 2 * BASE]) != now or len(group) >= 100_000:
+            names = ("shingle", "x", "y", "part", "uid", "n", "root", "bits")
+            for s, x, y, *row in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if (s, x, y) != now:
                     if len(group) > 1:
-                        yield put(group)
-                    group, now = [], (t, p[: 2 * BASE])
-                group.append((p, u, r))
+                        yield put()
+                    group, now = [], (s, x, y)
+                group.append(row)
         if len(group) > 1:
-            yield put(group)
+            yield put()
 
-    n = max(int(made.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    again = rows.repartitionByRange(n, "tree", "place", "uid").sortWithinPartitions("tree", "place", "uid").mapInArrow(run, "a long, b long").distinct()
-    return again.join(made.where("b is not null").select("a", "b"), ["a", "b"], "left_anti")
+    block = ["shingle", "x", "y"]
+    return dealt.repartition(*block).sortWithinPartitions(*block, "uid").mapInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -417,7 +456,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, key: str = "
     first = shared.written(scanned.where("node is not null").groupBy("node").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("doc_id")), "sets")
     nodes = shared.written(scanned.select("uid", "n", "signature").join(first.select(F.col("rep").alias("uid")), "uid", "left_semi"), "nodes")
     made = forest(nodes)
-    near = shared.written(plausible(made.where("b is not null").select("a", "b").distinct(), nodes, 0, LOOSE), "near")
+    near = shared.written(plausible(made.distinct(), nodes, 0, LOOSE), "near")
     family = components(near).withColumnRenamed("root", "family")
     sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
     family = shared.written(family.join(sizes, "family"), "families")
@@ -425,10 +464,9 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, key: str = "
     large = family.where(F.col("size") > FAMILY)
     if not large.isEmpty():
         among = large.select(F.col("uid").alias("a"))
-        part = made.join(among, "a", "left_semi")
-        least = least_agreement(percent)
-        links = links.unionByName(confirm(plausible(part.where("b is not null").select("a", "b").distinct(), nodes, percent, least), scanned, k, percent))
-        more = confirm(plausible(open_pairs(part, components(links)), nodes, percent, least), scanned, k, percent)
+        near = made.join(among, "a", "left_semi").distinct()
+        links = links.unionByName(confirm(plausible(near, nodes, percent, least_agreement(percent)), scanned, k, percent))
+        more = confirm(prefix_pairs(large.select("uid"), scanned, components(links), k, percent), scanned, k, percent)
         links = links.unionByName(more)
     found = components(links)
     rooted = first.join(found, first["rep"] == found["uid"], "left").select("node", "doc_id", F.coalesce("root", "rep").alias("root"))

@@ -272,6 +272,29 @@ def test_near_duplicates_dense_group(spark):
     same(got.collect(), [(i, n, c, i == c) for (i, _), (n, c) in zip(rows, want, strict=True)])
 
 
+def test_near_duplicates_large_family(spark, monkeypatch):
+    """Near copies at the threshold between texts of one template, in a family that is no single task's."""
+    monkeypatch.setattr(neardup, "FAMILY", 3)
+    monkeypatch.setattr(neardup, "BLOCK", 100, raising=False)
+    monkeypatch.setattr(neardup, "REGION", 2, raising=False)
+    rng = random.Random(4)
+    template, rows = [f"w{i}" for i in range(200)], []
+
+    def edited(words, n):
+        out = list(words)
+        for i in rng.sample(range(len(out)), n):
+            out[i] = f"x{rng.randrange(10**9)}"
+        return out
+
+    for _ in range(400):
+        base = edited(template, 4)
+        rows += [(len(rows) + i, " ".join(w)) for i, w in enumerate((base, edited(base, 5)))]
+    rng.shuffle(rows)
+    want = brute.near(rows)
+    got = neardup.report(spark.createDataFrame(rows, "doc_id long, text string").repartition(5))
+    same(got.collect(), [(i, n, c, i == c) for (i, _), (n, c) in zip(rows, want, strict=True)])
+
+
 def test_components_of_a_chain(spark):
     chain = [(i, i + 1) for i in range(999)]
     got = neardup.components(spark.createDataFrame([*chain, (5000, 4000), (4000, 4500)], "a long, b long")).collect()
