@@ -1,13 +1,16 @@
 """Visible text of web pages, laid out as a reader sees it.
 
 A page is cut into tags and text, and a tree is built with the tags that HTML
-leaves out: a paragraph ends where a block begins, a list item, cell or row
-where the next one does, cells get their row, void elements have no content.
-What is not shown is left out: head, scripts, styles, templates, comments,
-elements that are hidden by attribute or inline style.  Text keeps the spacing
+leaves out: the head ends at the first text or tag that it can't hold, a
+paragraph ends where a block begins, a list item, cell or row where the next one
+does, cells get their row, void elements have no content.  What is not shown is
+left out: head, scripts, styles, templates, comments, definitions and
+descriptions in svg, annotations in math, elements that are hidden by attribute
+or inline style.  Text keeps the spacing
 of blocks (a blank line around paragraphs and headings, a line for divisions and
-breaks), lists have their marks and indents, table columns are aligned, and
-preformatted text stays as it is.
+breaks), lists have their marks and indents, table columns are aligned (with spans of up
+to 1,000 columns and 65,534 rows, as HTML has it), and preformatted text stays
+as it is.
 
 The walk uses stacks of its own, so depth is bounded by memory only.  Broken
 markup never fails: an end tag that closes nothing is dropped.  A null or empty
@@ -31,7 +34,7 @@ _SPACE = re.compile(r"[ \t\n\r\f]+")
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object svg math datalist meta link".split())
+UNSEEN = frozenset("head script style template title noscript iframe noembed noframes object datalist meta link".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl table pre blockquote figure fieldset hr".split())
 BLOCK = SPACED | frozenset("html body div section article header footer nav main aside address form li dt dd tr caption figcaption legend details summary option thead tbody tfoot center".split())
 #: What a start tag ends, and where looking for that stops.
@@ -48,6 +51,18 @@ ENDS = {
     "tfoot": (("thead", "tbody", "tfoot", "caption", "colgroup"), ("table",)),
     "body": (("head",), ("html",)),
 }
+#: What an open head may hold; any other start tag ends it.
+IN_HEAD = frozenset("html head base basefont bgsound link meta title script style template noscript noframes".split())
+FOREIGN = ("svg", "math")
+#: Elements of svg and math whose content is HTML again, and tags that end svg and math elsewhere.
+HTML_IN = ("foreignobject", "desc", "mi", "mo", "mn", "ms", "mtext", "annotation-xml")
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li listing menu meta nobr ol p pre ruby s small span strong strike sub sup table tt u ul var".split())
+UNSEEN_IN = {
+    "svg": frozenset("defs desc metadata symbol clippath mask marker pattern lineargradient radialgradient filter".split()),
+    "math": frozenset(("annotation", "annotation-xml")),
+}
+_UNQUOTED = re.compile(r"=\s*[^\s\"'=>]+/\Z")
+_BLANK = " \t\n\r\f"
 _SCOPE = ("td", "th", "table", "button", "body", "html")
 
 
@@ -83,13 +98,20 @@ def parse(page: str) -> Node:
         stack.append(node)
         open_tags[node.tag] = open_tags.get(node.tag, 0) + 1
 
+    def text(s: str) -> None:
+        s = html.unescape(s)
+        if stack[-1].tag == "head" and s.strip(_BLANK):
+            pop()
+        stack[-1].children.append(s)
+
+    headed = False
     while at < size:
         m = _TOKEN.search(page, at) if page.find(">", at) >= 0 or page.find("<!--", at) >= 0 else None
         if m is None:
-            stack[-1].children.append(html.unescape(page[at:]))
+            text(page[at:])
             break
         if m.start() > at:
-            stack[-1].children.append(html.unescape(page[at : m.start()]))
+            text(page[at : m.start()])
         at = m.end()
         if m[2] is None:
             continue
@@ -98,8 +120,20 @@ def parse(page: str) -> Node:
             if open_tags.get(tag):
                 close((tag,), () if tag in ("table", "body", "html") else ("table",) if tag not in ("td", "th", "tr", "thead", "tbody", "tfoot", "caption") else ())
             elif tag == "br":
+                if stack[-1].tag == "head":
+                    pop()
                 stack[-1].children.append(Node("br", {}))
             continue
+        if stack[-1].tag == "head" and tag not in IN_HEAD:
+            pop()
+        foreign = any(open_tags.get(t) for t in FOREIGN) and not any(open_tags.get(t) for t in HTML_IN)
+        if foreign and tag in BREAKOUT:
+            close(FOREIGN, ())
+            foreign = False
+        if tag == "head":
+            if headed or stack[-1].tag not in ("#root", "html"):
+                continue
+            headed = True
         attributes = {a[1].lower(): html.unescape(a[2] or a[3] or a[4] or "") for a in _ATTRIBUTE.finditer(m[3])} if m[3].strip(" /") else {}
         if tag in BLOCK:
             close(("p",), _SCOPE)
@@ -108,7 +142,7 @@ def parse(page: str) -> Node:
         if tag in ("td", "th") and stack[-1].tag in ("table", "thead", "tbody", "tfoot"):
             push(Node("tr", {}))
         node = Node(tag, attributes)
-        if tag in VOID:
+        if tag in VOID or (foreign and m[3].endswith("/") and not _UNQUOTED.search(m[3])):
             stack[-1].children.append(node)
         elif tag in RAW:
             end = re.compile(rf"</{tag}\b[^>]*>", re.I).search(page, at)
@@ -171,19 +205,66 @@ class _Out:
         return "".join(self.parts)
 
 
-def _table(rows: list[list[str]]) -> list[str]:
-    """Rows as lines, each column as wide as its widest cell."""
-    widths: list[int] = []
-    for r in rows:
-        for i, c in enumerate(r):
-            if i == len(widths):
-                widths.append(0)
-            widths[i] = max(widths[i], len(c))
-    return ["  ".join(c.ljust(w) for c, w in zip(r, widths, strict=False)).rstrip() for r in rows if any(r)]
+def _number(value: str | None, most: int) -> int:
+    return min(int(value), most) if value and len(value) < 10 and value.isdecimal() else most if value and value.isdecimal() else 1
+
+
+class _Table:
+    """The cells of a table by their column, with those that reach down from earlier rows."""
+
+    def __init__(self, depth: int):
+        self.rows: list[list[tuple[int, str]]] = []
+        self.depth = depth
+        self.loose: list[str] = []
+        self.spans: list[tuple[int, int, float]] = []  # first column, end, further rows
+        self.taken: list[tuple[int, int]] = []  # of this row, last first
+        self.at = 0
+
+    def group(self) -> None:
+        """A group of rows begins or ends: no cell reaches beyond."""
+        self.spans, self.taken = [], []
+
+    def row(self) -> None:
+        self.rows.append([])
+        self.at = 0
+        self.taken = sorted(((a, b) for a, b, _ in self.spans), reverse=True)
+        self.spans = [(a, b, n - 1) for a, b, n in self.spans if n > 1]
+
+    def cell(self, s: str, attributes: dict[str, str]) -> None:
+        if not self.rows:
+            self.row()
+        while self.taken and self.taken[-1][0] <= self.at:
+            self.at = max(self.at, self.taken.pop()[1])
+        end = self.at + max(1, _number(attributes.get("colspan"), 1000))
+        down = _number(attributes.get("rowspan"), 65534)
+        if down != 1:
+            self.spans.append((self.at, end, down - 1 if down else float("inf")))
+        self.rows[-1].append((self.at, s))
+        self.at = end
+
+    def lines(self) -> list[str]:
+        """Rows as lines, each column as wide as its widest cell; columns where no cell begins have no width."""
+        widths: dict[int, int] = {}
+        for r in self.rows:
+            for i, c in r:
+                widths[i] = max(widths.get(i, 0), len(c))
+        columns = sorted(widths)
+        number = {c: i for i, c in enumerate(columns)}
+        out = []
+        for r in self.rows:
+            if any(c for _, c in r):
+                parts, seen = [], 0
+                for i, c in r:
+                    parts.extend(" " * widths[j] for j in columns[seen : number[i]])
+                    parts.append(c.ljust(widths[i]))
+                    seen = number[i] + 1
+                out.append("  ".join(parts).rstrip())
+        return out
 
 
 def render(root: Node) -> str:
     outs, tables, lists = [_Out()], [], []
+    inside = dict.fromkeys(FOREIGN, 0)
     work: list = [(root, False)]
     pre = 0
     while work:
@@ -192,14 +273,14 @@ def render(root: Node) -> str:
         if isinstance(node, str):
             if pre:
                 out.lines(node.expandtabs(8).split("\n"))
-            elif not (tables and tables[-1][1] == len(outs)):  # between cells there is no text
+            elif not (tables and tables[-1].depth == len(outs)):  # between cells there is no text
                 out.text(node)
             elif node.strip():
-                tables[-1][2].append(" ".join(node.split()))
+                tables[-1].loose.append(" ".join(node.split()))
             continue
         tag = node.tag
         if not leaving:
-            if not shown(node):
+            if not shown(node) or any(n and tag in UNSEEN_IN[t] for t, n in inside.items()):
                 continue
             if tag == "br":
                 out.breaks += 1
@@ -214,9 +295,11 @@ def render(root: Node) -> str:
             if tag in BLOCK:
                 out.block(2 if tag in SPACED and not lists else 1)
             if tag == "table":
-                tables.append(([], len(outs), []))
+                tables.append(_Table(len(outs)))
             elif tag == "tr" and tables:
-                tables[-1][0].append([])
+                tables[-1].row()
+            elif tag in ("thead", "tbody", "tfoot") and tables:
+                tables[-1].group()
             elif tag in ("td", "th", "caption") and tables:
                 outs.append(_Out())
             elif tag in ("ul", "ol", "menu"):
@@ -230,23 +313,26 @@ def render(root: Node) -> str:
                 out.mark, out.indent = depth + mark, depth + " " * len(mark)
             elif tag == "pre":
                 pre += 1
+            elif tag in FOREIGN:
+                inside[tag] += 1
+            elif tag == "text" and inside["svg"]:
+                out.block(1)
             work.append((node, True))
             work.extend((c, False) for c in reversed(node.children))
             continue
-        if tag in ("td", "th", "caption") and tables and len(outs) > tables[-1][1]:
+        if tag in ("td", "th", "caption") and tables and len(outs) > tables[-1].depth:
             cell = " ".join(outs.pop().done().split())
             if tag == "caption":
-                tables[-1][2].append(cell)
+                tables[-1].loose.append(cell)
             else:
-                if not tables[-1][0]:
-                    tables[-1][0].append([])
-                span = node.attributes.get("colspan", "1")
-                tables[-1][0][-1].extend([cell, *[""] * (min(int(span), 100) - 1 if span.isdecimal() else 0)])
+                tables[-1].cell(cell, node.attributes)
+        elif tag in ("thead", "tbody", "tfoot") and tables:
+            tables[-1].group()
         elif tag == "table" and tables:
-            rows, depth, loose = tables.pop()
-            del outs[depth:]
+            table = tables.pop()
+            del outs[table.depth :]
             out = outs[-1]
-            out.lines([*filter(None, loose), *_table(rows)])
+            out.lines([*filter(None, table.loose), *table.lines()])
         elif tag in ("ul", "ol", "menu") and lists:
             lists.pop()
             depth = "  " * len(lists)
@@ -255,6 +341,10 @@ def render(root: Node) -> str:
             out.mark, out.indent = "", "  " * max(0, len(lists) - 1)
         elif tag == "pre":
             pre -= 1
+        elif tag in FOREIGN:
+            inside[tag] -= 1
+        elif tag == "text" and inside["svg"]:
+            outs[-1].block(1)
         if tag in BLOCK:
             outs[-1].block(2 if tag in SPACED and not lists else 1)
     return outs[0].done()

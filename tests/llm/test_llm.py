@@ -222,6 +222,24 @@ def test_html(page, text):
     assert htmltext.page_text(page) == text
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<html><head><title>T</title><p>Hello", "Hello"),
+        ("<head><meta charset=x><link href=y>\n<script>a</script>Bare <b>text</b>", "Bare text"),
+        ("<head><title>T</title></head><p>A<head><p>B", "A\n\nB"),
+        ("<table><tr><td rowspan=2>a<td>b<tr><td>c<tr><td>d<td>e</table>", "a  b\n   c\nd  e"),
+        ("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c<tbody><tr><td>d</table>", "a  b\n   c\nd"),
+        ("<table><tr><td colspan=150>a<td>b<tr>" + "<td>" * 150 + "<td>c</table>", "a" + " " * 300 + "b\n" + " " * 301 + "c"),
+        ("<svg><defs/><title>no</title><path d='x'/><text>A</text><text>B</text><desc>no</desc></svg>", "A\nB"),
+        ("<p>so <math><semantics><mi>x</mi><mo>=</mo><mn>1</mn><annotation>no</annotation></semantics></math> holds", "so x=1 holds"),
+        ("<svg><defs><p>Out", "Out"),
+    ],
+)
+def test_html_whole(page, text):
+    assert htmltext.page_text(page) == text
+
+
 def test_html_query(spark):
     assert htmltext.extract(documents(spark, SF, "pages")).where("n_words > 0").count() == 50
 
