@@ -3,15 +3,19 @@
 Symbols are the bytes of a text, lower-cased, its words joined by one space and
 closed by a newline.  From the training texts, runs of DEPTH + 1 symbols are
 counted; shorter contexts' counts are sums of those.  A context of up to DEPTH
-symbols becomes a state if it makes up at least MIN_SHARE of all places, so
-there are at most 1 / MIN_SHARE of each length however large the corpus, and if
-the next symbol's distribution diverges from that of the context one shorter:
-Kullback-Leibler at least MIN_DIVERGENCE nats, and over all its places at least
+symbols becomes a state if it stands at MIN_COUNT places at least, whatever the
+corpus, so the tree grows with it, and if the next symbol's distribution
+diverges from that of the context one shorter: Kullback-Leibler at least MIN_DIVERGENCE nats, and over all its places at least
 one nat for each distinct next symbol (what chance alone would about give).  A
 state's distribution is smoothed towards that of its longest shorter state,
 with SMOOTHING times the number of distinct next symbols as weight.  A text is scored by the longest state that is a suffix
 of what came before.
 
+States of SPLIT symbols or more are dealt by a hash of the last SPLIT symbols,
+which all longer states of a run share; the shorter ones, few for any corpus,
+are read by every task.  Blocks of documents ask for their distinct runs (see
+blocks.py), so no task holds the tree; answers are 32-bit floats.
+
 Beside it stand the unigram figures of words: counts of every word in all
 training texts, asked for by blocks of documents (see blocks.py), so that no
 vocabulary is held in one place.
@@ -34,7 +38,8 @@ from pyspark.sql import functions as F
 from . import blocks, shared
 from .words import LOWER, Words, pieces, words_of
 
-DEPTH, MIN_SHARE, MIN_DIVERGENCE, SMOOTHING = 6, 1e-6, 0.01, 3
+DEPTH, SPLIT, MIN_COUNT, MIN_DIVERGENCE, SMOOTHING = 6, 3, 64, 0.01, 3
+_ODD = (0x9E3779, 0x85EBCB)
 _END = b"\n"
 _END_KEY = 0x9D8E7F60514233A5
 #: Distinct runs that a task counts before it hands them on.
@@ -123,14 +128,12 @@ def count_runs(held: DataFrame) -> DataFrame:
 
 def grow(runs: DataFrame) -> DataFrame:
     """States and their next symbols: (depth, context, total, kinds, code, n); code is context and next symbol."""
-    total = runs.agg(F.sum("n")).first()[0] or 0
-    least = F.lit(max(1.0, MIN_SHARE * total))
     levels, code = {}, runs.select(F.col("run").alias("code"), "n")
     for d in range(DEPTH, -1, -1):
         if d < DEPTH:
             code = code.groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("code")).agg(F.sum("n").alias("n"))
         context = F.shiftright("code", 8)
-        totals = code.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where(F.col("total") >= least)
+        totals = code.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where(F.col("total") >= MIN_COUNT)
         levels[d] = shared.written(code.withColumn("context", context).join(totals, "context"), f"tree-{d}")
     states = levels[0]
     out = states.select(F.lit(0).alias("depth"), "context", "total", "kinds", "code", "n")
@@ -151,11 +154,42 @@ def grow(runs: DataFrame) -> DataFrame:
     return out
 
 
+_COLUMNS = ["depth", "context", "total", "kinds", "code", "n"]
+
+
+def _hashed(context):
+    """A one-to-one hash of 24 bits, of numpy or Spark numbers."""
+    spark = not isinstance(context, np.ndarray)
+    low = (lambda x: x.bitwiseAND(F.lit(0xFFFFFF))) if spark else (lambda x: x & _U(0xFFFFFF))
+    h = low(low(context) * (F.lit(_ODD[0]).cast("long") if spark else _U(_ODD[0])))
+    h = h.bitwiseXOR(F.shiftright(h, 12)) if spark else h ^ (h >> _U(12))
+    return low(h * (F.lit(_ODD[1]).cast("long") if spark else _U(_ODD[1])))
+
+
+def _asked(runs: np.ndarray) -> np.ndarray:
+    """Runs as keys whose top bits are the hash of the last SPLIT symbols of the context."""
+    return _hashed(runs >> _U(8)) << _U(40) | (runs >> _U(32)) << _U(16) | (runs & _U(255)) << _U(8)
+
+
+def _unasked(keys: np.ndarray) -> np.ndarray:
+    h, a = keys >> _U(40), [_U(pow(o, -1, 1 << 24)) for o in _ODD]
+    h = h * a[1] & _U(0xFFFFFF)
+    h ^= h >> _U(12)
+    h = h * a[0] & _U(0xFFFFFF)
+    return (keys >> _U(16) & _U(0xFFFFFF)) << _U(32) | h << _U(8) | keys >> _U(8) & _U(255)
+
+
+def _run_keys(keys: list, texts: list[bytes]) -> tuple[np.ndarray, None]:
+    """Distinct runs of a block, as keys."""
+    u = [np.unique(_stream(texts[lo:hi])[0]) for lo, hi in pieces(texts)]
+    return np.sort(_asked(np.unique(np.concatenate(u)) if u else np.zeros(0, _U))), None
+
+
 class Tree:
     """The states, by depth: sorted contexts with totals, sorted (context, symbol) codes with counts."""
 
     def __init__(self, table: pa.Table):
-        c = {n: table.column(n).to_numpy() for n in table.column_names}
+        c = {n: table.column(n).to_numpy() for n in _COLUMNS}
         self.levels = []
         for d in range(DEPTH + 1):
             mine = np.flatnonzero(c["depth"] == d)
@@ -187,40 +221,88 @@ class Tree:
         return np.bincount(doc, self.log10(u)[inv], len(texts))
 
 
-@lru_cache(maxsize=1)
-def load(path: str) -> Tree:
+def _table(path: str, bucket: int | None = None) -> pa.Table:
+    import pyarrow.fs
     import pyarrow.parquet as pq
 
     from .tokenfiles import file_system
 
-    fs, at = file_system(path)
-    return Tree(pq.read_table(at, filesystem=fs, columns=["depth", "context", "total", "kinds", "code", "n"]))
+    fs, at = file_system(path if bucket is None else f"{path}/bucket={bucket}")
+    if fs.get_file_info(at).type == pyarrow.fs.FileType.NotFound:
+        kind = {"depth": pa.int32(), **dict.fromkeys(_COLUMNS[1:], pa.int64())}
+        return pa.table({c: pa.array([], kind[c]) for c in _COLUMNS})
+    return pq.read_table(at, filesystem=fs, columns=_COLUMNS, partitioning=None)
 
 
-def train(held: DataFrame) -> str:
-    """Grows the tree from blocks and writes it to the shared folder; gives its path."""
+def load(path: str) -> Tree:
+    """The whole tree."""
+    return Tree(_table(path))
+
+
+@lru_cache(maxsize=1)
+def _top(path: str) -> Tree:
+    return Tree(_table(path, -1))
+
+
+def load_bucket(path: str, bucket: int) -> Tree:
+    """The shorter states, and the others of a bucket."""
+    tree = Tree(_table(path, bucket))
+    tree.levels[:SPLIT] = _top(path).levels[:SPLIT]
+    return tree
+
+
+def train(held: DataFrame, buckets: int = 1) -> str:
+    """Grows the tree from blocks and writes it to the shared folder by bucket, -1 for the shorter states; gives its path."""
     runs = shared.written(count_runs(held), "runs")
     path = shared.shared_folder(held.sparkSession, "suffix-tree")
-    grow(runs).coalesce(1).write.parquet(path)  # at most DEPTH / MIN_SHARE states
+    h = _hashed(F.col("context"))
+    # a hash's runs may lie on both sides of a bucket's edge
+    lo, hi = F.shiftright(h * F.lit(buckets).cast("long"), 24), F.least(F.shiftright((h + 1) * F.lit(buckets).cast("long"), 24), F.lit(buckets - 1).cast("long"))
+    states = grow(runs).withColumn("bucket", F.explode(F.when(F.col("depth") < SPLIT, F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(lo, hi))))
+    states.repartition("bucket").sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(path)
     return path
 
 
+def _answer(path: str, buckets: int):
+    """Answers to slices of a bucket: log10 of each run's last symbol after the others."""
+
+    def answer(slices: list[np.ndarray], numbers: list[np.ndarray]):
+        u, inv = np.unique(np.concatenate(slices), return_inverse=True)
+        first = int(u[0])
+        bucket = first * buckets >> 64
+        bucket += first >= ((bucket + 1) << 64) // buckets
+        p = load_bucket(path, bucket).log10(_unasked(u)).astype("<f4")[inv]
+        ends = np.cumsum([len(x) for x in slices])
+        return [x.tobytes() for x in np.split(p, ends[:-1])], (0, 0)
+
+    return answer
+
+
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     held = blocks.blocks(docs, key, text, block_bytes)
     told = shared.written(blocks.answers(held, blocks.bucket_count(held), _word_keys, _total), "word-counts")
     v, n = told.agg(F.coalesce(F.sum("x"), F.lit(0)), F.coalesce(F.sum("y"), F.lit(0))).first()
-    path = train(held)
+    buckets = blocks.bucket_count(held)
+    path = train(held, buckets)
+    scored = blocks.answers(held, buckets, _run_keys, _answer(path, buckets))
+    both = told.select("block", "part", "data").unionByName(scored.select("block", (F.col("part") + buckets).cast("int").alias("part"), "data"))
 
     def use(keys, texts, parts):
         known = _word_keys(keys, texts)[0]
-        count = np.concatenate([np.frombuffer(p, "<i8") for p in parts])
+        words = int(np.searchsorted(np.cumsum([len(p) for p in parts]), 8 * len(known))) + 1
+        count = np.concatenate([np.frombuffer(p, "<i8") for p in parts[:words]])
+        asked = _run_keys(keys, texts)[0]
+        p_run = np.concatenate([np.zeros(0), *(np.frombuffer(p, "<f4") for p in parts[words:])])
+        if len(p_run) != len(asked):
+            raise ValueError("a run without its answer")
         worth = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
         end = int(np.searchsorted(known, _U(_END_KEY)))
-        tree = load(path)
         for lo, hi in pieces(texts):
             w = Words(texts[lo:hi], LOWER)
             at = np.searchsorted(known, w.hash)
+            runs, doc = _stream(texts[lo:hi])
+            u, inv = np.unique(runs, return_inverse=True)
             yield {
                 "doc_id": keys[lo:hi],
                 "held_out": [not is_training(k) for k in keys[lo:hi]],
@@ -228,7 +310,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
                 "n_known": _sums(count[at] > 0, w.first) + int(count[end] > 0),
                 "train_tokens": np.full(hi - lo, n),
                 "base_score": np.array([worth[at[a:b]].sum() for a, b in zip(w.first, w.first[1:], strict=False)]) + worth[end],
-                "score": tree.scores(texts[lo:hi]),
+                "score": np.bincount(doc, p_run[np.searchsorted(asked, _asked(u))][inv], hi - lo),
             }
 
-    return blocks.with_answers(held, told, use, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+    return blocks.with_answers(held, both, use, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")

@@ -255,6 +255,28 @@ def test_suffix_lm(docs, plain, empty):
     assert suffixlm.score(empty).count() == 0
 
 
+def test_rare_states_of_a_large_corpus(spark, monkeypatch):
+    """A context that a fixed number of places has is a state, however small its share."""
+    from batchtide.llm import blocks
+
+    monkeypatch.setattr(suffixlm, "MIN_SHARE", 1e-2, raising=False)  # as if the corpus were larger
+    d = spark.createDataFrame([(i, "abra cadabra " * 20 + "qzxqv" * (i < 100)) for i in range(400)], "doc_id long, text string")
+    tree = suffixlm.load(suffixlm.train(blocks.blocks(d)))
+    assert int.from_bytes(b"xq", "big") in tree.levels[2][0].tolist()
+
+
+def test_sharded_scores(docs):
+    """The blocks' answers are those of the whole tree."""
+    from batchtide.llm import blocks
+
+    d = docs.where("doc_id is not null")
+    tree = suffixlm.load(suffixlm.train(blocks.blocks(d), 7))
+    want = sorted((r.doc_id, tree.scores([(r.text or "").encode()])[0]) for r in d.select("doc_id", "text").collect())
+    got = sorted((r.doc_id, r.score) for r in suffixlm.score(d, block_bytes=50_000).select("doc_id", "score").collect())
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [x for _, x in got] == pytest.approx([x for _, x in want], rel=1e-6)
+
+
 def test_tree_is_a_distribution(spark):
     from batchtide.llm import blocks
 
