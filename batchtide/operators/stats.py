@@ -39,13 +39,13 @@ def _autocovariance_sum(d: DataFrame, score: str, keys: list[str], order: str) -
     return left.join(right, [*keys, "_j"]).groupBy(*keys).agg(F.sum(weight * F.col("_u") * F.col("_w")).alias("s"))
 
 
-def numbered(d: DataFrame, keys: list[str], order: str, name: str = "i", shards: int = 1 << 20) -> DataFrame:
-    """Row numbers from 0 along order, by shards of order: ranks inside plus what earlier shards hold."""
+def numbered(d: DataFrame, keys: list[str], order: str, name: str = "i", shards: int = 1 << 20, ties: tuple = ()) -> DataFrame:
+    """Row numbers from 0 along order (then ties), by shards of order: ranks inside plus what earlier shards hold."""
     s = d.withColumn("_s", F.floor(F.col(order) / shards))
     before = s.groupBy(*keys, "_s").agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*keys).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
     before = before.withColumn("_b", F.coalesce(F.sum("_c").over(w), F.lit(0))).drop("_c")
-    inside = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(order)) - 1
+    inside = F.row_number().over(Window.partitionBy(*keys, "_s").orderBy(order, *ties)) - 1
     return s.withColumn("_r", inside).join(before, [*keys, "_s"]).withColumn(name, (F.col("_r") + F.col("_b")).cast("long")).drop("_s", "_r", "_b")
 
 

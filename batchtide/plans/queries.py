@@ -526,11 +526,9 @@ def compare_results(spark, sf):
 
 @query(f"""{TAPE}, m AS (SELECT * FROM trades WHERE seq % 2 = 0 UNION ALL SELECT 'fba' AS engine, * EXCLUDE (engine) FROM trades WHERE seq % 5 = 0) SELECT row_number() OVER (ORDER BY ts, engine, trade_id)::BIGINT AS place, engine, trade_id, price, quantity FROM m ORDER BY place LIMIT 500""")
 def trade_ledger(spark, sf):
-    from ..session import trade_log
+    from ..session import ledger
 
     t = tape(spark, sf, TRADES_SQL)
     both = reduce(DataFrame.unionByName, [t.where("seq % 2 = 0"), t.where("seq % 5 = 0").withColumn("engine", F.lit("fba"))])
-    from pyspark.sql import Window
-
-    top = trade_log(both).limit(500)
-    return top.select(F.row_number().over(Window.orderBy("ts", "engine", "trade_id")).cast("long").alias("place"), "engine", "trade_id", "price", "quantity")
+    # the SQL shows the first 500; the ledger has them all
+    return ledger(both).where("place <= 500").select("place", "engine", "trade_id", "price", "quantity").orderBy("place")

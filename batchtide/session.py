@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import classify
-from .operators import audit, metrics
+from .operators import audit, metrics, stats
 from .operators import replay as R
 from .schemas import METRICS, RESTING, TRADES
 
@@ -41,6 +41,12 @@ def trade_log(trades: DataFrame) -> DataFrame:
     return trades.orderBy("ts", F.when(F.col("engine") == "cda", 0).otherwise(1), "trade_id")
 
 
+def ledger(trades: DataFrame) -> DataFrame:
+    """Every trade of both engines with its place from 1 in the trade log, numbered by hours."""
+    ties = (F.when(F.col("engine") == "cda", 0).otherwise(1), "trade_id")
+    return stats.numbered(trades, [], "ts", "place", 3_600 * 10**9, ties).withColumn("place", F.col("place") + 1)
+
+
 def core_metrics(result: ReplayResult, metrics_of: list[str] | None = None) -> DataFrame:
     both = [audit.summary(result.intervals.where(F.col("engine") == e), metrics_of or METRICS).withColumn("engine", F.lit(e)) for e in ("cda", "fba")]
     return both[0].unionByName(both[1])

@@ -163,3 +163,11 @@ def test_session(spark):
     s.add("sell", 100, 12, "b", 6)
     assert s.clear() == {"price": 100, "demand": 20, "supply": 12, "quantity": 12}
     assert s.metrics()["fill_rate"] == pytest.approx(0.75)
+
+
+def test_ledger_is_whole(spark):
+    from batchtide.session import ledger
+
+    rows = [((i * 7919) % 3001 * 10**10, "cda" if i % 3 else "fba", i) for i in range(4000)]
+    got = ledger(spark.createDataFrame(rows, "ts long, engine string, trade_id long")).select("place", "ts", "engine", "trade_id").collect()
+    assert sorted(map(tuple, got)) == [(i, *r) for i, r in enumerate(sorted(rows), 1)]
