@@ -32,27 +32,31 @@ _BLANK = " \t\n\x0b\x0c\r"
 def _repeated(w: Column) -> Column:
     """Words in 3-word windows that occur twice or more in the array of words.
 
-    The windows' hashes, each with its place, are sorted; a window whose
-    neighbour has the same hash and the same words is repeated.
+    Hashes of the windows, each with its place, are sorted; a window beside one
+    of the same hash may be repeated.  Those few are sorted again by their words,
+    so equal ones are neighbours, whatever else has their hash.
     """
+    place = F.lit((1 << _BITS) - 1).cast("bigint")
 
-    def count(w):
-        place = F.lit((1 << _BITS) - 1).cast("bigint")
-        packed = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]).bitwiseAND(F.bitwise_not(place)).bitwiseOR(i.cast("bigint")))
+    def covered(acc, p):
+        return F.struct((acc["n"] + p + 3 - F.greatest(p, acc["end"])).alias("n"), (p + 3).alias("end"))
+
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end"))
 
-        def same(a, b):
-            p, q = a.bitwiseAND(place).cast("int"), b.bitwiseAND(place).cast("int")
-            return (F.shiftright(a, _BITS) == F.shiftright(b, _BITS)) & (w[p] == w[q]) & (w[p + 1] == w[q + 1]) & (w[p + 2] == w[q + 2])
+    def beside(rows, same):
+        return F.filter(rows, lambda x, j: ((j > 0) & same(x, F.get(rows, j - 1))) | ((j < F.size(rows) - 1) & same(x, F.get(rows, j + 1))))
 
-        def places(s):
-            hit = F.filter(s, lambda x, j: ((j > 0) & same(x, F.get(s, j - 1))) | ((j < F.size(s) - 1) & same(x, F.get(s, j + 1))))
-            return F.sort_array(F.transform(hit, lambda x: x.bitwiseAND(place)))
+    def count(w):
+        packed = F.transform(F.sequence(F.lit(0), F.size(w) - 3), lambda i: F.xxhash64(w[i], w[i + 1], w[i + 2]).bitwiseAND(F.bitwise_not(place)).bitwiseOR(i.cast("bigint")))
+        maybe = let(F.sort_array(packed), lambda s: beside(s, lambda a, b: F.shiftright(a, _BITS) == F.shiftright(b, _BITS)))
 
-        def covered(acc, p):
-            return F.struct((acc["n"] + p + 3 - F.greatest(p, acc["end"])).alias("n"), (p + 3).alias("end"))
+        def said(x):
+            i = x.bitwiseAND(place).cast("int")
+            return F.struct(w[i].alias("a"), w[i + 1].alias("b"), w[i + 2].alias("c"), i.cast("bigint").alias("i"))
 
-        zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("end"))
-        return F.aggregate(let(F.sort_array(packed), places), zero, covered, lambda a: a["n"])
+        equal = lambda x, y: (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"])
+        places = let(let(maybe, lambda m: F.sort_array(F.transform(m, said))), lambda rows: F.sort_array(F.transform(beside(rows, equal), lambda x: x["i"])))
+        return F.aggregate(places, zero, covered, lambda a: a["n"])
 
     return F.when(F.size(w) < 4, F.lit(0).cast("bigint")).otherwise(count(w))
 
@@ -178,9 +182,16 @@ def judge(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
 
 
 def good(docs: DataFrame, text: str = "text") -> DataFrame:
-    """The rows of docs whose text passes, with all their columns."""
+    """The rows of docs whose text passes, with all their columns.
+
+    Rows are written once with their features, so these are worked out once and
+    stand in no later expression.
+    """
+    from .shared import written
+
     f = features(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")))
-    fitted = fit(docs.select(f.alias("f")).select(F.array(*votes(F.col("f"))).alias("votes")))
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), f.alias("f"))
-    passed = held.where(~base_failed(F.col("f")) & (probability(F.array(*votes(F.col("f"))), fitted) >= 0.5))
+    held = written(docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), f.alias("f")), "features")
+    voted = F.array(*votes(F.col("f")))
+    fitted = fit(held.select(voted.alias("votes")))
+    passed = held.where(~base_failed(F.col("f")) & (probability(voted, fitted) >= 0.5))
     return passed.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

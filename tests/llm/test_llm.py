@@ -187,6 +187,20 @@ def test_quality(docs, plain, empty):
     assert sorted(r.doc_id or 0 for r in quality.good(docs).collect()) == sorted(r.doc_id or 0 for r in got.where("kept").collect())
 
 
+def test_repeats_between_windows_of_one_hash(spark):
+    """B has the first 36 bits of the hash of A and stands between A's places."""
+    a, b = "k293334 l293334 m293334", "k481096 l481096 m481096"
+    text = f"{a} x1 {b} x2 {a} x3 x4"
+    got = quality.judge(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert got.n_repeat_words == brute.quality(text)[4] == 6
+
+
+def test_quality_plan_is_small(spark):
+    """Features are worked out once, not at each use."""
+    plan = quality.good(documents(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert len(plan) < 20_000 and "regexp_extract_all" not in plan
+
+
 def test_quality_against_labels(spark):
     got = quality.judge(documents(spark, "/root/testdata/sf0.01")).toPandas()
     held = pd.read_parquet("/root/testdata/sf0.01/labels.parquet").rename(columns={"quality": "label"}).merge(got, on="doc_id")
