@@ -3,6 +3,7 @@
 A tokenizer that never joins across certain places (white space) gives a text
 the ids of its pieces in a row.  Most pieces of a text occur many times, so the
 library encodes each new piece once and numpy lays out the ids of all texts.
+Pieces are grouped by hash; ids are shared only by pieces of the same bytes.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from itertools import repeat
 
 import numpy as np
 
-from .words import EXACT, Words, _BYTE, _powers, mix
+from .words import EXACT, Words, _BYTE, mix, place_factors
 
 
 def pieces_after_space(texts: list[bytes]):
@@ -32,7 +33,7 @@ def pieces_after_space(texts: list[bytes]):
     place = np.arange(n, dtype=np.int64) - np.repeat(start, lens)
     value = _BYTE.copy()
     value[0x20] = 0x5851F42D4C957F2D
-    h = mix(np.add.reduceat(value[a] * _powers(int(lens.max()) + 1)[place], start) + lens.astype(np.uint64))
+    h = mix(np.add.reduceat(value[a] * place_factors(int(lens.max()) + 1)[place], start) + lens.astype(np.uint64))
     return buf, start, end, np.searchsorted(start, at), h
 
 
@@ -41,15 +42,25 @@ def words_between_space(texts: list[bytes]):
     return w.buf, w.start, w.end, w.first, w.hash
 
 
+def _alike(buf: bytes, start: np.ndarray, end: np.ndarray, model: np.ndarray) -> bool:
+    """Whether each piece has the bytes of its model, another piece."""
+    size = end - start
+    if (size != size[model]).any():
+        return False
+    a, to = np.frombuffer(buf, np.uint8), np.cumsum(size)
+    step = np.arange(to[-1])
+    return bool((a[np.repeat(start - to + size, size) + step] == a[np.repeat(start[model] - to + size, size) + step]).all())
+
+
 class PieceIds:
     """encode: ids of each of a list of pieces (strings).  keep: how many pieces a worker keeps between batches."""
 
     def __init__(self, encode, keep: int = 500_000):
         self.encode, self.keep = encode, keep
-        self.slot: dict[int, int] = {}
+        self.slot: dict[bytes, int] = {}
         self.flat, self.off = np.zeros(1 << 16, np.int32), np.zeros(1 << 14, np.int64)
 
-    def _add(self, keys: list[int], lists: list[list[int]]) -> None:
+    def _add(self, keys: list[bytes], lists: list[list[int]]) -> None:
         n, m = len(self.slot), len(lists)
         off = np.cumsum(np.fromiter(map(len, lists), np.int64, m)) + self.off[n]
         while len(self.off) <= n + m:
@@ -64,12 +75,17 @@ class PieceIds:
         """(ids of all texts in a row, where each text's ids begin and end in it)."""
         if not len(h):
             return np.zeros(0, np.int32), np.zeros(len(first), np.int64)
-        uniq, where, inv = np.unique(h, return_index=True, return_inverse=True)
-        slots = np.fromiter(map(self.slot.get, uniq.tolist(), repeat(-1)), np.int64, len(uniq))
+        _, where, inv = np.unique(h, return_index=True, return_inverse=True)
+        if not _alike(buf, start, end, where[inv]):
+            number: dict[bytes, int] = {}
+            inv = np.fromiter((number.setdefault(buf[a:b], len(number)) for a, b in zip(start.tolist(), end.tolist(), strict=True)), np.int64, len(h))
+            where = np.unique(inv, return_index=True)[1]
+        names = [buf[a:b] for a, b in zip(start[where].tolist(), end[where].tolist(), strict=True)]
+        slots = np.fromiter(map(self.slot.get, names, repeat(-1)), np.int64, len(names))
         new, added = np.flatnonzero(slots < 0), []
         if len(new):
-            n, added, w = len(self.slot), uniq[new].tolist(), where[new]
-            self._add(added, self.encode([buf[a:b].decode() for a, b in zip(start[w].tolist(), end[w].tolist(), strict=True)]))
+            n, added = len(self.slot), [names[i] for i in new.tolist()]
+            self._add(added, self.encode([x.decode() for x in added]))
             slots[new] = np.arange(n, n + len(new))
         begin, count = self.off[slots][inv], (self.off[slots + 1] - self.off[slots])[inv]
         ends = np.cumsum(count)

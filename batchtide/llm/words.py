@@ -6,7 +6,9 @@ on bytes and the same rule on characters give the same words.
 
 A batch is laid out as one buffer; the words of all its texts are found and
 hashed with a fixed number of numpy passes, whatever the number of words.
-Hashes are 64 bits, the same in every process and on every machine.
+Hashes are 64 bits, the same in every process and on every machine.  Two of n
+distinct words share one with a chance of about n**2 / 2**64: 0.05 % for 10**8
+words.  Where ids are reused (pieces.py) the bytes are compared as well.
 """
 
 from __future__ import annotations
@@ -38,19 +40,21 @@ _U = np.uint64
 _rng = np.random.default_rng(20240229)
 _BYTE = _rng.integers(1, 2**63, 256, dtype=np.int64).astype(_U) | _U(1)
 _BYTE[_SPACE] = 0
-_STEP = 0x9E3779B97F4A7C15
-_pow = np.ones(64, _U)
+_place = np.zeros(0, _U)
 
 
-def _powers(n: int) -> np.ndarray:
-    """Powers of an odd constant modulo 2**64, for places within a word."""
-    global _pow
-    if len(_pow) < n or _pow[1] == 1:
+def place_factors(n: int) -> np.ndarray:
+    """A factor for each place within a word, independent of one another.
+
+    A word's hash is the sum of its bytes' random values times these.  Two given
+    words that differ, of whatever shape, agree with a chance of about 2**-63;
+    with powers of one constant, as in a polynomial, some regular words always do.
+    """
+    global _place
+    if len(_place) < n:
         size = max(64, 1 << (n - 1).bit_length())
-        p = np.full(size, _STEP, _U)
-        p[0] = 1
-        _pow = np.multiply.accumulate(p)
-    return _pow
+        _place = mix(np.arange(1, size + 1, dtype=_U) * _U(0x9E3779B97F4A7C15))
+    return _place
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -94,7 +98,7 @@ class Words:
             place = np.arange(n, dtype=np.int64)
             place -= np.repeat(np.concatenate([[0], self.start]), np.diff(np.concatenate([[0], self.start, [n]])))
             np.minimum(place, longest, out=place)  # separators count as nothing
-            self.hash = mix(np.add.reduceat(_BYTE[a] * _powers(longest + 1)[place], self.start))
+            self.hash = mix(np.add.reduceat(_BYTE[a] * place_factors(longest + 1)[place], self.start))
         else:
             self.hash = np.zeros(0, _U)
 

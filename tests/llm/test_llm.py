@@ -73,6 +73,50 @@ def test_words():
             assert len(set(seen.values())) == len(seen)
 
 
+def thue_morse(n):
+    t = "a"
+    while len(t) < n:
+        t += t.translate({97: 98, 98: 97})
+    return t, t.translate({97: 98, 98: 97})
+
+
+@pytest.mark.parametrize("n", [1024, 4096])
+def test_words_that_polynomials_confuse(spark, n):
+    """Thue-Morse words, which every polynomial modulo 2**64 gives one hash, in op2, op3, op5, op9 and op10."""
+    import public_tokenizers as P
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    x, y = thue_morse(n)
+    raw = [x.encode(), y.encode()]
+    w = words.Words(raw, words.EXACT)
+    assert len(set(w.hash.tolist())) == 2
+    enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bytebpe.read_ranks(bytebpe.default_path()), special_tokens={})
+    bpe = bytebpe.load(bytebpe.default_path())
+    assert [i.tolist() for i in bpe.encode(raw)] == [enc.encode_ordinary(t) for t in (x, y)]
+    tok = Tokenizer.from_file(tokenfiles.default_path())
+    ids, at = tokenfiles.load(tokenfiles.default_path())(raw)
+    assert [ids[a:b].tolist() for a, b in zip(at, at[1:], strict=False)] == [tok.encode(t, add_special_tokens=False).ids for t in (x, y)]
+    rest = " ".join(f"v{i}" for i in range(60))
+    rows = [(0, f"{x} p q r"), (1, f"{y} p q r"), (2, f"{x} {rest}"), (3, f"{y} {rest}")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    same(neardup.report(d).collect(), [(i, m, c, i == c) for (i, _), (m, c) in zip(rows, brute.near(rows), strict=True)])
+    same(substrings.deduplicate(d).collect(), [(i, *r) for (i, _), r in zip(rows, brute.substrings([t for _, t in rows]), strict=True)])
+    got = {r.doc_id: r for r in suffixlm.score(d).collect()}
+    for (i, _), r in zip(rows, brute.unigrams(rows), strict=True):
+        assert (got[i].held_out, got[i].n_tokens, got[i].n_known, got[i].train_tokens) == r[:4] and got[i].base_score == pytest.approx(r[4])
+
+
+def test_pieces_of_one_hash(monkeypatch):
+    """Ids go by bytes, even if all pieces have one hash."""
+    from batchtide.llm import pieces
+
+    buf = b"ab cd ab x"
+    start, end, first = np.array([0, 3, 6, 9]), np.array([2, 5, 8, 10]), np.array([0, 4])
+    ids, at = pieces.PieceIds(lambda names: [[len(n), ord(n[0])] for n in names])(buf, start, end, first, np.zeros(4, np.uint64))
+    assert ids.tolist() == [2, 97, 2, 99, 2, 97, 1, 120] and at.tolist() == [0, 8]
+
+
 def test_licenses(docs, plain, empty):
     got = licenses.licenses(docs).select("doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels").collect()
     same(got, [(i, *brute.licenses(t)) for i, t in plain])
