@@ -4,26 +4,28 @@
    the same set are one node from here on, whatever their number.
 2. The forest is TREES sorted orders of the nodes.  A tree's order begins with
    BASE hashes of its own and goes on with those of other trees; nodes with the
-   same first BASE hashes are a region.  In each order a node is paired with
-   its nearest neighbours by common prefix and with the region's first node, so
-   pairs grow with the nodes, not with the square of a region.
-3. Pairs that agree in at least LOOSE hashes join nodes to families.  A family
-   of up to FAMILY nodes goes to one task, which compares all of its sets (by
-   products of their incidence matrix, no pair becomes a row) and gives back the
-   links that a spanning forest of its components needs.
-4. In a larger family, pairs whose sizes allow the similarity and whose
-   signatures don't rule it out (6.5 standard deviations) are compared on their
-   full sets, in units of bounded size.  Then all pairs of different components
-   are searched by prefix: with a set's shingles in order of how many sets of
-   the large families have them, rarest first, two sets of the similarity share
+   same first BASE hashes are a region, and neighbours in the order are those
+   with the longest common prefixes, so a region is looked at as deep as it is
+   dense.  A node is compared with the nodes one and two before it and with the
+   region's first, by two bits of each minwise hash, inside the task that holds
+   the order.  Those that agree in LOOSE of them join nodes to families; edges
+   that join what is joined already are not emitted, so edges grow with the
+   nodes, not with the square of a region.
+3. Neighbours that may have the similarity (their bits don't rule it out by 6.5
+   standard deviations) are compared on their full sets and give the first
+   components, which most copies of a group are in.
+4. In families of more than one component all pairs of different components
+   are searched, whatever the family's size: with a set's shingles in order of how many sets of
+   these families have them, rarest first, two sets of the similarity share
    one of the first n - ceil(n * percent / 100) + 1.  The sets that share one are
-   compared in blocks of about BLOCK by BLOCK, first by two bits of each
-   minwise hash (6.5 standard deviations again), then on their full sets.
+   compared in blocks of about BLOCK by BLOCK, first by the bits (6.5 standard
+   deviations again), then on their full sets.
 
 A pair at the threshold of 85 % is in one region of some tree but for a chance
-of (1 - 0.85**BASE)**TREES, about 2e-8, and then in one family.  Inside a
-family of any size no pair is left out but by the signature's 6.5 standard
-deviations.
+of (1 - 0.85**BASE)**TREES, about 2e-8, and in 12 of them on average; it is in
+one family if in any of these trees the nodes between the two, which have as
+long a common prefix with both, agree loosely.  Inside a family no pair is left
+out but by the bits' 6.5 standard deviations.
 
 Sizes: rows of the forest are ranged over tasks by the whole order, so a region
 that holds much of the corpus is many tasks' work; comparisons are dealt by
@@ -34,7 +36,11 @@ whatever the corpus, and any order gives the same pairs.
 
 Nulls and empty texts have no shingles and are linked with nothing; a null
 doc_id can't be a component's id unless all of its texts have none.  Texts with
-fewer words than a shingle have one shingle of all their words.
+fewer words than a shingle have one shingle of all their words.  Very long texts
+are worked on one at a time, whole.  Repeated rows are in one component each
+with the others; of rows with equal id and text `one_of_each` keeps the one that
+comes first as JSON.  An empty table gives an empty result.  Other columns,
+of whatever name, are not read, but for `one_of_each`, which keeps them.
 """
 
 from __future__ import annotations
@@ -51,8 +57,8 @@ from . import shared
 from .words import LOWER, Words, grams, pieces
 
 TREES, BASE, DEPTH = 24, 4, 12
-NEIGHBOURS = 2
-LOOSE, FAMILY, SMALL = 24, 3000, 24
+#: Equal pairs of bits, of TREES * BASE, that join nodes to a family; a quarter agree by chance.
+LOOSE = 45
 UNIT_PAIRS = 4000
 BUCKETS, BLOCK = 1 << 20, 512
 _U = np.uint64
@@ -135,65 +141,90 @@ def scan(docs: DataFrame, k: int, key: str = "doc_id", text: str = "text") -> Da
     return shared.written(shared.keyed(docs, key, text).mapInArrow(run, schema), "signatures")
 
 
-def forest(nodes: DataFrame) -> DataFrame:
-    """A written table of pairs (a, b) of neighbours."""
+def bits_of(signature: np.ndarray) -> np.ndarray:
+    """Two bits of each hash of some signatures: rows of packed low bits and then high bits."""
+    return np.concatenate([np.packbits(signature & 1, axis=1), np.packbits(signature >> 1 & 1, axis=1)], axis=1)
+
+
+def apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """In how many hashes the bits of two lists of nodes differ."""
+    far, half = x ^ y, x.shape[-1] // 2
+    return np.bitwise_count(far[..., :half] | far[..., half:]).sum(-1, dtype=np.int64)
+
+
+def most_apart(percent: int) -> int:
+    """Differing pairs of bits above which a similarity of so many percent is ruled out."""
+    n, share = TREES * BASE, percent / 100
+    same = share + (1 - share) / 4
+    return n - max(0, math.floor(n * same - 6.5 * math.sqrt(n * same * (1 - same))))
+
+
+def forest(nodes: DataFrame, percent: int) -> DataFrame:
+    """A written table of edges (a, b, near) between nodes that agree loosely; near if they may have the similarity."""
     orders = _tree_order()
+    near_by = most_apart(percent)
 
     def out(batch):
         sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), ">u2").reshape(batch.num_rows, -1)
+        bits = [x.tobytes() for x in bits_of(sig)]
         for t in range(TREES):
             place = np.ascontiguousarray(sig[:, orders[t]]).view(f"S{2 * DEPTH}").ravel()
             flat = place.tobytes()
-            yield {"tree": np.full(batch.num_rows, t), "place": [flat[i : i + 2 * DEPTH] for i in range(0, len(flat), 2 * DEPTH)], "uid": batch.column("uid")}
+            yield {"tree": np.full(batch.num_rows, t), "place": [flat[i : i + 2 * DEPTH] for i in range(0, len(flat), 2 * DEPTH)], "uid": batch.column("uid"), "n": batch.column("n"), "bits": bits}
 
-    rows = shared.arrow(nodes.select("uid", "signature"), out, "tree int, place binary, uid long")
-    schema = "a long, b long"
+    rows = shared.arrow(nodes.select("uid", "n", "signature"), out, "tree int, place binary, uid long, n long, bits binary")
+    schema = "a long, b long, near boolean"
     want = shared.arrow_schema(nodes.sparkSession, schema)
     cut = 2 * BASE
 
     def walk(batches):
-        pairs, region, last, leader = [], None, [], None
-
-        def put():
-            return pa.RecordBatch.from_pydict({"a": [x for x, _ in pairs], "b": [y for _, y in pairs]}, schema=want)
-
+        # what is carried from batch to batch: the region's first node and the last two
+        region, held = b"", None
         for batch in batches:
-            for t, p, u in zip(*(batch.column(c).to_pylist() for c in ("tree", "place", "uid")), strict=True):
-                now = (t, p[:cut])
-                if now != region:
-                    region, last, leader = now, [u], u
-                    continue
-                pairs.extend((min(u, x), max(u, x)) for x in dict.fromkeys([leader, *last]) if x != u)
-                last = [*last, u][-NEIGHBOURS:]
-            if len(pairs) > 50_000:
-                yield put()
-                pairs = []
-        if pairs:
-            yield put()
+            size = batch.num_rows
+            if not size:
+                continue
+            tree = batch.column("tree").to_numpy().astype(">u4").view(np.uint8).reshape(size, -1)
+            place = np.frombuffer(b"".join(batch.column("place").to_pylist()), np.uint8).reshape(size, -1)[:, :cut]
+            name = np.ascontiguousarray(np.concatenate([tree, place], axis=1)).view(f"V{4 + cut}").ravel()
+            uid, n = batch.column("uid").to_numpy(), batch.column("n").to_numpy()
+            bits = np.frombuffer(b"".join(batch.column("bits").to_pylist()), np.uint8).reshape(size, -1)
+            before = 0
+            if held is not None and name[0].tobytes() == region:
+                before = len(held[0])
+                uid, n, bits = (np.concatenate([x, y]) for x, y in zip(held, (uid, n, bits), strict=True))
+            new = np.ones(size, bool)
+            new[1:] = name[1:] != name[:-1]
+            new[0] = not before
+            fresh = np.concatenate([np.zeros(before, bool), new])
+            if before:
+                fresh[0] = True
+            at = np.arange(len(uid))
+            first = np.maximum.accumulate(np.where(fresh, at, 0))
+            some = at[(at >= before) & (at > first)]
+            one, two, lead = some - 1, np.maximum(some - 2, first[some]), first[some]
+            far = [apart(bits[some], bits[x]) for x in (one, two, lead)]
+            loose = [f <= TREES * BASE - LOOSE for f in far]
+            # a second edge is of use only where the first one is not there or doesn't lead on
+            step = np.zeros(len(uid), bool)
+            step[some] = loose[0]
+            led = step[one] & loose[0]
+            breaks = np.cumsum(~step & ~fresh)
+            chained = breaks[some] == breaks[lead]
+            use = [loose[0], loose[1] & ~led & (two < one), loose[2] & ~chained & (lead < two)]
+            sized = 100 * np.minimum(n[some], n[one]) >= percent * np.maximum(n[some], n[one])
+            near = [sized & (far[0] <= near_by), np.zeros(len(some), bool), np.zeros(len(some), bool)]
+            a = np.concatenate([uid[some][u] for u in use])
+            b = np.concatenate([uid[x][u] for x, u in zip((one, two, lead), use, strict=True)])
+            yield pa.RecordBatch.from_pydict({"a": np.minimum(a, b), "b": np.maximum(a, b), "near": np.concatenate([x[u] for x, u in zip(near, use, strict=True)])}, schema=want)
+            region = name[-1].tobytes()
+            keep = sorted({int(first[-1]), max(int(first[-1]), len(uid) - 2), len(uid) - 1})
+            held = (uid[keep], n[keep], bits[keep])
 
     order = ["tree", "place", "uid"]
     n = max(int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions")), 1)
-    return shared.written(rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(walk, schema), "forest")
-
-
-def least_agreement(percent: int) -> int:
-    """Equal hashes below which a similarity of so many percent is ruled out."""
-    n, j = TREES * BASE, percent / 100
-    return max(1, math.floor(n * j - 6.5 * math.sqrt(n * j * (1 - j))))
-
-
-def plausible(pairs: DataFrame, nodes: DataFrame, percent: int, least: int) -> DataFrame:
-    """Pairs whose sizes allow so many percent and whose signatures agree in at least so many hashes."""
-    one = nodes.select(F.col("uid").alias("a"), F.col("n").alias("n_a"), F.col("signature").alias("s_a"))
-    two = nodes.select(F.col("uid").alias("b"), F.col("n").alias("n_b"), F.col("signature").alias("s_b"))
-    sized = pairs.join(one, "a").join(two, "b").where(100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b"))
-
-    def run(batch):
-        x, y = (np.frombuffer(b"".join(batch.column(c).to_pylist()), ">u2").reshape(batch.num_rows, -1) for c in ("s_a", "s_b"))
-        keep = pa.array((x == y).sum(1) >= least)
-        yield {c: batch.column(c).filter(keep) for c in ("a", "b")}
-
-    return shared.arrow(sized.select("a", "b", "s_a", "s_b"), run, "a long, b long")
+    made = rows.repartitionByRange(n, *order).sortWithinPartitions(*order).mapInArrow(walk, schema)
+    return shared.written(made.groupBy("a", "b").agg(F.max("near").alias("near")), "forest")
 
 
 def _mates(live: DataFrame, turn: int) -> DataFrame:
@@ -234,80 +265,6 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return shared.written(found.join(least, "root").select("uid", F.col("least").alias("root")), "roots")
 
 
-def linked(sets: list[np.ndarray], percent: int) -> list[tuple[int, int]]:
-    """Links of a spanning forest of the components of some sets, from all of their pairs."""
-    n, root, out = len(sets), list(range(len(sets))), []
-
-    def find(i: int) -> int:
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    def join(i: int, j: int) -> None:
-        a, b = find(i), find(j)
-        if a != b:
-            root[max(a, b)] = min(a, b)
-            out.append((i, j))
-
-    size = np.array([len(s) for s in sets], np.int64)
-    if n <= SMALL:
-        for i in range(n):
-            for j in range(i + 1, n):
-                if find(i) != find(j) and 100 * min(size[i], size[j]) >= percent * max(size[i], size[j]):
-                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
-                    if 100 * both >= percent * (size[i] + size[j] - both):
-                        join(i, j)
-        return out
-    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    row = np.repeat(np.arange(n), size)
-    shared_by = held[column] > 1  # others add to no intersection
-    names, column = np.unique(column[shared_by], return_inverse=True)
-    row = row[shared_by]
-    order = np.argsort(column, kind="stable")
-    row, column = row[order], column[order]
-    both = np.zeros((n, n), np.float32)
-    for lo in range(0, len(names), 1024):
-        a, b = np.searchsorted(column, (lo, lo + 1024))
-        m = np.zeros((n, min(1024, len(names) - lo)), np.float32)
-        m[row[a:b], column[a:b] - lo] = 1
-        both += m @ m.T
-    for i in range(n):
-        for j in np.flatnonzero(100 * both[i].astype(np.int64) >= percent * (size[i] + size - both[i].astype(np.int64))).tolist():
-            if j > i:
-                join(i, j)
-    return out
-
-
-def link_families(members: DataFrame, scanned: DataFrame, k: int, percent: int) -> DataFrame:
-    """Links (a, b) within families of bounded size, from (uid, family): a written table."""
-    rows = scanned.select("uid", "packed").hint("merge").join(members, "uid").select("family", "uid", "packed")
-    want = shared.arrow_schema(members.sparkSession, "a long, b long")
-
-    def run(batches):
-        import zstandard
-
-        press, now, held = zstandard.ZstdDecompressor(), None, []
-
-        def put():
-            sets = shingle_sets([press.decompress(p) if p else b"" for _, p in held], k)
-            got = linked(sets, percent)
-            uid = [u for u, _ in held]
-            return pa.RecordBatch.from_pydict({"a": [min(uid[i], uid[j]) for i, j in got], "b": [max(uid[i], uid[j]) for i, j in got]}, schema=want)
-
-        for batch in batches:
-            for family, u, packed in zip(*(batch.column(c).to_pylist() for c in ("family", "uid", "packed")), strict=True):
-                if family != now:
-                    if len(held) > 1:
-                        yield put()
-                    now, held = family, []
-                held.append((u, packed))
-        if len(held) > 1:
-            yield put()
-
-    return shared.written(rows.repartition("family").sortWithinPartitions("family", "uid").mapInArrow(run, "a long, b long"), "links")
-
-
 def confirm(pairs: DataFrame, scanned: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have the similarity: a written table."""
     pairs = shared.written(pairs, "pairs")
@@ -385,20 +342,16 @@ def _rarity(texts: DataFrame, k: int) -> np.ndarray:
     return out
 
 
-def prefix_pairs(members: DataFrame, scanned: DataFrame, found: DataFrame, k: int, percent: int) -> DataFrame:
-    """All pairs of different components, among the members (uid), that may have the similarity."""
-    texts = scanned.select("uid", "n", "signature", "packed").hint("merge").join(members, "uid")
-    texts = shared.written(texts.join(found, "uid", "left").withColumn("root", F.coalesce("root", "uid")), "members")
+def prefix_pairs(members: DataFrame, scanned: DataFrame, k: int, percent: int) -> DataFrame:
+    """All pairs of different components, among the members (uid, root), that may have the similarity."""
+    texts = shared.written(scanned.select("uid", "n", "signature", "packed").hint("merge").join(members, "uid"), "members")
     rarity = _rarity(texts, k)
-    share = percent / 100
-    same = share + (1 - share) / 4  # of the pairs of bits
-    width = TREES * BASE
-    most = width - max(0, math.floor(width * same - 6.5 * math.sqrt(width * same * (1 - same))))
+    most = most_apart(percent)
 
     def head(batch):
         sets = _unpacked_sets(batch.column("packed").to_pylist(), k)
         sig = np.frombuffer(b"".join(batch.column("signature").to_pylist()), ">u2").reshape(len(sets), -1)
-        bits = np.concatenate([np.packbits(sig & 1, axis=1), np.packbits(sig >> 1 & 1, axis=1)], axis=1)
+        bits = bits_of(sig)
         firsts = []
         for s in sets:
             held = rarity[_bucket(s)]
@@ -422,15 +375,14 @@ def prefix_pairs(members: DataFrame, scanned: DataFrame, found: DataFrame, k: in
         def put():
             uid, n, root = (np.array([g[i] for g in group], np.int64) for i in (1, 2, 3))
             part = np.array([g[0] for g in group], np.int64)
-            bits = np.frombuffer(b"".join(g[4] for g in group), np.uint8).reshape(len(group), 2, -1)
+            bits = np.frombuffer(b"".join(g[4] for g in group), np.uint8).reshape(len(group), -1)
             a, b = [], []
             for i in range(len(group) - 1):
                 ok = (root[i + 1 :] != root[i]) & (100 * np.minimum(n[i], n[i + 1 :]) >= percent * np.maximum(n[i], n[i + 1 :]))
                 if now[1] != now[2]:
                     ok &= part[i + 1 :] != part[i]
                 j = np.flatnonzero(ok) + i + 1
-                far = bits[i] ^ bits[j]
-                j = j[np.bitwise_count(far[:, 0] | far[:, 1]).sum(1, dtype=np.int64) <= most]
+                j = j[apart(bits[i], bits[j]) <= most]
                 a.append(np.minimum(uid[i], uid[j]))
                 b.append(np.maximum(uid[i], uid[j]))
             return pa.RecordBatch.from_pydict({"a": np.concatenate(a), "b": np.concatenate(b)}, schema=want)
@@ -455,20 +407,16 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, key: str = "
     scanned = scan(docs, k, key, text)
     first = shared.written(scanned.where("node is not null").groupBy("node").agg(F.min("uid").alias("rep"), F.min("doc_id").alias("doc_id")), "sets")
     nodes = shared.written(scanned.select("uid", "n", "signature").join(first.select(F.col("rep").alias("uid")), "uid", "left_semi"), "nodes")
-    made = forest(nodes)
-    near = shared.written(plausible(made.distinct(), nodes, 0, LOOSE), "near")
-    family = components(near).withColumnRenamed("root", "family")
-    sizes = family.groupBy("family").agg(F.count(F.lit(1)).alias("size"))
-    family = shared.written(family.join(sizes, "family"), "families")
-    links = link_families(family.where(F.col("size") <= FAMILY).select("uid", "family"), scanned, k, percent)
-    large = family.where(F.col("size") > FAMILY)
-    if not large.isEmpty():
-        among = large.select(F.col("uid").alias("a"))
-        near = made.join(among, "a", "left_semi").distinct()
-        links = links.unionByName(confirm(plausible(near, nodes, percent, least_agreement(percent)), scanned, k, percent))
-        more = confirm(prefix_pairs(large.select("uid"), scanned, components(links), k, percent), scanned, k, percent)
-        links = links.unionByName(more)
+    made = forest(nodes, percent)
+    links = confirm(made.where("near").select("a", "b"), scanned, k, percent)
     found = components(links)
+    family = components(made).withColumnRenamed("root", "family").join(found, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
+    family = shared.written(family, "families")
+    mixed = family.groupBy("family").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("family")
+    mixed = shared.written(family.join(mixed, "family", "left_semi").select("uid", "root"), "mixed")
+    if not mixed.isEmpty():
+        more = confirm(prefix_pairs(mixed, scanned, k, percent), scanned, k, percent)
+        found = components(links.unionByName(more))
     rooted = first.join(found, first["rep"] == found["uid"], "left").select("node", "doc_id", F.coalesce("root", "rep").alias("root"))
     rooted = shared.written(rooted, "rooted")
     least = rooted.groupBy("root").agg(F.min("doc_id").alias("component_id"))
@@ -487,12 +435,13 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 80, key: str = "doc_
     """The rows of docs that are kept, with all their columns; of repeated rows one is.
 
     A row is told by its id and its text, so that the rows needn't be carried
-    through the search.
+    through the search; of rows with both equal the one whose JSON comes first stays.
     """
     kept = near_duplicates(docs, k, percent, key, text).where("kept").groupBy(F.col("doc_id").alias("_id"), F.col("said").alias("_said")).agg(F.count(F.lit(1)).alias("_n"))
     kept = shared.written(kept, "kept")
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(f"`{key}`").cast("long").alias("id"), F.unhex(F.md5(F.coalesce(F.col(f"`{text}`").cast("string"), F.lit("")).cast("binary"))).alias("said"))
-    rows = held.join(kept, F.col("said").eqNullSafe(F.col("_said")) & F.col("id").eqNullSafe(F.col("_id")), "left_semi")
+    rows = held.join(kept, F.col("said").eqNullSafe(F.col("_said")) & F.col("id").eqNullSafe(F.col("_id"))).select("id", "said", "_n", "row")
     if not kept.where("_n > 1").isEmpty():
-        rows = rows.dropDuplicates(["id", "said"])
+        first = rows.where("_n > 1").groupBy("id", "said").agg(F.min_by("row", F.to_json("row")).alias("row"))
+        rows = rows.where("_n = 1").select("id", "said", "row").unionByName(first)
     return rows.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])

@@ -371,10 +371,9 @@ def test_near_duplicates_dense_group(spark):
 
 
 def test_near_duplicates_large_family(spark, monkeypatch):
-    """Near copies at the threshold between texts of one template, in a family that is no single task's."""
-    monkeypatch.setattr(neardup, "FAMILY", 3)
-    monkeypatch.setattr(neardup, "BLOCK", 100, raising=False)
-    monkeypatch.setattr(neardup, "REGION", 2, raising=False)
+    """Near copies at the threshold between texts of one template, with blocks of few sets."""
+    monkeypatch.setattr(neardup, "BLOCK", 100)
+    monkeypatch.setattr(neardup, "UNIT_PAIRS", 50)
     rng = random.Random(4)
     template, rows = [f"w{i}" for i in range(200)], []
 
@@ -393,6 +392,32 @@ def test_near_duplicates_large_family(spark, monkeypatch):
     same(got.collect(), [(i, n, c, i == c) for (i, _), (n, c) in zip(rows, want, strict=True)])
 
 
+def test_near_duplicates_thousands(spark):
+    """5,000 near copies of one text are one component, told by less than 30 pairs a text."""
+    rng = random.Random(5)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for i in range(5000):
+        w = list(base)
+        for j in rng.sample(range(len(w)), rng.randrange(8)):
+            w[j] = f"x{rng.randrange(10**9)}"
+        rows.append((i, " ".join(w)))
+    d = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    assert neardup.report(d).where("component_id = 0").count() == 5000
+    scanned = neardup.scan(d, 3)
+    made = neardup.forest(scanned, 85).where("a <> b")
+    assert made.count() < 30 * 5000
+
+
+def test_one_of_each_row(spark):
+    """Of rows with one id and text the first as JSON stays; columns of any name do."""
+    text = "one two three four five six seven"
+    rows = [(1, text, "b", 9), (1, text, "a", 8), (2, text + " eight", "z", 7), (None, text, "n", 1), (3, None, "x", 0), (3, None, "x", 0), (4, "", "y", 5)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, _n string, uid int")
+    got = sorted(((r.doc_id, r._n, r.uid) for r in neardup.one_of_each(d).collect()))
+    assert got == [(1, "a", 8), (2, "z", 7), (3, "x", 0), (4, "y", 5)]
+
+
 def test_components_of_a_chain(spark):
     chain = [(i, i + 1) for i in range(999)]
     got = neardup.components(spark.createDataFrame([*chain, (5000, 4000), (4000, 4500)], "a long, b long")).collect()
