@@ -15,11 +15,15 @@
    standard deviations) are compared on their full sets and give the first
    components, which most copies of a group are in.
 4. In families of more than one component all pairs of different components
-   are searched, whatever the family's size: with a set's shingles in order of how many sets of
-   these families have them, rarest first, two sets of the similarity share
-   one of the first n - ceil(n * percent / 100) + 1.  The sets that share one are
-   compared in blocks of about BLOCK by BLOCK, first by the bits (6.5 standard
-   deviations again), then on their full sets.
+   are compared, whatever the family's size.  A family is dealt into parts of
+   about BLOCK sets and at most about SHINGLES shingles; a task has the sets of
+   two parts, multiplies their incidence matrix and gives back the links that
+   join something, so no pair becomes a row.  A family of more than PARTS parts
+   would send each set too often; there, with a set's shingles in order of how
+   many sets of these families have them, rarest first, two sets of the
+   similarity share one of the first n - ceil(n * percent / 100) + 1, so that
+   only sets that share one are compared, again in blocks, first by the bits (6.5
+   standard deviations), then on their full sets.  Both ways are exact.
 
 A pair at the threshold of 85 % is in one region of some tree but for a chance
 of (1 - 0.85**BASE)**TREES, about 2e-8, and in 12 of them on average; it is in
@@ -61,6 +65,8 @@ TREES, BASE, DEPTH = 24, 4, 12
 LOOSE = 45
 UNIT_PAIRS = 4000
 BUCKETS, BLOCK = 1 << 20, 512
+#: Shingles in a part of a family, parts up to which all pairs of parts are compared, and sets that are compared pair by pair.
+SHINGLES, PARTS, SMALL = 1_500_000, 32, 24
 _U = np.uint64
 
 
@@ -232,7 +238,7 @@ def _mates(live: DataFrame, turn: int) -> DataFrame:
     first = lambda c: F.xxhash64(c, F.lit(turn))
     both = live.select(F.col("a").alias("u"), F.col("b").alias("v")).unionByName(live.select(F.col("b").alias("u"), F.col("a").alias("v")))
     least = both.groupBy("u").agg(F.min_by("v", first("v")).alias("v"))
-    return shared.written(least.select("u", F.when(first("u") < first("v"), F.col("u")).otherwise(F.col("v")).alias("p")), "roots")
+    return least.select("u", F.when(first("u") < first("v"), F.col("u")).otherwise(F.col("v")).alias("p"))
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
@@ -265,6 +271,86 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     return shared.written(found.join(least, "root").select("uid", F.col("least").alias("root")), "roots")
 
 
+def linked(sets: list[np.ndarray], percent: int, group: list[int]) -> list[tuple[int, int]]:
+    """Links that join something among sets of which those of one group are joined already."""
+    n, out = len(sets), []
+    first: dict[int, int] = {}
+    root = [first.setdefault(g, i) for i, g in enumerate(group)]
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def join(i: int, j: int) -> None:
+        a, b = find(i), find(j)
+        if a != b:
+            root[max(a, b)] = min(a, b)
+            out.append((i, j))
+
+    size = np.array([len(s) for s in sets], np.int64)
+    if n <= SMALL:
+        for i in range(n):
+            for j in range(i + 1, n):
+                if find(i) != find(j) and 100 * min(size[i], size[j]) >= percent * max(size[i], size[j]):
+                    both = len(np.intersect1d(sets[i], sets[j], assume_unique=True))
+                    if 100 * both >= percent * (size[i] + size[j] - both):
+                        join(i, j)
+        return out
+    _, column, held = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    row = np.repeat(np.arange(n), size)
+    shared_by = held[column] > 1  # others add to no intersection
+    names, column = np.unique(column[shared_by], return_inverse=True)
+    row = row[shared_by]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    both = np.zeros((n, n), np.float32)  # counts below 2**24 are exact
+    for lo in range(0, len(names), 1024):
+        a, b = np.searchsorted(column, (lo, lo + 1024))
+        m = np.zeros((n, min(1024, len(names) - lo)), np.float32)
+        m[row[a:b], column[a:b] - lo] = 1
+        both += m @ m.T
+    for i in range(n):
+        common = both[i].astype(np.int64)
+        for j in np.flatnonzero(100 * common >= percent * (size[i] + size - common)).tolist():
+            if j > i:
+                join(i, j)
+    return out
+
+
+def link_parts(members: DataFrame, scanned: DataFrame, k: int, percent: int) -> DataFrame:
+    """Links (a, b) of all pairs of different roots within families, from (family, parts, uid, root): a written table."""
+    part = F.pmod(F.xxhash64("uid"), F.col("parts"))
+    sent = members.withColumn("part", part).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    # a part on its own is compared where there is no other
+    sent = sent.where("parts = 1 or part <> other").select("family", F.least("part", "other").alias("x"), F.greatest("part", "other").alias("y"), "uid", "root")
+    rows = scanned.select("uid", "packed").hint("merge").join(sent, "uid").select("family", "x", "y", "uid", "root", "packed")
+    want = shared.arrow_schema(members.sparkSession, "a long, b long")
+
+    def run(batches):
+        now, held = None, []
+
+        def put():
+            sets = _unpacked_sets([p for _, _, p in held], k)
+            got = linked(sets, percent, [r for _, r, _ in held])
+            uid = [u for u, _, _ in held]
+            return pa.RecordBatch.from_pydict({"a": [min(uid[i], uid[j]) for i, j in got], "b": [max(uid[i], uid[j]) for i, j in got]}, schema=want)
+
+        for batch in batches:
+            for f, x, y, *row in zip(*(batch.column(c).to_pylist() for c in ("family", "x", "y", "uid", "root", "packed")), strict=True):
+                if (f, x, y) != now:
+                    if len(held) > 1:
+                        yield put()
+                    now, held = (f, x, y), []
+                held.append(row)
+        if len(held) > 1:
+            yield put()
+
+    group = ["family", "x", "y"]
+    return shared.written(rows.repartition(*group).sortWithinPartitions(*group, "uid").mapInArrow(run, "a long, b long"), "links")
+
+
 def confirm(pairs: DataFrame, scanned: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) whose full sets have the similarity: a written table."""
     pairs = shared.written(pairs, "pairs")
@@ -411,11 +497,15 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, key: str = "
     links = confirm(made.where("near").select("a", "b"), scanned, k, percent)
     found = components(links)
     family = components(made).withColumnRenamed("root", "family").join(found, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
-    family = shared.written(family, "families")
-    mixed = family.groupBy("family").agg(F.min("root").alias("x"), F.max("root").alias("y")).where("x <> y").select("family")
-    mixed = shared.written(family.join(mixed, "family", "left_semi").select("uid", "root"), "mixed")
-    if not mixed.isEmpty():
-        more = confirm(prefix_pairs(mixed, scanned, k, percent), scanned, k, percent)
+    family = shared.written(family.join(nodes.select("uid", "n"), "uid"), "families")
+    parts = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum("n") / SHINGLES)).alias("parts")
+    mixed = family.groupBy("family").agg(F.min("root").alias("x"), F.max("root").alias("y"), parts).where("x <> y").select("family", "parts")
+    mixed = shared.written(family.join(mixed, "family").select("family", "parts", "uid", "root"), "mixed")
+    more = link_parts(mixed.where(F.col("parts") <= PARTS), scanned, k, percent)
+    large = mixed.where(F.col("parts") > PARTS).select("uid", "root")
+    if not large.isEmpty():
+        more = more.unionByName(confirm(prefix_pairs(large, scanned, k, percent), scanned, k, percent))
+    if not more.isEmpty():
         found = components(links.unionByName(more))
     rooted = first.join(found, first["rep"] == found["uid"], "left").select("node", "doc_id", F.coalesce("root", "rep").alias("root"))
     rooted = shared.written(rooted, "rooted")

@@ -370,10 +370,12 @@ def test_near_duplicates_dense_group(spark):
     same(got.collect(), [(i, n, c, i == c) for (i, _), (n, c) in zip(rows, want, strict=True)])
 
 
-def test_near_duplicates_large_family(spark, monkeypatch):
-    """Near copies at the threshold between texts of one template, with blocks of few sets."""
+@pytest.mark.parametrize("parts", [32, 1])
+def test_near_duplicates_large_family(spark, monkeypatch, parts):
+    """Near copies at the threshold between texts of one template, by pairs of parts and by prefixes."""
     monkeypatch.setattr(neardup, "BLOCK", 100)
     monkeypatch.setattr(neardup, "UNIT_PAIRS", 50)
+    monkeypatch.setattr(neardup, "PARTS", parts)
     rng = random.Random(4)
     template, rows = [f"w{i}" for i in range(200)], []
 
