@@ -241,19 +241,50 @@ def _mates(live: DataFrame, turn: int) -> DataFrame:
     return least.select("u", F.when(first("u") < first("v"), F.col("u")).otherwise(F.col("v")).alias("p"))
 
 
+def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, their least fellow) of the components of some edges, but for the least ones themselves."""
+    names, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = at[: len(a)], at[len(a) :]
+    root = np.arange(len(names))
+    while True:
+        p, q = root[x], root[y]
+        if not (open_ := p != q).any():
+            break
+        np.minimum.at(root, np.maximum(p, q)[open_], np.minimum(p, q)[open_])
+        while ((up := root[root]) != root).any():
+            root = up
+    own = np.flatnonzero(root != np.arange(len(names)))
+    return names[own], names[root[own]]
+
+
+def _contracted(edges: DataFrame) -> DataFrame:
+    """Distinct edges; what a task holds of a component is a star."""
+    schema = "a long, b long"
+    want = shared.arrow_schema(edges.sparkSession, schema)
+
+    def run(batches):
+        parts = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches if x.num_rows]
+        if parts:
+            high, low = stars(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+            for i in range(0, len(high), 100_000):
+                yield pa.RecordBatch.from_pydict({"a": low[i : i + 100_000], "b": high[i : i + 100_000]}, schema=want)
+
+    plain = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+    return shared.written(plain.mapInArrow(run, schema), "edges")
+
+
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
     """(uid, root) of every end of an edge; root is the smallest uid that it reaches.
 
-    In each round a node goes to its first neighbour, and then to that one's, by
-    an order that is hashed anew; the edges are drawn between what is left and
-    told apart once, so a dense group is few edges after the first round.  The
-    order owes nothing to the uids, so a share of the nodes goes in each round
-    whatever the shape, a chain in the order of its uids included.  It ends
-    when no edge is left; rounds only guards against a fault.  Tables are
-    written between.
+    A task first makes stars of the edges that it holds.  Then, in each round, a
+    node goes to its first neighbour, and to that one's, by an order that is
+    hashed anew, and the edges are drawn between what is left.  The order owes
+    nothing to the uids, so a share of the nodes goes in each round whatever the
+    shape, a chain in the order of its uids included.  It ends when no edge is
+    left; rounds only guards against a fault.  Tables are written between.
     """
     found = None
-    live = shared.written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct(), "edges")
+    live = _contracted(edges)
     for turn in range(rounds):
         up = _mates(live, turn)
         step = shared.written(up.join(up.select(F.col("u").alias("p"), F.col("p").alias("q")), "p").select("u", F.col("q").alias("p")), "roots")
@@ -262,7 +293,7 @@ def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
         else:
             found = shared.written(found.join(step.select(F.col("u").alias("root"), F.col("p").alias("to")), "root", "left").select("uid", F.coalesce("to", "root").alias("root")), "roots")
         drawn = live.join(step.select(F.col("u").alias("a"), F.col("p").alias("x")), "a").join(step.select(F.col("u").alias("b"), F.col("p").alias("y")), "b")
-        live = shared.written(drawn.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).where("a <> b").distinct(), "edges")
+        live = _contracted(drawn.select(F.col("x").alias("a"), F.col("y").alias("b")))
         if live.isEmpty():
             break
     else:
