@@ -2,18 +2,22 @@
 
 Some operators must know, for each of very many small keys of a text (windows,
 words), something about that key in the whole corpus.  A row for each key would
-be most of the work, so documents are packed into blocks of some MB, written
-once to the shared folder, and a block asks about its distinct keys together:
+be most of the work, so documents are packed into blocks of some MB, each
+written once as a file of the shared folder (named by the try that wrote it; the
+table of blocks lists those that counted), and a block asks about its distinct
+keys together:
 
 1. a block sorts its distinct 64-bit keys and cuts them by their top bits into
-   one slice a bucket, one row each (perhaps with a number for each key);
+   one slice a bucket, one row each (perhaps with numbers for each key);
 2. the task of a bucket sees the slices of all blocks, works out what is asked
    and answers each slice in its own order;
-3. the answers of a block come back to it and are put together.
+3. the answers of a block come to a task that reads the block again.
 
 A key that every document has still is one key in a block's slice, so no bucket
-depends on how often a key occurs; buckets hold equal shares of the hashes, and
-their number grows with the input.
+depends on how often a key occurs; buckets hold equal shares of the hashes.
+Rows are at most one a bucket and block, and never more than distinct keys:
+with buckets of BUCKET_BYTES some 15,000 at 4 GB and, as keys spread over more
+buckets, one row for about 100 keys at 1 TB and for one at 100 TB.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Bytes of text in a block, and in the share of a bucket.
-BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 4 << 20
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 32 << 20
 _U = np.uint64
 
 
@@ -54,8 +58,18 @@ def unpack(data: bytes) -> tuple[list, list[bytes]]:
     return [x if v else None for x, v in zip(k, ok, strict=True)], [raw[a:b] for a, b in zip([8 + 17 * n, *ends], ends, strict=False)]
 
 
+def load(path: str) -> tuple[list, list[bytes]]:
+    """The documents (keys, texts) of a block."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(path)
+    with system.open_input_stream(at) as f:
+        return unpack(f.read())
+
+
 def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = BLOCK_BYTES) -> DataFrame:
-    """A written table (block, n_bytes, data) of all documents; a null text counts as empty."""
+    """A written table (block, n_bytes, path) of all documents; a null text counts as empty."""
+    folder = shared.shared_folder(docs.sparkSession, "block-files")
 
     def run(batches):
         from pyspark import TaskContext
@@ -73,15 +87,30 @@ def blocks(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int =
             yield row(number, held, keys, texts)
 
     def row(number, held, keys, texts):
-        return pa.RecordBatch.from_pydict({"block": [number], "n_bytes": [held], "data": [pack(keys, texts)]})
+        import uuid
+
+        from pyarrow import fs
 
-    return shared.written(shared.keyed(docs, key, text).mapInArrow(run, "block long, n_bytes long, data binary"), "blocks")
+        path = f"{folder}/{number}-{uuid.uuid4().hex}"
+        system, at = fs.FileSystem.from_uri(path)
+        system.create_dir(at.rsplit("/", 1)[0])
+        with system.open_output_stream(at) as f:
+            f.write(pack(keys, texts))
+        return pa.RecordBatch.from_pydict({"block": [number], "n_bytes": [held], "path": [path]})
+
+    return shared.written(shared.keyed(docs, key, text).mapInArrow(run, "block long, n_bytes long, path string"), "blocks")
+
+
+def spread(held: DataFrame) -> int:
+    """Tasks for work on all blocks: one a block, within bounds set by the shuffle partitions."""
+    n = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(n, min(held.count(), 64 * n))
 
 
 def bucket_count(held: DataFrame) -> int:
-    """Buckets for a table of blocks: in proportion to its bytes, and some for each shuffle partition."""
+    """Buckets for a table of blocks: in proportion to its bytes, and one for each shuffle partition at least."""
     total = held.agg(F.sum("n_bytes")).first()[0] or 0
-    return max(4 * int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
+    return max(int(held.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BUCKET_BYTES))
 
 
 def pack_sorted(a: np.ndarray) -> bytes:
@@ -105,39 +134,44 @@ def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
     return np.concatenate([[0], np.searchsorted(keys, edge), [len(keys)]])
 
 
-def answers(
-    held: DataFrame,
-    buckets: int,
-    ask: Callable[[list, list[bytes]], tuple[np.ndarray, np.ndarray | None]],
-    answer: Callable[[list[np.ndarray], list[np.ndarray]], tuple[list[bytes], tuple[int, int]]],
-) -> DataFrame:
-    """Rows (block, part, data, x, y): the answer to each slice of each block, and two figures of each part in one of its rows.
+_SLICES = "bucket int, block long, keys binary, numbers binary"
 
-    ask: the sorted distinct keys of a block's documents (keys, texts), and numbers that go with them or None.
-    answer: from the slices of all blocks and their numbers to an answer for each and the part's two figures.
-    """
+
+def slices(block: int, keys: np.ndarray, numbers: np.ndarray | None, buckets: int) -> Iterator[dict]:
+    """Rows of a block's sorted distinct keys and the numbers that go with them."""
+    cut = _cuts(keys, buckets)
+    full = np.flatnonzero(np.diff(cut)).tolist()
+    for lo in range(0, len(full), 64):
+        some = full[lo : lo + 64]
+        yield {
+            "bucket": some,
+            "block": [block] * len(some),
+            "keys": [pack_sorted(keys[cut[b] : cut[b + 1]]) for b in some],
+            "numbers": [None if numbers is None else numbers[cut[b] : cut[b + 1]].tobytes() for b in some],
+        }
+
+
+def asked(held: DataFrame, buckets: int, ask: Callable[[list, list[bytes]], tuple[np.ndarray, np.ndarray | None]]) -> DataFrame:
+    """Slices of all blocks.  ask: the sorted distinct keys of a block's documents (keys, texts), and numbers that go with them or None."""
 
     def out(batch):
-        for block, data in zip(batch.column("block").to_pylist(), batch.column("data").to_pylist(), strict=True):
-            keys, numbers = ask(*unpack(data))
-            cut = _cuts(keys, buckets)
-            full = np.flatnonzero(np.diff(cut)).tolist()
-            for lo in range(0, len(full), 64):
-                some = full[lo : lo + 64]
-                yield {
-                    "bucket": some,
-                    "block": [block] * len(some),
-                    "keys": [pack_sorted(keys[cut[b] : cut[b + 1]]) for b in some],
-                    "numbers": [None if numbers is None else numbers[cut[b] : cut[b + 1]].astype("<u4").tobytes() for b in some],
-                }
-
-    asked = shared.arrow(held.select("block", "data"), out, "bucket int, block long, keys binary, numbers binary")
+        for block, path in zip(batch.column("block").to_pylist(), batch.column("path").to_pylist(), strict=True):
+            yield from slices(block, *ask(*load(path)), buckets)
+
+    return shared.arrow(held.select("block", "path").repartition(spread(held), "block"), out, _SLICES)
+
+
+def answered(asked: DataFrame, answer: Callable[[list[np.ndarray], list[bytes], list[int]], tuple[list[bytes], tuple[int, int]]]) -> DataFrame:
+    """Rows (block, part, data, x, y): the answer to each slice, and two figures of each part in one of its rows.
+
+    answer: from the slices of all blocks, their numbers (as bytes) and the blocks to an answer for each and the part's two figures.
+    """
 
     def work(batches):
         now, rows = None, []
 
         def put():
-            got, (x, y) = answer([unpack_sorted(k) for _, k, _ in rows], [np.frombuffer(n or b"", "<u4") for _, _, n in rows])
+            got, (x, y) = answer([unpack_sorted(k) for _, k, _ in rows], [n or b"" for _, _, n in rows], [b for b, _, _ in rows])
             return pa.RecordBatch.from_pydict({"block": pa.array([b for b, _, _ in rows], pa.int64()), "part": pa.array([now] * len(rows), pa.int32()), "data": pa.array(got, pa.binary()), "x": pa.array([x] + [0] * (len(got) - 1), pa.int64()), "y": pa.array([y] + [0] * (len(got) - 1), pa.int64())})
 
         for batch in batches:
@@ -153,29 +187,29 @@ def answers(
     return asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(work, "block long, part int, data binary, x long, y long")
 
 
-def with_answers(held: DataFrame, answered: DataFrame, use: Callable[[list, list[bytes], Iterator[bytes]], Iterator[dict]], schema: str) -> DataFrame:
-    """use: from a block's documents and its answers, in the order of its keys, to columns of rows."""
-    both = held.select("block", F.lit(-1).alias("part"), "data").unionByName(answered.select("block", "part", "data"))
+def with_answers(held: DataFrame, answered: DataFrame, use: Callable[[int, list, list[bytes], list[bytes]], Iterator[dict]], schema: str) -> DataFrame:
+    """use: from a block, its documents and its answers, in the order of its keys, to columns of rows."""
+    both = held.select("block", F.lit(-1).alias("part"), F.col("path").cast("binary").alias("data")).unionByName(answered.select("block", "part", "data"))
     want = shared.arrow_schema(held.sparkSession, schema)
 
     def work(batches):
-        now, data, parts = None, None, []
+        now, path, parts = None, None, []
 
         def put():
-            for out in use(*unpack(data), parts):
+            for out in use(now, *load(path.decode()), parts):
                 yield pa.RecordBatch.from_pydict(out, schema=want)
 
         for batch in batches:
             for block, part, x in zip(*(batch.column(c).to_pylist() for c in ("block", "part", "data")), strict=True):
                 if part == -1:
-                    if data is not None:
+                    if path is not None:
                         yield from put()
-                    now, data, parts = block, x, []
+                    now, path, parts = block, x, []
                 elif block != now:
                     raise ValueError("an answer without its block")
                 else:
                     parts.append(x)
-        if data is not None:
+        if path is not None:
             yield from put()
 
-    return both.repartition("block").sortWithinPartitions("block", "part").mapInArrow(work, schema)
+    return both.repartition(spread(held), "block").sortWithinPartitions("block", "part").mapInArrow(work, schema)

@@ -69,10 +69,11 @@ def _word_keys(keys: list, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         every.append(u)
         count.append(np.bincount(inv, train, len(u)).astype(np.int64))
     u, inv = np.unique(np.concatenate(every), return_inverse=True)
-    return u, np.bincount(inv, np.concatenate(count), len(u)).astype(np.int64)
+    return u, np.bincount(inv, np.concatenate(count), len(u)).astype("<u4")
 
 
-def _total(slices: list[np.ndarray], numbers: list[np.ndarray]):
+def _total(slices: list[np.ndarray], numbers: list[bytes], _):
+    numbers = [np.frombuffer(n, "<u4") for n in numbers]
     u, inv = np.unique(np.concatenate(slices), return_inverse=True)
     n = np.bincount(inv, np.concatenate(numbers), len(u)).astype(np.int64)
     return [n[np.searchsorted(u, s)].astype("<i8").tobytes() for s in slices], (int((n > 0).sum()), int(n.sum()))
@@ -108,8 +109,8 @@ def count_runs(held: DataFrame) -> DataFrame:
     def run(batches):
         parts = []
         for batch in batches:
-            for data in batch.column("data").to_pylist():
-                keys, texts = blocks.unpack(data)
+            for path in batch.column("path").to_pylist():
+                keys, texts = blocks.load(path)
                 texts = [t for k, t in zip(keys, texts, strict=True) if is_training(k)]
                 for lo, hi in pieces(texts):
                     parts.append(np.unique(_stream(texts[lo:hi])[0], return_counts=True))
@@ -123,7 +124,7 @@ def count_runs(held: DataFrame) -> DataFrame:
     def row(part):
         return pa.RecordBatch.from_arrays([pa.array(part[0].astype(np.int64)), pa.array(part[1].astype(np.int64))], names=["run", "n"])
 
-    return held.select("data").mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    return held.select("path", "block").repartition(blocks.spread(held), "block").mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
 
 def grow(runs: DataFrame) -> DataFrame:
@@ -266,7 +267,7 @@ def train(held: DataFrame, buckets: int = 1) -> str:
 def _answer(path: str, buckets: int):
     """Answers to slices of a bucket: log10 of each run's last symbol after the others."""
 
-    def answer(slices: list[np.ndarray], numbers: list[np.ndarray]):
+    def answer(slices: list[np.ndarray], numbers, _):
         u, inv = np.unique(np.concatenate(slices), return_inverse=True)
         first = int(u[0])
         bucket = first * buckets >> 64
@@ -281,14 +282,14 @@ def _answer(path: str, buckets: int):
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
     held = blocks.blocks(docs, key, text, block_bytes)
-    told = shared.written(blocks.answers(held, blocks.bucket_count(held), _word_keys, _total), "word-counts")
+    told = shared.written(blocks.answered(blocks.asked(held, blocks.bucket_count(held), _word_keys), _total), "word-counts")
     v, n = told.agg(F.coalesce(F.sum("x"), F.lit(0)), F.coalesce(F.sum("y"), F.lit(0))).first()
     buckets = blocks.bucket_count(held)
     path = train(held, buckets)
-    scored = blocks.answers(held, buckets, _run_keys, _answer(path, buckets))
+    scored = blocks.answered(blocks.asked(held, buckets, _run_keys), _answer(path, buckets))
     both = told.select("block", "part", "data").unionByName(scored.select("block", (F.col("part") + buckets).cast("int").alias("part"), "data"))
 
-    def use(keys, texts, parts):
+    def use(_, keys, texts, parts):
         known = _word_keys(keys, texts)[0]
         words = int(np.searchsorted(np.cumsum([len(p) for p in parts]), 8 * len(known))) + 1
         count = np.concatenate([np.frombuffer(p, "<i8") for p in parts[:words]])

@@ -212,6 +212,41 @@ def test_substrings(docs, plain, empty):
     assert substrings.deduplicate(empty).count() == 0
 
 
+def test_windows_of_one_hash():
+    """Windows with equal 64 bits are told apart by their checks."""
+    known, check = np.array([5, 7, 7, 9], np.uint64), np.array([1, 2, 3, 4], np.uint32)
+
+    class Fixed:
+        def grams(self, n):
+            return np.array([7, 7, 7, 5, 9], np.uint64), np.ones(5, bool)
+
+    old = substrings.Windows.checks
+    substrings.Windows.checks = staticmethod(lambda w, n: np.array([3, 2, 8, 1, 5], np.uint32))
+    try:
+        at, rank = substrings._find(known, check, Fixed(), 1)
+    finally:
+        substrings.Windows.checks = old
+    assert at.tolist() == [0, 1, 3] and rank.tolist() == [2, 1, 0]
+
+
+@pytest.mark.parametrize("n", [3, 12, 13, 35])
+def test_substrings_of_few_words(spark, n):
+    """Dense repeats across many small blocks, windows of several lengths."""
+    rng = random.Random(n)
+    texts = [" ".join(rng.choice("abc") * rng.randint(1, 2) for _ in range(rng.randint(0, 120))) for _ in range(60)] + ["z " * 90, "a b c " * 40]
+    got = substrings.deduplicate(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), n, block_bytes=500)
+    same(got.collect(), [(i, *w) for i, w in enumerate(brute.substrings(texts, n))])
+
+
+def test_factors_name_their_reference(spark):
+    """Each factor's words stand at its reference, which is the first place of its first window."""
+    rng = random.Random(2)
+    one, two = ([f"w{rng.randrange(10**6)}" for _ in range(80)] for _ in range(2))
+    rows = [(0, " ".join(one)), (1, " ".join(two)), (2, " ".join(one[10:60] + two[20:70])), (3, "x y z")]
+    got = {r.doc_id: r.spans for r in substrings.deduplicate(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1), with_text=True).collect()}
+    assert got[2] == [0, 50, 0, 10, 50, 100, 0, 100] and got[0] == [10, 60, 0, 10] and got[3] == []
+
+
 def test_decontamination(spark, docs, plain, empty, monkeypatch):
     items = [(1, "The quick brown fox jumps over a lazy dog and the quick"), (2, "two WORDS"), (3, None), (None, "no id"), (4, "..."), (5, plain[0][1][:300])]
     bench = spark.createDataFrame(items, "item_id long, text string")
