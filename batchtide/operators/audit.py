@@ -94,42 +94,59 @@ def venue_fills(events: DataFrame) -> DataFrame:
     return d.groupBy(F.floor(F.col("ts") / NS).alias("sec")).agg(total(~ask).alias("buy"), total(ask).alias("sell"), F.count(F.lit(1)).alias("events"), total(~ask & taker).alias("taker_buy"), total(ask & taker).alias("taker_sell"))
 
 
+def _rules(engine: str) -> list[tuple[str, Column, Column]]:
+    """(rule, where it applies, what holds there), from what the schema says of each metric."""
+    from ..schemas import DIFFERENCES, METRICS, NESTED, POSITIVE, PRINTED, PRODUCTS, RANGE, SCOPE, WITH_TRADES
+
+    c, told = F.col, lambda *names: reduce(lambda x, y: x & y, [F.col(n).isNotNull() for n in names])
+    foreign = [m for m in METRICS if SCOPE.get(m, engine) != engine]
+    out = [(f"{m} is not of this engine", F.lit(True), c(m).isNull()) for m in foreign]
+    for m, (least, most) in RANGE.items():
+        if m in foreign:
+            continue
+        bounds = [c(m) >= least - PRINTED] + ([c(m) <= most + PRINTED] if most is not None else [])
+        out.append((f"{m} from {least}" + (f" to {most}" if most is not None else ""), told(m), reduce(lambda x, y: x & y, bounds)))
+    out += [(f"{m} above 0", told(m), c(m) > 0) for m in POSITIVE]
+    traded = c("executed_volume") > 0
+    out += [(f"{m} goes with trades", F.lit(True), traded == (c(m).isNotNull() if empty == "null" else c(m) > 0)) for m, empty in WITH_TRADES.items()]
+    out.append(("a trade has one unit at least", traded, c("executed_volume") >= c("trade_count")))
+    for m, (x, y) in PRODUCTS:
+        # each printed number is off by half a digit at most
+        out.append((f"{m} is {x} times {y}", told(m, x, y), F.abs(c(m) - c(x) * c(y)) <= PRINTED * (1 + F.abs(c(x)) + F.abs(c(y))) + 1e-9 * F.abs(c(m))))
+    for m, (x, y) in DIFFERENCES:
+        out.append((f"{m} is {x} less {y}", told(x, y), F.coalesce(F.abs(c(m) - (c(x) - c(y))) <= 4 * PRINTED, F.lit(False))))
+        out.append((f"{m} needs {x} and {y}", c(m).isNotNull(), told(x, y)))
+    if "total_book_depth" not in foreign:
+        out += [(f"{x} is within {y}", told(x, y), c(x) <= c(y) + 2 * PRINTED) for x, y in zip(NESTED, NESTED[1:], strict=False)]
+    else:
+        out.append(("one price an interval's batches agree on", c("intra_interval_price_dispersion").isNotNull() & (c("trade_count") == 1), F.abs(c("intra_interval_price_dispersion")) <= PRINTED))
+    return out
+
+
 def invariants(d: DataFrame, engine: str, width: int) -> DataFrame:
-    """(rule, checked, violations) of an engine's interval table; one pass."""
-    c = F.col
-    w = Window.partitionBy("coin").orderBy("interval_start_ns")
-    step = c("interval_start_ns") - F.lag("interval_start_ns").over(w)
-    vol, yes = c("executed_volume") > 0, F.lit(True)
-    rules: list[tuple[str, Column, Column]] = [
-        ("grid: intervals follow one another", c("_step").isNotNull(), c("_step") != width),
-        ("grid: width", yes, c("interval_width_ns") != width),
-        ("trades: vwap if and only if volume", yes, vol != c("vwap").isNotNull()),
-        ("trades: vwap times volume is notional", vol, F.abs(c("vwap") * c("executed_volume") - c("executed_notional")) > 2e-6 * c("executed_notional")),
-        ("trades: count if and only if volume", yes, vol != (c("trade_count") > 0)),
-        ("trades: volume at least count", vol, c("executed_volume") < c("trade_count")),
-        ("book: quoted spread above zero", c("quoted_spread_bps").isNotNull(), c("quoted_spread_bps") <= 0),
-        ("fill rate at most one", c("fill_rate").isNotNull(), c("fill_rate") > 1 + 1e-9),
-        ("pricing error is empty", yes, c("pricing_error_bps").isNotNull()),
-    ]
-    for h in ("1s", "5s", "30s"):
-        e, r, p = c("effective_spread_bps"), c(f"realized_spread_bps_{h}"), c(f"price_impact_bps_{h}")
-        both = e.isNotNull() & r.isNotNull()
-        rules += [(f"impact {h} is effective less realized", both, F.abs(p - (e - r)) > 2e-6), (f"impact {h} if and only if both", yes, both != p.isNotNull())]
-    rules += [(f"range: {x}", c(x).isNotNull(), (c(x) < lo) | (c(x) > 1)) for x, lo in (("book_imbalance", -1), ("boundary_concentration", 0), ("unexecuted_residual_share", 0))]
-    rules += [
-        (f"at least zero: {x}", c(x).isNotNull(), c(x) < 0)
-        for x in ("intra_interval_price_dispersion", "trader_surplus", "amihud_illiquidity", "realized_volatility", "effective_spread_bps", "executed_volume", "executed_notional", "depth_at_best")
+    """(rule, checked, violations) of an engine's interval table.
+
+    The grid is told by its ends and its count: distinct starts that are whole
+    widths from the first one, as many as lie between the ends, follow one another.
+    """
+    c, start = F.col, F.col("interval_start_ns")
+    ends = d.groupBy("coin").agg(F.min(start).alias("_first"), F.max(start).alias("_last"), F.count(F.lit(1)).alias("_rows"), F.countDistinct(start).alias("_starts"))
+    n = (c("_last") - c("_first")) / width + 1
+    grid = [
+        ("grid: whole widths from the first", F.lit(True), c("_off") == 0),
+        ("grid: as wide as asked for", F.lit(True), c("_width") == 0),
+        ("grid: one row a start", F.lit(True), c("_rows") == c("_starts")),
+        ("grid: as many rows as between the ends", F.lit(True), c("_starts") == n),
     ]
-    if engine == "cda":
-        bands = ["depth_within_10bps", "depth_within_50bps", "depth_within_100bps", "total_book_depth"]
-        rules += [(f"{a} at most {b}", c(a).isNotNull(), c(a) > c(b) + 1e-3) for a, b in zip(bands, bands[1:], strict=False)]
-        rules.append(("no metrics of the batch engine", yes, c("boundary_concentration").isNotNull() | c("unexecuted_residual_share").isNotNull()))
-    else:
-        rules.append(("no metrics of the continuous engine", yes, c("book_imbalance").isNotNull() | c("total_book_depth").isNotNull()))
-        rules.append(("one price: dispersion is zero", c("intra_interval_price_dispersion").isNotNull(), c("intra_interval_price_dispersion") != 0))
-    sums = [F.struct(F.lit(n).alias("rule"), F.sum(F.when(a, 1).otherwise(0)).alias("checked"), F.sum(F.when(a & b, 1).otherwise(0)).alias("violations")).alias(f"r{i}") for i, (n, a, b) in enumerate(rules)]
-    one = d.withColumn("_step", step).agg(*sums)
-    return one.select(F.explode(F.array(*one.columns)).alias("r")).select("r.*")
+    hit = lambda x: F.sum(F.when(x, 1).otherwise(0))
+    off = d.join(F.broadcast(ends), "coin").groupBy("coin", "_first", "_last", "_rows", "_starts").agg(hit((start - c("_first")) % width != 0).alias("_off"), hit(c("interval_width_ns") != width).alias("_width"))
+
+    def counted(rows, rules):
+        sums = [F.struct(F.lit(name).alias("rule"), F.coalesce(hit(where), F.lit(0)).alias("checked"), F.coalesce(hit(where & ~holds), F.lit(0)).alias("violations")).alias(f"r{i}") for i, (name, where, holds) in enumerate(rules)]
+        one = rows.agg(*sums)
+        return one.select(F.explode(F.array(*one.columns)).alias("r")).select("r.*")
+
+    return counted(off, grid).unionByName(counted(d, _rules(engine)))
 
 
 def summary(d: DataFrame, metrics: list[str]) -> DataFrame:

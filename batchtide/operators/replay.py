@@ -9,10 +9,9 @@ engine objects serve the streaming operator.
 from __future__ import annotations
 
 import time
-from bisect import bisect_right, insort
+from bisect import insort
 from heapq import heappop, heappush
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -143,82 +142,139 @@ def bands(reference: int, levels) -> tuple[int, ...]:
     return tuple(out)
 
 
+class _Queue:
+    """Open orders of one side by limit price (None: at the market), with the quantity of each price."""
+
+    def __init__(self, is_ask: bool):
+        self.is_ask = is_ask
+        self.orders: dict[int | None, dict[int, list]] = {}
+        self.total: dict[int | None, int] = {}
+
+    def add(self, number: int, order: list) -> None:
+        self.orders.setdefault(order[3], {})[number] = order
+        self.total[order[3]] = self.total.get(order[3], 0) + order[4]
+
+    def take(self, number: int, order: list, quantity: int) -> bool:
+        """Takes some of an order off; true if nothing is left of it."""
+        limit = order[3]
+        order[4] -= quantity
+        self.total[limit] -= quantity
+        if order[4]:
+            return False
+        del self.orders[limit][number]
+        if not self.orders[limit]:
+            del self.orders[limit], self.total[limit]
+        return True
+
+    def limits(self) -> list[int]:
+        """Prices, the keenest first."""
+        return sorted((p for p in self.total if p is not None), reverse=not self.is_ask)
+
+    def keenest(self) -> int | None:
+        return (min if self.is_ask else max)((p for p in self.total if p is not None), default=None)
+
+    def ranked(self):
+        """(number, order) by priority: at the market, then by price, each by time and id."""
+        for p in ([None] if None in self.orders else []) + self.limits():
+            yield from sorted(self.orders[p].items(), key=lambda x: (x[1][0], x[1][1]))
+
+
 class Batch:
     """Frequent batch auction: one price a batch, leftovers roll over.
 
-    The pool is held as columns; clearing works on price levels with sums from
-    both ends, and fills are ranges of the two sides' cumulated quantities.
+    Each side keeps its orders by price with the prices' quantities, so a
+    clearing reads levels and only as many orders as trade.
     """
 
     def __init__(self):
         self.pool: dict[int, list] = {}  # by arrival: [ts, oid, is_ask, limit or None, left, user]
+        self.sides = {False: _Queue(False), True: _Queue(True)}
         self.by_oid: dict[int, list[int]] = {}
+        self.times: list[tuple[int, int]] = []  # newest first, with arrivals that may be gone
         self.last: int | None = None
         self.arrivals = self.trades = self.submitted = 0
 
     def submit(self, ts: int, oid: int, is_ask: bool, limit: int | None, quantity: int, user: str) -> None:
         self.submitted += quantity
-        self.pool[self.arrivals] = [ts, oid, is_ask, limit, quantity, user]
+        order = self.pool[self.arrivals] = [ts, oid, is_ask, limit, quantity, user]
+        self.sides[is_ask].add(self.arrivals, order)
+        heappush(self.times, (-ts, self.arrivals))
         self.by_oid.setdefault(oid, []).append(self.arrivals)
         self.arrivals += 1
 
     def cancel(self, oid: int) -> bool:
         """All open orders of that id go."""
-        gone = [self.pool.pop(i, None) for i in self.by_oid.pop(oid, ())]
-        return any(x is not None for x in gone)
+        hit = False
+        for number in self.by_oid.pop(oid, ()):
+            if (order := self.pool.get(number)) is not None:
+                self._take(number, order[4])
+                hit = True
+        return hit
+
+    def _take(self, number: int, quantity: int) -> None:
+        order = self.pool[number]
+        if self.sides[order[2]].take(number, order, quantity):
+            del self.pool[number]
+
+    def newest(self) -> int:
+        """The latest time of an open order."""
+        while self.times[0][1] not in self.pool:
+            heappop(self.times)
+        return -self.times[0][0]
+
+    def levels(self) -> list[tuple[int | None, bool, int]]:
+        return [(p, a, q) for a, side in self.sides.items() for p, q in side.total.items()]
+
+    def price(self) -> tuple[int, int, int] | None:
+        """(price, demand, supply) that trades most; then the least imbalance, the nearest to the last price, the lowest."""
+        buy, sell = self.sides[False].total, self.sides[True].total
+        demand, supply = sum(buy.values()), sell.get(None, 0)
+        best = found = None
+        for p in sorted({*buy, *sell} - {None}):  # going up, sellers join at p and buyers leave above it
+            supply += sell.get(p, 0)
+            merit = (min(demand, supply), -abs(demand - supply), 0 if self.last is None else -abs(p - self.last), -p)
+            if best is None or merit > best:
+                best, found = merit, (p, demand, supply)
+            demand -= buy.get(p, 0)
+        return found
 
     def clear(self) -> tuple[int, int, int, list[tuple]] | None:
         """(price, demand, supply, trades); None if there is no limit price.  Trades: (id, quantity, buyer, seller, buy oid, sell oid)."""
-        orders = list(self.pool.items())
-        limits = np.array([o[3] if o[3] is not None else -1 for _, o in orders], np.int64)
-        left = np.array([o[4] for _, o in orders], np.int64)
-        ask = np.array([o[2] for _, o in orders], bool)
-        market = limits < 0
-        if market.all():
+        if (found := self.price()) is None:
             return None
-        prices = np.unique(limits[~market])
-        demand = np.zeros(len(prices) + 1, np.int64)
-        supply = np.zeros(len(prices) + 1, np.int64)
-        np.add.at(demand, np.searchsorted(prices, limits[~ask & ~market]), left[~ask & ~market])
-        np.add.at(supply, np.searchsorted(prices, limits[ask & ~market]), left[ask & ~market])
-        demand = demand[:-1][::-1].cumsum()[::-1] + left[~ask & market].sum()
-        supply = supply[:-1].cumsum() + left[ask & market].sum()
-        away = np.abs(prices - self.last) if self.last is not None else np.zeros(len(prices), np.int64)
-        i = int(np.lexsort((prices, away, np.abs(demand - supply), -np.minimum(demand, supply)))[0])
-        price, d, s = int(prices[i]), int(demand[i]), int(supply[i])
-        ranked = []
-        for is_ask in (False, True):
-            can = (ask == is_ask) & (market | (limits <= price if is_ask else limits >= price))
-            sign = 1 if is_ask else -1
-            ranked.append(sorted(np.flatnonzero(can).tolist(), key=lambda j, g=sign: (not market[j], 0 if market[j] else g * limits[j], orders[j][1][0], orders[j][1][1])))
-        buys, sells = ranked
-        trades = []
-        if min(d, s):
-            b, a = (np.cumsum(left[x]) for x in ranked)
-            cuts = np.unique(np.concatenate([b, a]))
-            cuts = cuts[cuts <= min(d, s)]
-            for lo, hi in zip([0, *cuts.tolist()], cuts.tolist(), strict=False):
-                x, y = orders[buys[bisect_right(b, lo)]], orders[sells[bisect_right(a, lo)]]
-                trades.append((self.trades, hi - lo, x[1][5], y[1][5], x[1][1], y[1][1]))
+        price, demand, supply = found
+        open_, trades = min(demand, supply), []
+        if open_:
+            queues = [self.sides[a].ranked() for a in (False, True)]
+            heads: list = [None, None]
+            matched = []
+            while open_:  # ranked() is read while nothing changes below it; what trades is taken off afterwards
+                for i in (0, 1):
+                    if heads[i] is None or not heads[i][2]:
+                        number, order = next(queues[i])
+                        heads[i] = [number, order, order[4]]
+                quantity = min(heads[0][2], heads[1][2], open_)
+                (b, x, _), (a, y, _) = heads
+                trades.append((self.trades, quantity, x[5], y[5], x[1], y[1]))
+                matched += [(b, quantity), (a, quantity)]
                 self.trades += 1
-                for k, o in (x, y):
-                    o[4] -= hi - lo
-                    if not o[4]:
-                        self.pool.pop(k, None)
+                open_ -= quantity
+                heads[0][2] -= quantity
+                heads[1][2] -= quantity
+            for number, quantity in matched:
+                self._take(number, quantity)
             self.last = price
-        return price, d, s, trades
+        return price, demand, supply, trades
 
     def best_unfilled(self) -> tuple[int | None, int | None]:
-        return (
-            max((o[3] for o in self.pool.values() if not o[2] and o[3] is not None), default=None),
-            min((o[3] for o in self.pool.values() if o[2] and o[3] is not None), default=None),
-        )
+        return tuple(self.sides[a].keenest() for a in (False, True))
 
     def resting(self):
-        for is_ask in (False, True):
-            side = [o for o in self.pool.values() if o[2] == is_ask]
-            for ts, oid, _, limit, left, user in sorted(side, key=lambda o: (o[3] is None, 0 if o[3] is None else (o[3] if is_ask else -o[3]), o[0], o[1])):
-                yield is_ask, limit, ts, oid, user, left, limit is None
+        for is_ask, side in self.sides.items():
+            last = [None] if None in side.orders else []
+            for p in side.limits() + last:
+                for ts, oid, _, limit, left, user in sorted(side.orders[p].values(), key=lambda o: (o[0], o[1])):
+                    yield is_ask, limit, ts, oid, user, left, limit is None
 
 
 class Replay:
@@ -274,21 +330,20 @@ class Replay:
         self.batch += 1
         if fba is None or not fba.pool:
             return
-        pool = [(o[3], o[2], o[4]) for o in fba.pool.values()]
-        newest = max(o[0] for o in fba.pool.values())
-        flow = sum(-q if a else q for _, a, q in pool)
+        levels, orders, newest = fba.levels(), len(fba.pool), fba.newest()
+        flow = sum(-q if a else q for _, a, q in levels)
         was = fba.last
         began = time.perf_counter_ns()
         got = fba.clear()
         spent = time.perf_counter_ns() - began
         if got is None:
-            self.out["batch"].append((self.coin, batch, ts, self.opened, None, 0, 0, flow, 0, 0, *fba.best_unfilled(), *(0,) * 6, len(pool), spent))
+            self.out["batch"].append((self.coin, batch, ts, self.opened, None, 0, 0, flow, 0, 0, *fba.best_unfilled(), *(0,) * 6, orders, spent))
             return
         price, d, s, trades = got
         for n, q, buyer, seller, b, a in trades:
             self.out["trade"].append((self.coin, "fba", n, None, price, q, buyer, seller, b, a, newest, was, None))
-        depth = bands(price, ((price if p is None else p, a, q) for p, a, q in pool))
-        self.out["batch"].append((self.coin, batch, ts, self.opened, price, d, s, flow, sum(t[1] for t in trades), abs(d - s), *fba.best_unfilled(), *depth, len(pool), spent))
+        depth = bands(price, ((price if p is None else p, a, q) for p, a, q in levels))
+        self.out["batch"].append((self.coin, batch, ts, self.opened, price, d, s, flow, sum(t[1] for t in trades), abs(d - s), *fba.best_unfilled(), *depth, orders, spent))
 
     def finish(self) -> None:
         """Clears the batch that is still open, at the last record's time."""
@@ -340,8 +395,7 @@ def prepared(events: DataFrame) -> DataFrame:
 def replay(events: DataFrame, width: int, engines: tuple[str, ...] = ("cda", "fba"), books: bool = True, resting: bool = False) -> DataFrame:
     """Tagged rows of the replay of every coin (see tagged_schema).
 
-    Without books, records that no engine acts on are left out before the
-    shuffle, except that every record moves the clock.
+    Every record moves the clock, so all are read.
     """
     schema = tagged_schema()
     want = arrow(schema)

@@ -34,6 +34,24 @@ METRICS = INTERVAL_COLUMNS[3:]
 #: Which engine has a metric (others have both, or need outside data).
 SCOPE = {"book_imbalance": "cda", "total_book_depth": "cda", "boundary_concentration": "fba", "unexecuted_residual_share": "fba", "pricing_error_bps": "external"}
 
+#: What a metric may be: (least, most), either of them open-ended.
+RANGE = {
+    **dict.fromkeys(("executed_volume", "executed_notional", "trader_surplus", "depth_at_best", "total_book_depth"), (0, None)),
+    **dict.fromkeys(("effective_spread_bps", "amihud_illiquidity", "realized_volatility", "intra_interval_price_dispersion"), (0, None)),
+    **dict.fromkeys(("boundary_concentration", "unexecuted_residual_share", "fill_rate"), (0, 1)),
+    "book_imbalance": (-1, 1),
+}
+#: What is above zero wherever it is told.
+POSITIVE = ("quoted_spread_bps", "vwap")
+#: (product, factors), (difference, its two terms), and depths of which each holds the one before.
+PRODUCTS = [("executed_notional", ("vwap", "executed_volume"))]
+DIFFERENCES = [(f"price_impact_bps_{h}", ("effective_spread_bps", f"realized_spread_bps_{h}")) for h in ("1s", "5s", "30s")]
+NESTED = ("depth_within_10bps", "depth_within_50bps", "depth_within_100bps", "total_book_depth")
+#: What an interval with trades tells and one without doesn't, whether as null or as zero.
+WITH_TRADES = {"vwap": "null", "trade_count": "zero", "executed_notional": "zero"}
+#: Half of the last digit that is printed.
+PRINTED = 5e-7
+
 
 def names(ddl: str) -> list[str]:
     return [c.split()[0] for c in ddl.split(", ")]

@@ -30,12 +30,21 @@ FIRST_TS, LAST_TS, TOP = 1577836800 * 10**9, 2051222400 * 10**9, {"status_id": 1
 _ROWS = 1 << 16
 
 
+#: By number of decimal digits (the top three bits of a packed number): what turns its count into millionths.
+_TIMES = np.array([10**6, 10**5, 10**4, 10**3, 10**2, 10, 1, 1], np.int64)
+_OVER = np.array([1, 1, 1, 1, 1, 1, 1, 10], np.int64)
+
+
 def unpack_price(p: np.ndarray, signed: bool = False) -> np.ndarray:
-    p = p.astype(np.int64)
-    digits, bits = p >> 29, 28 if signed else 29
-    v = p & ((1 << bits) - 1)
-    out = np.where(digits <= 6, v * 10 ** np.maximum(6 - digits, 0), (v + 5) // 10)
-    return np.where(p >> 28 & 1 == 1, -out, out) if signed else out
+    """Millionths of packed numbers: digits in 3 bits, if signed a sign bit, and a count; a seventh digit is rounded, halves up."""
+    whole = p.astype(np.int64)
+    count_bits = 28 if signed else 29
+    digits = np.right_shift(whole, 29)
+    count = np.bitwise_and(whole, 2**count_bits - 1)
+    millionths = (count * _TIMES[digits] + _OVER[digits] // 2) // _OVER[digits]
+    if signed:
+        millionths *= 1 - 2 * np.bitwise_and(np.right_shift(whole, 28), 1)
+    return millionths
 
 
 def unpack_quantity(p: np.ndarray) -> np.ndarray:
