@@ -104,6 +104,21 @@ def format_duration(secs: Column) -> Column:
     return F.when(h > 0, F.format_string("%dh %02dm %02ds", h, m, s)).when(m > 0, F.format_string("%dm %02ds", m, s)).otherwise(F.format_string("%ds", s))
 
 
+def eta_suffix(done: Column, total: Column, elapsed_secs: Column) -> Column:
+    """', ETA <duration>' of what is left at the pace so far; empty while nothing is done and once all is."""
+    left = F.floor(elapsed_secs * (total - done) / done)
+    return F.when((done > 0) & (done < total), F.concat(F.lit(", ETA "), format_duration(left))).otherwise("")
+
+
+def record_hash(words: list[Column], prime: int = 1_000_003) -> Column:
+    """A polynomial of a record's words modulo 2**64, as a decimal."""
+    kind = "decimal(38,0)"
+    whole, out = F.lit(str(1 << 64)).cast(kind), F.lit(0).cast(kind)
+    for w in words:
+        out = ((out * F.lit(prime).cast("decimal(7,0)")).cast(kind) + w.cast(kind)).cast(kind) % whole
+    return out.cast("decimal(20,0)")
+
+
 def slugify(path: Column) -> Column:
     """The last part of a path with other characters as underscores."""
     return F.regexp_replace(F.element_at(F.split(F.regexp_replace(path, r"[/\\]+$", ""), r"[/\\]"), -1), "[^A-Za-z0-9._-]", "_")

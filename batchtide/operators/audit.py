@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import classify
 from ..functions.scalars import NS
+from . import ordered, stats
 
 GAP = 60 * NS
 
@@ -34,8 +35,8 @@ def with_labels(histogram: DataFrame, labels: DataFrame) -> DataFrame:
 
 def interarrival(events: DataFrame, keys: list[str], every: int = 200) -> DataFrame:
     """Statistics of each ``every``-th time difference within a file."""
-    w = Window.partitionBy(*keys).orderBy("seq")
-    d = events.withColumn("gap", F.col("ts") - F.lag("ts").over(w)).where("gap is not null").withColumn("_i", F.row_number().over(w)).where(F.col("_i") % every == 1)
+    d = stats.numbered(ordered.lagged(events, "_before", F.col("ts"), "seq", keys), keys, "seq", "_i")
+    d = d.where((F.col("_i") > 0) & (F.col("_i") % every == 1)).withColumn("gap", F.col("ts") - F.col("_before"))
     g = F.col("gap")
     return d.agg(F.count(g).alias("n"), F.avg(g).alias("mean"), F.percentile(g, F.lit(0.5)).alias("median"), F.percentile(g, F.lit(0.9)).alias("p90"), F.percentile(g, F.lit(0.99)).alias("p99"), F.avg(F.when(g == 0, 1.0).otherwise(0.0)).alias("zero_share"))
 
@@ -47,12 +48,71 @@ def duplicates(events: DataFrame, columns: list[str], file: str = "coin") -> Dat
     return same.groupBy(file).agg(F.sum("_n").alias("records"), F.sum(F.col("_n") - 1).alias("repeats"), F.sum((F.col("_n") - 1) * F.col("_live")).alias("live_repeats"))
 
 
+def repeats_by_status(events: DataFrame, columns: list[str], file: str = "file") -> DataFrame:
+    """(status_id, records, repeats): later copies of a whole record within a file, by its status."""
+    same = events.groupBy(file, *columns).agg(F.count(F.lit(1)).alias("_n"))
+    return same.groupBy("status_id").agg(F.sum("_n").alias("records"), F.sum(F.col("_n") - 1).alias("repeats"))
+
+
+def worst_files(repeated: DataFrame, n: int = 10, file: str = "file") -> DataFrame:
+    """The n files with the most repeats, of the result of duplicates."""
+    return repeated.where("repeats > 0").orderBy(F.desc("repeats"), file).limit(n)
+
+
+def submission_spread(events: DataFrame) -> DataFrame:
+    """How far apart the submission times (ts less timestamp_diff, in ms) of an order's records lie."""
+    sent = F.col("ts") - F.col("timestamp_diff") * (NS // 1000)
+    one = events.groupBy("coin", "oid").agg((F.max(sent) - F.min(sent)).alias("_d"), F.count(F.lit(1)).alias("_n")).where("_n > 1")
+    return one.agg(F.count(F.lit(1)).alias("orders"), F.count_if(F.col("_d") > 2 * NS // 1000).alias("over_2ms"), F.count_if(F.col("_d") > NS).alias("over_1s"), F.max("_d").alias("widest"))
+
+
+def record_faults(events: DataFrame, booleans: list[str], hour: str, file: str = "file") -> DataFrame:
+    """(file, records, bad_booleans, outside_hour): flags that are neither 0 nor 1, times outside the file's hour (ns of its beginning)."""
+    flags = reduce(lambda x, y: x + y, [F.when(F.col(b).isin(0, 1), 0).otherwise(1) for b in booleans])
+    out = (F.col("ts") < F.col(hour)) | (F.col("ts") >= F.col(hour) + 3600 * NS)
+    return events.groupBy(file).agg(F.count(F.lit(1)).alias("records"), F.sum(flags).alias("bad_booleans"), F.count_if(out).alias("outside_hour"))
+
+
+def size_reductions(events: DataFrame) -> DataFrame:
+    """(status_id, events, reduced): by how much records other than fills make their order smaller."""
+    w = Window.partitionBy("coin", "oid").orderBy("seq")
+    d = events.withColumn("_cut", F.lag("sz").over(w) - F.col("sz")).where((F.col("status_id") != classify.FILLED) & (F.col("_cut") > 0))
+    return d.groupBy("status_id").agg(F.count(F.lit(1)).alias("events"), F.sum("_cut").alias("reduced"))
+
+
+def recoveries(resets_: DataFrame, depth: DataFrame, minute: str = "minute", value: str = "depth", share: float = 0.9, within: int = 60) -> DataFrame:
+    """For each reset: minutes until the depth is back at ``share`` of what it was before (null if not ``within``), and the depth that many minutes on."""
+    r = resets_.select("coin", F.col(minute).alias("_at"), F.col("before"), F.explode(F.sequence(F.lit(1), F.lit(within))).alias("_k")).withColumn(minute, F.col("_at") + F.col("_k"))
+    j = r.join(depth.select("coin", minute, F.col(value).alias("_d")), ["coin", minute], "left")
+    back = F.min(F.when(F.col("_d") >= share * F.col("before"), F.col("_k")))
+    return j.groupBy("coin", F.col("_at").alias(minute)).agg(back.alias("recovered_after"), F.max(F.when(F.col("_k") == within, F.col("_d"))).alias("depth_later"))
+
+
+def replay_ratios(seconds: DataFrame) -> DataFrame:
+    """Totals of (sim, venue, post_only) volumes by second and their ratios."""
+    t = seconds.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("sim", "venue", "post_only")])
+    of = lambda a, b: F.when(b > 0, a / b)
+    s, v, p = F.col("sim"), F.col("venue"), F.col("post_only")
+    return t.select("sim", "venue", "post_only", of(s, v).alias("ratio"), of(p, s).alias("post_only_share"), of(s - p, v).alias("ratio_without_post_only"))
+
+
+def sampled_files(files: DataFrame, n: int, seed: str = "", path: str = "path") -> DataFrame:
+    """n files, the same for one seed wherever they are listed."""
+    return files.orderBy(F.md5(F.concat(F.lit(seed), F.col(path)).cast("binary")), path).limit(n)
+
+
+def mismatches(a: DataFrame, b: DataFrame, keys: list[str], value: str, n: int = 3) -> DataFrame:
+    """The first n keys whose values differ or that one side lacks."""
+    j = a.select(*keys, F.col(value).alias("a")).join(b.select(*keys, F.col(value).alias("b")), keys, "full_outer")
+    return j.where(~F.col("a").eqNullSafe(F.col("b"))).orderBy(*keys).limit(n)
+
+
 def file_audit(events: DataFrame, file: str = "coin") -> DataFrame:
     """Counts of what a file shouldn't hold: unknown codes, steps back in time, long silences."""
-    w = Window.partitionBy(file).orderBy("seq")
-    step = F.col("ts") - F.lag("ts").over(w)
+    d = ordered.lagged(events, "_before", F.col("ts"), "seq", [file])
+    step = F.col("ts") - F.col("_before")
     hit = lambda c: F.sum(F.when(c, 1).otherwise(0))
-    return events.withColumn("_d", step).groupBy(file).agg(
+    return d.withColumn("_d", step).groupBy(file).agg(
         F.count(F.lit(1)).alias("records"),
         hit((F.col("status_id") > 17) | (F.col("status_id") < 0)).alias("unknown_status"),
         hit((F.col("order_type_id") > 6) | (F.col("order_type_id") < 0)).alias("unknown_type"),
@@ -194,6 +254,6 @@ def excess(sim: DataFrame, venue: DataFrame, key: str = "sec", value: str = "vol
 
 def resets(depth: DataFrame, minute: str = "minute", value: str = "depth", drop: float = 0.6) -> DataFrame:
     """Minutes at the top of an hour whose mean depth falls below ``drop`` of the mean of the ten before (five at least)."""
-    w = Window.partitionBy("coin").orderBy(minute).rowsBetween(-10, -1)
-    d = depth.withColumn("before", F.when(F.count(value).over(w) >= 5, F.avg(value).over(w)))
+    d = ordered.rolling_rows(depth, minute, ["coin"], 10, {"_n": F.count(value), "_m": F.avg(value)})
+    d = d.withColumn("before", F.when(F.col("_n") >= 5, F.col("_m"))).drop("_n", "_m")
     return d.where((F.col(minute) % 60 == 0) & (F.col(value) < drop * F.col("before")))

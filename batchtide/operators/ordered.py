@@ -47,6 +47,28 @@ def forward_fill(df: DataFrame, name: str, value: str, order: str, keys: Sequenc
     return carried(df, name, F.col(value), order, "last", keys, shard, inclusive)
 
 
+def lagged(df: DataFrame, name: str, value: Column, order: str, keys: Sequence[str] = (), shard: int = SHARD) -> DataFrame:
+    """df with the value of the row before (null at the first), nulls included."""
+    d = carried(df, "_was", F.struct(value.alias("v")), order, "last", keys, shard, inclusive=False)
+    return d.withColumn(name, F.col("_was.v")).drop("_was")
+
+
+def rolling_rows(df: DataFrame, order: str, keys: Sequence[str], rows: int, columns: dict[str, Column], shard: int = SHARD) -> DataFrame:
+    """df with aggregates over the ``rows`` rows before each one.
+
+    columns: aggregate functions by name.  Rows are numbered and cut into
+    shards; the last rows of a shard are also in the next one, where they only
+    stand before others.
+    """
+    from .stats import numbered
+
+    d = numbered(df, list(keys), order, "_i")
+    own = F.floor(F.col("_i") / shard)
+    d = d.withColumn("_p", F.explode(F.when(F.col("_i") % shard >= shard - rows, F.array(own, own + 1)).otherwise(F.array(own))))
+    w = Window.partitionBy(*keys, "_p").orderBy("_i").rowsBetween(-rows, -1)
+    return d.withColumns({n: c.over(w) for n, c in columns.items()}).where(F.col("_p") == own).drop("_i", "_p")
+
+
 def batch_index(events: DataFrame, width: int, keys: Sequence[str] = ("coin",)) -> DataFrame:
     """events with clock (running max of ts) and batch: windows of width from the first record's ts; a record at a boundary is in the next one."""
     d = running_max(events, "clock", "ts", "seq", keys)
@@ -58,7 +80,7 @@ def asof_forward(probes: DataFrame, prices: DataFrame, time: str, price_time: st
     """probes with the value of the first price row at or after their time (in order on ties), null past the end.
 
     Both sides are cut into buckets of time.  Within a bucket the two are
-    sorted together, probes first; a probe that finds nothing there takes the
+    sorted together, backwards, probes last; a probe that finds nothing there takes the
     first price of the next bucket that has one.
     """
     k = list(keys)
@@ -68,25 +90,35 @@ def asof_forward(probes: DataFrame, prices: DataFrame, time: str, price_time: st
     u = p.unionByName(q).withColumn("_b", F.floor(F.col("_t") / width))
     bk = [*k, "_b"]
     firsts = u.groupBy(*bk).agg(F.min_by("_v", F.when(F.col("_kind") == 1, F.struct("_t", "_o"))).alias("_first"))
-    later = Window.partitionBy(*k).orderBy("_b").rowsBetween(1, Window.unboundedFollowing)
-    firsts = firsts.withColumn("_next", F.first("_first", True).over(later)).select(*bk, "_next")
-    ahead = Window.partitionBy(*bk).orderBy("_t", "_kind", "_o").rowsBetween(0, Window.unboundedFollowing)
-    found = u.withColumn("_found", F.first("_v", True).over(ahead)).where("_kind = 0").join(firsts, bk)
+    # backwards in time, so that each row adds one to the frame before it; frames to the end would be worked out anew
+    later = Window.partitionBy(*k).orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
+    firsts = firsts.withColumn("_next", F.last("_first", True).over(later)).select(*bk, "_next")
+    ahead = Window.partitionBy(*bk).orderBy(F.desc("_t"), F.desc("_kind"), F.desc("_o")).rowsBetween(Window.unboundedPreceding, 0)
+    found = u.withColumn("_found", F.last("_v", True).over(ahead)).where("_kind = 0").join(firsts, bk)
     return found.select(*[F.col(f"_row.`{c}`").alias(c) for c in cols], F.coalesce("_found", "_next").alias(name))
 
 
 def in_windows(windows: DataFrame, points: DataFrame, lo: str, hi: str, at: str, name: str, keys: Sequence[str], width: int) -> DataFrame:
     """windows with the number of points in [lo, hi], both ends counted.
 
-    A window is dealt to the buckets of time that it touches and joined there;
-    points are counted by time first, so many equal ones are one row.
+    Points before a time are counted up, by buckets of width, so a window is two
+    look-ups in time whatever it holds: points before its end's next instant less points before its
+    beginning.
     """
     k = list(keys)
-    counted = points.groupBy(*k, F.col(at).alias("_at")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_b", F.floor(F.col("_at") / width))
+    counted = points.groupBy(*k, F.col(at).alias("_at")).agg(F.count(F.lit(1)).alias("_n")).withColumn("_s", F.floor(F.col("_at") / width))
+    shards = counted.groupBy(*k, "_s").agg(F.sum("_n").alias("_m"))
+    earlier = Window.partitionBy(*k).orderBy("_s").rowsBetween(Window.unboundedPreceding, -1)
+    shards = shards.withColumn("_carry", F.coalesce(F.sum("_m").over(earlier), F.lit(0))).drop("_m")
+    inside = Window.partitionBy(*k, "_s").orderBy("_at").rowsBetween(Window.unboundedPreceding, -1)
+    before = counted.withColumn("_here", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(shards, [*k, "_s"]).select(*k, "_at", (F.col("_here") + F.col("_carry")).alias("_before"))
+    total = points.groupBy(*k).agg(F.count(F.lit(1)).alias("_total"))
     held = windows.withColumns({"_lo": F.col(lo), "_hi": F.col(hi)})
-    dealt = held.select(*k, "_lo", "_hi").distinct().withColumn("_b", F.explode(F.sequence(F.floor(F.col("_lo") / width), F.floor(F.col("_hi") / width))))
-    got = dealt.join(counted, [*k, "_b"]).where(F.col("_at").between(F.col("_lo"), F.col("_hi"))).groupBy(*k, "_lo", "_hi").agg(F.sum("_n").alias("_count"))
-    return held.join(got, [*k, "_lo", "_hi"], "left").select(*windows.columns, F.coalesce("_count", F.lit(0)).alias(name))
+    ends = F.explode(F.array(F.struct(F.lit(-1).alias("sign"), F.col("_lo").alias("x")), F.struct(F.lit(1).alias("sign"), (F.col("_hi") + 1).alias("x"))))
+    probes = held.select(*k, "_lo", "_hi").distinct().withColumn("_e", ends).select(*k, "_lo", "_hi", "_e.sign", F.col("_e.x").alias("_x"))
+    found = asof_forward(probes, before, "_x", "_at", "_at", "_before", "_c", k, width).join(total, k, "left")
+    got = found.groupBy(*k, "_lo", "_hi").agg(F.sum(F.col("sign") * F.coalesce("_c", "_total", F.lit(0))).alias("_count"))
+    return held.join(got, [*k, "_lo", "_hi"], "left").select(*windows.columns, F.coalesce(F.greatest("_count", F.lit(0)), F.lit(0)).alias(name))
 
 
 def dense_grid(bounds: DataFrame, width: int, keys: Sequence[str] = ("coin",)) -> DataFrame:

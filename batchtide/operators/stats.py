@@ -107,22 +107,27 @@ def price_changes_bps(d: DataFrame, price: str, order: str, keys: list[str], hor
     """filled: the price carried forward; change: from one row before to ``horizon`` rows ahead, in bp."""
     from .ordered import forward_fill
 
-    f = forward_fill(d, "filled", price, order, keys)
-    w = Window.partitionBy(*keys).orderBy(order) if keys else Window.orderBy(order)
-    before, ahead = F.lag("filled").over(w), F.lead("filled", horizon).over(w) if horizon else F.col("filled")
-    return f.withColumn("change", F.when(before > 0, (ahead - before) / before * 10_000.0))
+    f = forward_fill(forward_fill(d, "filled", price, order, keys), "_before", price, order, keys, inclusive=False)
+    if horizon:
+        f = numbered(f, keys, order, "_i")
+        ahead = f.select(*keys, (F.col("_i") - horizon).alias("_i"), F.col("filled").alias("_ahead"))
+        f = f.join(ahead, [*keys, "_i"], "left").drop("_i")
+    last = F.col("_ahead") if horizon else F.col("filled")
+    return f.withColumn("change", F.when(F.col("_before") > 0, (last - F.col("_before")) / F.col("_before") * 10_000.0)).drop("_before", "_ahead")
 
 
 def tick_sign(d: DataFrame, price: str, order: str, keys: list[str]) -> DataFrame:
     """sign: of the last change that was not zero."""
-    from .ordered import forward_fill
+    from .ordered import forward_fill, lagged
+
+    moved = lagged(d, "_before", F.col(price), order, keys).withColumn("_sign", F.nullif(F.signum(F.col(price) - F.col("_before")), F.lit(0.0)))
+    return forward_fill(moved, "sign", "_sign", order, keys).drop("_sign", "_before")
 
-    was = F.lag(price).over(Window.partitionBy(*keys).orderBy(order))
-    return forward_fill(d.withColumn("_sign", F.nullif(F.signum(F.col(price) - was), F.lit(0.0))), "sign", "_sign", order, keys).drop("_sign")
 
+def log_returns(d: DataFrame, price: str, order: str, keys: list[str], name: str = "r") -> DataFrame:
+    from .ordered import lagged
 
-def log_returns(d: DataFrame, price: str, order: str, keys: list[str]) -> DataFrame:
-    return d.withColumn("r", F.log(F.col(price) / F.lag(price).over(Window.partitionBy(*keys).orderBy(order))))
+    return lagged(d, "_before", F.col(price), order, keys).withColumn(name, F.log(F.col(price) / F.col("_before"))).drop("_before")
 
 
 def windowed_rms(d: DataFrame, r: str, keys: list[str], least: int = 5) -> DataFrame:
