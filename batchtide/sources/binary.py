@@ -1,14 +1,18 @@
 """Source of packed order records: 54-byte little-endian, in files that may be gzip, one partition a file.
 
-``spark.read.format("orderbin").load(path)`` after ``register(spark)``.  Paths are
-listed on the driver and sorted by name, which puts a coin's hours in order and
-accepted records before rejected ones; ``seq`` is (rank of the file, row).
+``spark.read.format("orderbin").load(path)`` after ``register(spark)``, from any
+store that pyarrow.fs knows.  Paths are listed on the driver and sorted by name,
+which puts a coin's hours in order and accepted records before rejected ones;
+``seq`` is (rank of the file, row).  With the option ``report`` the rows are the
+files: records seen, those without a size, and whether the file was dropped
+because its first record is none.  With ``strict`` a dropped file is an error.
 """
 
 from __future__ import annotations
 
 import gzip
 import os
+from contextlib import nullcontext
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,8 @@ assert RECORD.itemsize == 54
 #: A plausible first record: time from 2020 to 2035 and known codes.
 FIRST_TS, LAST_TS, TOP = 1577836800 * 10**9, 2051222400 * 10**9, {"status_id": 17, "order_type_id": 6, "tif_id": 5}
 _ROWS = 1 << 16
+#: Rows of a report.
+REPORT = "file string, coin string, seen long, skipped long, dropped boolean"
 
 
 #: By number of decimal digits (the top three bits of a packed number): what turns its count into millionths.
@@ -91,39 +97,57 @@ class OrderBinary(DataSource):
         return "orderbin"
 
     def schema(self) -> str:
-        return ORDER_EVENTS
+        return REPORT if self.options.get("report", "false").lower() == "true" else ORDER_EVENTS
 
     def reader(self, schema: StructType):
         return _Reader(self.options)
 
 
+def listed(root: str) -> list[str]:
+    """Files of records below a path, by name."""
+    from pyarrow import fs
+
+    system, at = fs.FileSystem.from_uri(root)
+    if system.get_file_info(at).type == fs.FileType.File:
+        return [root]
+    found = [i.path for i in system.get_file_info(fs.FileSelector(at, recursive=True)) if i.type == fs.FileType.File and i.path.endswith((".data", ".gz"))]
+    return sorted(root[: len(root) - len(at)] + p if root.endswith(at) else p for p in found)
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
-        self.root, self.strict = options["path"], options.get("strict", "true").lower() == "true"
+        yes = lambda name: options.get(name, "false").lower() == "true"
+        self.root, self.strict, self.report = options["path"], yes("strict"), yes("report")
 
     def partitions(self):
-        if os.path.isfile(self.root):
-            paths = [self.root]
-        else:
-            paths = sorted(os.path.join(d, f) for d, _, fs in os.walk(self.root) for f in fs if f.endswith((".data", ".gz")))
-        return [_File(p, i) for i, p in enumerate(paths)]
+        return [_File(p, i) for i, p in enumerate(listed(self.root))]
 
     def read(self, part: _File):
-        want = arrow(ORDER_EVENTS)
-        name = os.path.basename(part.path)
-        coin, seq = name.split("_")[0], part.rank << 36
-        opened = gzip.open if part.path.endswith(".gz") else open
-        with opened(part.path, "rb") as f:
-            first = True
+        from pyarrow import fs
+
+        want = arrow(REPORT if self.report else ORDER_EVENTS)
+        folder, name = part.path.rstrip("/").split("/")[-2:]
+        file, coin, seq = f"{folder}/{name}", name.split("_")[0], part.rank << 36
+        seen = skipped = 0
+        dropped = False
+        system, at = fs.FileSystem.from_uri(part.path)
+        with system.open_input_stream(at, compression=None) as raw, (gzip.GzipFile(fileobj=raw) if at.endswith(".gz") else nullcontext(raw)) as f:
             while data := f.read(_ROWS * RECORD.itemsize):
                 if len(data) % RECORD.itemsize:
                     raise ValueError(f"{part.path} ends within a record")
                 records = np.frombuffer(data, RECORD)
-                if first and not plausible(records):
-                    return  # not such a file
-                first = False
-                yield decode(records, coin, os.path.join(os.path.basename(os.path.dirname(part.path)), name), seq, want)
+                if not seen and not plausible(records):
+                    if self.strict:
+                        raise ValueError(f"{part.path} doesn't begin with a record")
+                    dropped = True
+                    break
+                seen += len(records)
+                skipped += int((unpack_quantity(records["orig_sz"]) == 0).sum())
+                if not self.report:
+                    yield decode(records, coin, file, seq, want)
                 seq += len(records)
+        if self.report:
+            yield pa.RecordBatch.from_arrays([pa.array([v], t.type) for v, t in zip((file, coin, seen, skipped, dropped), want, strict=True)], schema=want)
 
 
 def register(spark: SparkSession) -> None:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars as S
@@ -15,11 +15,50 @@ CSV_COLUMNS = [
 ]
 
 
-def read_order_csv(spark: SparkSession, path, coin: str = "") -> DataFrame:
-    """Records of well-formed rows; every column is read as text and parsed exactly. Rows that don't parse are left out."""
-    raw = spark.read.option("mode", "DROPMALFORMED").schema(", ".join(f"`{c}` string" for c in CSV_COLUMNS)).csv(path, header=True)
-    raw = raw.withColumn("_file", F.col("_metadata.file_path")).withColumn("_row", F.monotonically_increasing_id())
-    return parse_order_rows(raw, coin)
+def scan_order_csv(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the CSV files (.csv, or .gz) below a path, as text, with file, seq and good.
+
+    Files follow one another by name.  A large file is read in parts; its rows are
+    numbered by part and place, so seq is (rank of the file, row) whatever Spark
+    packs together.  good is false for the rows of a file whose header has too
+    few columns, and for rows that have; the headers themselves are left out.
+    """
+    n = len(CSV_COLUMNS)
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{csv,gz}").text(path)
+    raw = raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("_part"), F.monotonically_increasing_id().alias("_id"))
+    parts = raw.groupBy("file", "_part").agg(F.min("_id").alias("_first"), F.count(F.lit(1)).alias("_n"))
+    along = Window.partitionBy("file").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.withColumn("_base", F.coalesce(F.sum("_n").over(along), F.lit(0)))
+    files = parts.groupBy("file").agg(F.lit(1)).select("file", (F.row_number().over(Window.orderBy("file")) - 1).cast("long").alias("_rank"))  # a row a file
+    d = raw.join(parts.select("file", "_part", "_first", "_base"), ["file", "_part"]).join(files, "file").withColumn("_row", F.col("_base") + F.col("_id") - F.col("_first"))
+    columns = F.size(F.split("value", ",", -1))
+    heads = d.where("_row = 0").select("file", (columns >= n).alias("_headed"))
+    d = d.where((F.col("_row") > 0) & (F.trim("value") != "")).join(heads, "file")
+    cells = F.from_csv("value", ", ".join(f"`{c}` string" for c in CSV_COLUMNS), {"mode": "PERMISSIVE"}).alias("c")
+    # a row with more columns than the known ones is whole
+    d = d.select(cells, "file", (F.shiftleft("_rank", 36) + F.col("_row") - 1).alias("seq"), "_headed", (F.col("_headed") & (columns >= n)).alias("good"))
+    return d.select("c.*", "file", "seq", "_headed", "good")
+
+
+def read_order_csv(spark: SparkSession, path: str, coin: str = "") -> DataFrame:
+    """Records of well-formed rows, in order of seq; every column is read as text and parsed exactly."""
+    return parse_order_rows(scan_order_csv(spark, path).where("good").withColumnsRenamed({"file": "_file", "seq": "_row"}), coin)
+
+
+def csv_counts(spark: SparkSession, path: str) -> DataFrame:
+    """(file, seen, malformed, skipped, dropped, first_ts) of each file.
+
+    seen: well-formed rows, those without a size (skipped) included; dropped:
+    the header has too few columns; first_ts: the first time among the first 256 rows.
+    """
+    rows = scan_order_csv(spark, path)
+    parsed = parse_order_rows(rows.where("good").withColumnsRenamed({"file": "_file", "seq": "_row"})).select("file", "seq", "ts", "orig_sz")
+    j = rows.select("file", "seq", "_headed").join(parsed, ["file", "seq"], "left")
+    early = F.when(F.col("ts").isNotNull() & (F.col("seq").bitwiseAND(F.lit((1 << 36) - 1)) < 256), F.col("seq"))
+    return j.groupBy("file").agg(
+        F.count("ts").alias("seen"), F.count_if(F.col("_headed") & F.col("ts").isNull()).alias("malformed"), F.count_if(F.col("orig_sz") == 0).alias("skipped"),
+        (~F.bool_and("_headed")).alias("dropped"), F.min_by("ts", early).alias("first_ts"),
+    )
 
 
 def parse_order_rows(raw: DataFrame, coin: str = "") -> DataFrame:
@@ -76,6 +115,11 @@ def read_candles(spark: SparkSession, path) -> DataFrame:
     return j.select(F.explode(F.arrays_zip("timestamp", "open", "high", "low", "close")).alias("c")).select(F.col("c.timestamp").alias("ts"), "c.open", "c.high", "c.low", "c.close")
 
 
+def write_results(d: DataFrame, path: str) -> None:
+    """A table of results as JSON lines."""
+    d.write.mode("overwrite").json(path)
+
+
 def write_intervals(d: DataFrame, path: str) -> None:
     """CSV, a folder for each engine, six decimals, null as empty."""
     text = [c for c in INTERVAL_COLUMNS if c in ("engine", "interval_start_ns", "interval_width_ns", "trade_count")]
