@@ -17,7 +17,8 @@ worker keeps the ids of those it has met (a bounded table) and hands the
 library only new ones.  The result doesn't depend on what is kept.
 
 Nulls: a null text is an empty one (no ids); a null doc_id is kept.  Repeated
-rows are encoded each; an empty table gives an empty result.
+rows are encoded each; an empty table gives an empty result.  Very long texts are
+encoded whole; other columns, of whatever name, are not read.
 """
 
 from __future__ import annotations

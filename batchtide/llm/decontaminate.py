@@ -1,20 +1,26 @@
 """Benchmark decontamination.
 
-The windows of the test items (n words, or a whole shorter item) are hashed and
-broadcast as sorted arrays; the training texts are scanned once, each window's
-hash is looked up, and a hit counts only if its words are those of an item.
+The windows of the test items (n words, or a whole shorter item) are hashed into
+sorted arrays that every worker has; the training texts are scanned once, each
+window's hash is looked up, and a hit counts only if its words are those of an item.
 
-The items' size is measured first.  At most BLOCK_BYTES of item text go into
-one broadcast; more items are dealt into so many blocks and the texts pass
-through one lookup a block, all within one scan and without a shuffle.
+The items' size is measured first.  They are dealt into blocks of at most about
+BLOCK_BYTES of item text, each a file of the shared folder, broadcast by being
+read: a worker holds one block at a time, takes some MB of texts, splits and
+hashes them once, and passes them by all blocks.  So memory doesn't grow with the
+items, in the driver neither, which makes the blocks one after the other.
 
 Nulls and empty texts or items have no words: no window, no hit.  A null
-item_id is shown as an empty one.  Repeated items count once.
+item_id is shown as an empty one.  Repeated items count once, repeated rows each.
+Very long texts are scanned whole.  An empty table of texts gives an empty
+result, one of items no hit; other columns, of whatever name, are kept by
+`without_hits` and not read.
 """
 
 from __future__ import annotations
 
 import hashlib
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -22,10 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import shared
+from .shared import file_system
 from .words import ALNUM, Words, pieces
 
 N = 10
 BLOCK_BYTES = 4 << 20
+#: Bytes of text that pass by all blocks at once.
+STEP_BYTES = 4 << 20
 
 
 class Items:
@@ -66,39 +75,58 @@ class Items:
                     yield i, k, ids
 
 
-def _blocks(benchmark: DataFrame, n: int, item_key: str, item_text: str) -> list:
+def _blocks(benchmark: DataFrame, n: int, item_key: str, item_text: str) -> list[str]:
+    """Files of the items' blocks."""
+    import pickle
+    import uuid
+
     t = benchmark.select(F.coalesce(F.col(f"`{item_key}`").cast("string"), F.lit("")).alias("i"), F.coalesce(F.col(f"`{item_text}`").cast("string"), F.lit("")).cast("binary").alias("t")).distinct()
     size = t.agg(F.sum(F.octet_length("t"))).first()[0] or 0
     blocks = max(1, -(-size // BLOCK_BYTES))
-    spark, out = benchmark.sparkSession, []
+    if blocks > 1:
+        t = shared.written(t, "items")
+    folder, out = shared.shared_folder(benchmark.sparkSession, "item-blocks"), []
     for b in range(blocks):
         some = t.where(F.pmod(F.xxhash64("i", "t"), F.lit(blocks)) == b).collect()  # at most about BLOCK_BYTES
-        out.append(spark.sparkContext.broadcast(Items([(r.i, bytes(r.t)) for r in some], n)))
+        out.append(f"{folder}/{b}-{uuid.uuid4().hex}")
+        fs, at = file_system(out[-1])
+        fs.create_dir(at.rsplit("/", 1)[0])
+        with fs.open_output_stream(at) as f:
+            f.write(pickle.dumps(Items([(r.i, bytes(r.t)) for r in some], n)))
     return out
 
 
+@lru_cache(maxsize=1)
+def _load(path: str) -> Items:
+    import pickle
+
+    fs, at = file_system(path)
+    with fs.open_input_stream(at) as f:
+        return pickle.loads(f.read())
+
+
+def _find(texts: list[bytes], blocks: list[str]):
+    """(lo, hi, words, hits) of some texts at a time; hits are those of all blocks, as of Items.find."""
+    for lo, hi in pieces(texts, STEP_BYTES):
+        w = Words(texts[lo:hi], ALNUM)
+        yield lo, hi, w, [x for path in blocks for x in _load(path).find(w)]
+
+
 def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, key: str = "doc_id", text: str = "text", item_key: str = "item_id", item_text: str = "text") -> DataFrame:
-    """doc_id, text (null after the last block), n_words, at (begin and end of each hit window in words, in a row), items of every document."""
-    d = shared.keyed(docs, key, text)
-    schema = "doc_id long, text binary, n_words long, at array<long>, items array<string>"
+    """doc_id, n_words, at (begin and end of each hit window in words, in a row), items of every document."""
     blocks = _blocks(benchmark, n, item_key, item_text)
-    for b, held in enumerate(blocks):
 
-        def run(batch, held=held, first=not b, last=b == len(blocks) - 1):
-            texts, keys = shared.texts(batch), batch.column("doc_id")
-            for lo, hi in pieces(texts):
-                w = Words(texts[lo:hi], ALNUM)
-                at = [[] for _ in range(hi - lo)] if first else batch.column("at")[lo:hi].to_pylist()
-                items = [[] for _ in range(hi - lo)] if first else batch.column("items")[lo:hi].to_pylist()
-                seen = [dict.fromkeys(x) for x in items]
-                for i, k, ids in held.value.find(w):
-                    doc = int(np.searchsorted(w.first, i, "right")) - 1
-                    at[doc] += [i - int(w.first[doc]), i - int(w.first[doc]) + k]
-                    seen[doc].update(dict.fromkeys(ids))
-                yield {"doc_id": keys[lo:hi], "text": pa.nulls(hi - lo, pa.binary()) if last else batch.column("text")[lo:hi], "n_words": np.diff(w.first), "at": at, "items": [list(x) for x in seen]}
+    def run(batch):
+        texts, keys = shared.texts(batch), batch.column("doc_id")
+        for lo, hi, w, hits in _find(texts, blocks):
+            at, seen = [[] for _ in range(hi - lo)], [{} for _ in range(hi - lo)]
+            for i, k, ids in hits:
+                doc = int(np.searchsorted(w.first, i, "right")) - 1
+                at[doc] += [i - int(w.first[doc]), i - int(w.first[doc]) + k]
+                seen[doc].update(dict.fromkeys(ids))
+            yield {"doc_id": keys[lo:hi], "n_words": np.diff(w.first), "at": at, "items": [list(x) for x in seen]}
 
-        d = shared.arrow(d, run, schema)
-    return d
+    return shared.arrow(shared.keyed(docs, key, text), run, "doc_id long, n_words long, at array<long>, items array<string>")
 
 
 def spans(at: list[int]) -> list[tuple[int, int]]:
@@ -139,26 +167,25 @@ def without_hits(docs: DataFrame, benchmark: DataFrame, n: int = N, text: str =
     t = F.col(f"`{text}`")
     held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), t.cast("string").cast("binary").alias("text"))
     schema = held.schema
-    for items in _blocks(benchmark, n, "item_id", "text"):
-
-        def run(batches, items=items):
-            for batch in batches:
-                texts = batch.column("text").to_pylist()
-                flat = [x or b"" for x in texts]
-                for lo, hi in pieces(flat):
-                    w = Words(flat[lo:hi], ALNUM)
-                    at: dict[int, list[int]] = {}
-                    for i, k, _ in items.value.find(w):
-                        at.setdefault(int(np.searchsorted(w.first, i, "right")) - 1, []).extend((i, i + k))
-                    out = texts[lo:hi]
-                    for doc, x in at.items():
-                        kept, done, base = [], 0, int(w.at[doc])
-                        for a, b in spans(x):
-                            kept.append(flat[lo + doc][done : int(w.start[a]) - base])
-                            done = int(w.end[b - 1]) - base
-                        out[doc] = b"".join(kept) + flat[lo + doc][done:]
-                    yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, hi - lo), pa.array(out, batch.schema.field("text").type)], schema=batch.schema)
-
-        held = held.mapInArrow(run, schema)
+    blocks = _blocks(benchmark, n, "item_id", "text")
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            flat = [x or b"" for x in texts]
+            for lo, hi, w, hits in _find(flat, blocks):
+                at: dict[int, list[int]] = {}
+                for i, k, _ in hits:
+                    at.setdefault(int(np.searchsorted(w.first, i, "right")) - 1, []).extend((i, i + k))
+                out = texts[lo:hi]
+                for doc, x in at.items():
+                    kept, done, base = [], 0, int(w.at[doc])
+                    for a, b in spans(x):
+                        kept.append(flat[lo + doc][done : int(w.start[a]) - base])
+                        done = int(w.end[b - 1]) - base
+                    out[doc] = b"".join(kept) + flat[lo + doc][done:]
+                yield pa.RecordBatch.from_arrays([batch.column("row").slice(lo, hi - lo), pa.array(out, batch.schema.field("text").type)], schema=batch.schema)
+
+    held = held.mapInArrow(run, schema)
     kind = docs.schema[text].dataType
     return held.select(*[(F.col("text").cast("string").cast(kind) if c == text else F.col(f"row.`{c}`")).alias(c) for c in docs.columns])

@@ -14,7 +14,9 @@ as it is.
 
 The walk uses stacks of its own, so depth is bounded by memory only.  Broken
 markup never fails: an end tag that closes nothing is dropped.  A null or empty
-page has empty text.  Every row gives a row.
+page has empty text.  Every row, repeated ones too, gives a row; a null id stays
+null; an empty table gives an empty result; other columns, of whatever name, are
+not read.  Very long pages are rendered whole, in time and space in proportion.
 """
 
 from __future__ import annotations
@@ -63,6 +65,8 @@ UNSEEN_IN = {
 }
 _UNQUOTED = re.compile(r"=\s*[^\s\"'=>]+/\Z")
 _BLANK = " \t\n\r\f"
+#: How wide a table column is made for its cells, and how many blanks stand for left-out columns.
+WIDEST, MOST_PAD = 60, 1000
 _SCOPE = ("td", "th", "table", "button", "body", "html")
 
 
@@ -76,27 +80,25 @@ class Node:
 def parse(page: str) -> Node:
     root = Node("#root", {})
     stack, at, size = [root], 0, len(page)
-    open_tags: dict[str, int] = {}
+    open_tags: dict[str, list[int]] = {}  # where each tag's open elements are in the stack
 
     def pop() -> None:
-        open_tags[stack.pop().tag] -= 1
+        open_tags[stack.pop().tag].pop()
+
+    def inmost(tags) -> int:
+        return max((open_tags[t][-1] for t in tags if open_tags.get(t)), default=0)
 
     def close(tags, stop) -> None:
         """Ends the innermost open element of these tags, unless one of stop stands before it."""
-        if not any(open_tags.get(t) for t in tags):
-            return
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                while len(stack) > i:
-                    pop()
-                return
-            if stack[i].tag in stop:
-                return
+        at = inmost(tags)
+        if at and at >= inmost(stop):
+            while len(stack) > at:
+                pop()
 
     def push(node: Node) -> None:
         stack[-1].children.append(node)
+        open_tags.setdefault(node.tag, []).append(len(stack))
         stack.append(node)
-        open_tags[node.tag] = open_tags.get(node.tag, 0) + 1
 
     def text(s: str) -> None:
         s = html.unescape(s)
@@ -243,19 +245,29 @@ class _Table:
         self.at = end
 
     def lines(self) -> list[str]:
-        """Rows as lines, each column as wide as its widest cell; columns where no cell begins have no width."""
+        """Rows as lines, each column as wide as its widest cell, up to WIDEST; columns where no cell begins have no width.
+
+        A longer cell stands as it is and pushes on what follows; no more than
+        MOST_PAD blanks stand for columns that a row leaves out.  So a page's text is
+        never longer than a fixed multiple of the page.
+        """
         widths: dict[int, int] = {}
         for r in self.rows:
             for i, c in r:
-                widths[i] = max(widths.get(i, 0), len(c))
+                widths[i] = min(WIDEST, max(widths.get(i, 0), len(c)))
         columns = sorted(widths)
         number = {c: i for i, c in enumerate(columns)}
+        begin = [0]
+        for c in columns:
+            begin.append(begin[-1] + widths[c] + 2)
         out = []
         for r in self.rows:
             if any(c for _, c in r):
                 parts, seen = [], 0
                 for i, c in r:
-                    parts.extend(" " * widths[j] for j in columns[seen : number[i]])
+                    if number[i] > seen:
+                        left_out = begin[number[i]] - begin[seen] - 2
+                        parts.append(" " * min(left_out, MOST_PAD))
                     parts.append(c.ljust(widths[i]))
                     seen = number[i] + 1
                 out.append("  ".join(parts).rstrip())

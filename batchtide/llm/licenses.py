@@ -6,8 +6,9 @@ for longer templates) is joined to the places of the same gram in the
 templates.  A gram at word p that stands at word t of a template votes for the
 diagonal p - t.  A name stands where one diagonal has all of its grams.  For a
 longer template, diagonals close to one another (words were put in or left out)
-are merged, and the merged span counts if enough of the template's grams lie in
-it.
+are merged.  The merged span is then verified: each place of the template counts
+once, and only where its words stand after those of the place before; a span
+counts if that is enough of the template's grams, and their share is its score.
 
 The templates are fixed, so their grams are a fixed small table: the scan of
 the texts drops grams that no template has (the join's semi-join part, done
@@ -16,7 +17,9 @@ are never false.  What is left is joined, voted on and merged by Spark, spread
 by document.
 
 Nulls and empty texts have no words, no labels and score 0.  Repeated rows get
-a result each.
+a result each, whatever their id; an empty table gives an empty result.  Very
+long texts are hashed whole, one at a time; other columns, of whatever name, are
+not read.
 """
 
 from __future__ import annotations
@@ -120,24 +123,23 @@ def vote(scanned: DataFrame) -> DataFrame:
     places = F.broadcast(spark.createDataFrame(rows, "gram long, template string, place long, n_grams long"))  # fixed: the templates' grams
     about = F.broadcast(spark.createDataFrame([(n, label, is_name) for n, label, _, is_name in templates()], "template string, label string, is_name boolean"))
     hits = scanned.where(F.size("hits") > 0).select("uid", F.explode("hits").alias("h")).select("uid", "h.gram", "h.pos")
-    diagonals = (
-        hits.join(places, "gram")
-        .groupBy("uid", "template", "n_grams", (F.col("pos") - F.col("place")).alias("diagonal"))
-        .agg(F.count(F.lit(1)).alias("votes"))
-        .join(about, "template")
-    )
+    voted = hits.join(places, "gram").withColumn("diagonal", F.col("pos") - F.col("place"))
+    diagonals = voted.groupBy("uid", "template", "n_grams", "diagonal").agg(F.count(F.lit(1)).alias("votes")).join(about, "template")
     names = diagonals.where("is_name and votes = n_grams").select("uid", "template", "label", "is_name", F.col("diagonal").alias("start"), "votes", F.lit(1.0).alias("share"))
     along = Window.partitionBy("uid", "template").orderBy("diagonal")
     groups = (
         diagonals.where("not is_name")
         .withColumn("fresh", (F.col("diagonal") - F.lag("diagonal").over(along) > NEAR).cast("int"))
         .withColumn("group", F.sum(F.coalesce("fresh", F.lit(1))).over(along.rowsBetween(Window.unboundedPreceding, 0)))
-        .groupBy("uid", "template", "label", "is_name", "n_grams", "group")
-        .agg(F.greatest(F.min("diagonal"), F.lit(0)).alias("start"), F.sum("votes").alias("votes"))
-        .withColumn("share", F.least(F.lit(1.0), F.col("votes") / F.col("n_grams")))
-        .where(F.col("share") >= SHARE)
+        .select("uid", "template", "diagonal", "group")
     )
-    return names.unionByName(groups.select(*names.columns))
+    # each place of the template counts once in a group, however often its words are repeated
+    held = voted.join(groups, ["uid", "template", "diagonal"]).groupBy("uid", "template", "n_grams", "group", "place").agg(F.min("pos").alias("pos"))
+    spans = held.groupBy("uid", "template", "n_grams", "group").agg(F.array_sort(F.collect_list(F.struct("place", "pos"))).alias("at"), F.min("pos").alias("start"))
+    # verified: places whose words stand after those of the template's place before (at most a template's grams in an array)
+    forward = F.aggregate("at", F.struct(F.lit(0).alias("n"), F.lit(-1).cast("long").alias("pos")), lambda acc, x: F.struct((acc["n"] + F.when(x["pos"] > acc["pos"], 1).otherwise(0)).alias("n"), x["pos"].alias("pos")), lambda acc: acc["n"])
+    sure = spans.withColumn("votes", forward.cast("long")).withColumn("share", F.col("votes") / F.col("n_grams")).where(F.col("share") >= SHARE).join(about, "template")
+    return names.unionByName(sure.select(*names.columns))
 
 
 def licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -9,7 +9,9 @@ kind's value and rises if a word of its context stands next to it.
 
 Spans of each kind are leftmost and don't overlap; kinds are independent.
 
-Nulls and empty texts have no spans; every row gets a result.
+Nulls and empty texts have no spans; every row, repeated ones too, gets a result,
+whatever its id; an empty table gives an empty one.  Very long texts are passed
+over whole; other columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -26,7 +28,7 @@ PATTERNS = {
     "ip": r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++",
     "card": r"[0-9](?:[\x20-]?[0-9])++",
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
-    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}+(?![A-Za-z0-9])",
+    "iban": r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}(?![A-Za-z0-9])",
 }
 #: What a text has at least, if it has the kind.
 LOOK = {"email": "@", "ip": r"[0-9]\.[0-9]++\.[0-9]++\.[0-9]", "card": r"[0-9](?:[\x20-]?[0-9]){12}", "phone": "+", "iban": r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]"}
@@ -103,7 +105,25 @@ def _valid(kind: str, v: Column) -> Column:
         return let(_digits(v), lambda d: F.when(F.length(d).between(13, 19), _luhn(d)).otherwise(False))
     if kind == "phone":
         return F.length(_digits(v)).between(9, 15)
-    return let(F.replace(v, F.lit(" "), F.lit("")), lambda d: F.length(d).between(15, 34)) & _mod97(v)
+    return _iban(v) != ""
+
+
+def _iban(v: Column) -> Column:
+    """The longest beginning of a match, of whole groups, that is an IBAN, else empty: words in capitals may follow one."""
+
+    def whole(x):
+        return F.when(F.length(F.replace(x, F.lit(" "), F.lit(""))).between(15, 34), _mod97(x)).otherwise(False)
+
+    def beginnings(g):
+        return F.transform(F.sequence(F.size(g), F.lit(1), F.lit(-1)), lambda k: F.array_join(F.slice(g, 1, k), " "))
+
+    good = let(F.split(v, " "), lambda g: F.filter(beginnings(g), whole))
+    return F.coalesce(F.get(good, F.lit(0)), F.lit(""))
+
+
+def _confirmed(kind: str, v: Column) -> Column:
+    """What of a valid match is the span."""
+    return _iban(v) if kind == "iban" else v
 
 
 def _possible(kind: str, t: Column) -> Column:
@@ -130,7 +150,7 @@ def spans_of(kind: str, t: Column) -> Column:
             near = F.concat(F.right(z["before"], F.lit(NEAR)), F.lit(" "), F.left(z["after"], F.lit(NEAR)))
             score = F.lit(SCORE[kind]) + F.when(F.lower(near).rlike(CONTEXT[kind]), F.lit(BONUS)).otherwise(F.lit(0.0))
             start = z["at"] + F.length(z["before"])
-            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(z["value"])).alias("end"), F.least(F.lit(1.0), score).alias("score"))
+            return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(_confirmed(kind, z["value"]))).alias("end"), F.least(F.lit(1.0), score).alias("score"))
 
         return F.transform(F.filter(rows, lambda z: _valid(kind, z["value"])), span)
 
@@ -163,8 +183,11 @@ def report(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
 def _replaced(kind: str, t: Column) -> Column:
     tag, pattern = F.lit(f"<{kind.upper()}>"), PATTERNS[kind]
 
+    def put_for(m):
+        return F.concat(tag, F.right(m, F.length(m) - F.length(_iban(m)))) if kind == "iban" else tag
+
     def joined(gaps, found):
-        put = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.concat(g, F.when(_valid(kind, m), tag).otherwise(m)))
+        put = F.zip_with(F.slice(gaps, 1, F.size(found)), found, lambda g, m: F.concat(g, F.when(_valid(kind, m), put_for(m)).otherwise(m)))
         return F.concat(F.array_join(put, ""), F.element_at(gaps, -1))
 
     full = let(F.split(t, pattern, -1), lambda gaps: let(F.regexp_extract_all(t, F.lit(pattern), F.lit(0)), lambda found: joined(gaps, found)))

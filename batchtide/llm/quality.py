@@ -13,7 +13,9 @@ against keeps its prior.  Several rules look at each kind of fault from
 different sides, so that a faulty document has more than one vote against it.
 
 Nulls and empty texts have no words (and fail the base rule of length).
-Repeated rows are judged alike.
+Repeated rows are judged alike, a null id stays null, very long texts are counted
+whole.  An empty table gives an empty result; other columns, of whatever name, are
+kept by `good` and not read.
 """
 
 from __future__ import annotations

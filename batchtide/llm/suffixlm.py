@@ -22,7 +22,9 @@ vocabulary is held in one place.
 
 Training texts are those with crc32(doc_id as text) mod 5 other than 1; a null
 doc_id counts as empty text there (training).  Null and empty texts have no
-word and one token, the end.  Repeated rows count each time.
+word and one token, the end.  Repeated rows count each time.  Very long texts
+are a block each.  An empty table gives an empty result; other columns, of
+whatever name, are not read.
 """
 
 from __future__ import annotations

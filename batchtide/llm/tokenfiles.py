@@ -13,8 +13,10 @@ The index maps a document's key to the place of its ids.  Keys are dealt into
 buckets by hash; a bucket's file holds a minimal perfect hash function (levels
 of bit arrays: a key sits on the first level where it is alone, its number is
 the rank of its bit) and for each number the key's fingerprint, shard, ordinal
-in the shard and number of documents.  A lookup reads a fixed number of words:
-the bit, its rank, the entry, the document's end.  A key that was never stored
+in the shard and number of documents.  A look-up of one key (`ids_of`) reads a
+few words by their places: per level a bit with the 512 around it, whose rank
+is stored, then the entry and the document's ends; many keys at once
+(`lookup`) are dealt by bucket, and a task reads each bucket once.  A key that was never stored
 is refused by its 32-bit fingerprint (wrongly accepted once in 2**32).
 
 Where a task is run twice, each try writes files of its own; the manifest,
@@ -22,7 +24,8 @@ itself a table in the shared folder, names those of the try that counted.
 
 Nulls: a null text has only the end id; a null key is a key like others.
 Repeated keys: the entry gives the first of them and their number, and they
-are adjacent.  An empty table gives no shard and an empty result.
+are adjacent.  An empty table gives no shard and an empty result.  Very long
+texts are encoded whole; other columns, of whatever name, are not read.
 """
 
 from __future__ import annotations
@@ -41,6 +44,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 from .pieces import PieceIds
+from .shared import file_system
 from .words import EXACT, LOWER, Words, mix, pieces
 
 _FOOTER = "<QQI4s"
@@ -48,18 +52,13 @@ _MAGIC = b"BTID"
 _STEP = 1 << 21
 _U = np.uint64
 #: Keys in one file of the index.
-BUCKET_KEYS = 4096
+BUCKET_KEYS = 1 << 16
+#: Bits of a perfect hash for which the rank of the first is stored.
+_SAMPLE = 512
 _PLAIN = re.compile("[a-z]+")
 _LETTERS = re.compile("[a-zªµºÀ-ÖØ-öø-ɏ]+")
 
 
-def file_system(uri: str):
-    """(file system, path) of a path as Spark writes it."""
-    from pyarrow import fs
-
-    return fs.FileSystem.from_uri(uri)
-
-
 # encoding
 
 
@@ -272,14 +271,15 @@ def pack_bucket(h: np.ndarray, shard, ordinal, n_docs) -> bytes:
     entries["fingerprint"][at] = _fingerprint(h)
     for name, col in (("shard", shard), ("ordinal", ordinal), ("n_docs", n_docs)):
         entries[name][at] = col
-    return struct.pack("<QQ", len(h), len(mph.sizes)) + mph.sizes.astype("<i8").tobytes() + mph.bits.tobytes() + entries.tobytes()
+    ranks = mph.rank[: len(mph.flat) : _SAMPLE].astype("<u4") if len(mph.flat) else np.zeros(0, "<u4")
+    return struct.pack("<QQ", len(h), len(mph.sizes)) + mph.sizes.astype("<i8").tobytes() + ranks.tobytes() + mph.bits.tobytes() + entries.tobytes()
 
 
 class Bucket:
     def __init__(self, data: bytes):
         n, levels = struct.unpack_from("<QQ", data)
         sizes = np.frombuffer(data, "<i8", levels, 16)
-        at = 16 + 8 * levels
+        at = 16 + 8 * levels + 4 * -(-int(sizes.sum()) // _SAMPLE)
         bits = np.frombuffer(data, np.uint8, int(sizes.sum()) // 8, at)
         self.mph = PerfectHash(sizes, bits)
         self.entries = np.frombuffer(data, _ENTRY, n, at + len(bits))
@@ -293,6 +293,57 @@ class Bucket:
         return e, (at >= 0) & (e["fingerprint"] == _fingerprint(h))
 
 
+def find_in(file, h: int):
+    """The entry of one hash, or None, by a few small reads of an index file: head, a bit's surroundings and rank a level, entry."""
+    n, levels = struct.unpack("<QQ", file.read_at(16, 0))
+    sizes = np.frombuffer(file.read_at(8 * levels, 16), "<i8")
+    total, key = int(sizes.sum()), np.array([h], _U)
+    ranks = 16 + 8 * levels
+    bits = ranks + 4 * -(-total // _SAMPLE)
+    base = 0
+    for level, m in enumerate(sizes.tolist()):
+        bit = base + int(PerfectHash._at(key, level, m)[0])
+        block, inside = divmod(bit, _SAMPLE)
+        size = min(_SAMPLE, total - block * _SAMPLE) // 8
+        flat = np.unpackbits(np.frombuffer(file.read_at(size, bits + block * _SAMPLE // 8), np.uint8), bitorder="little")
+        if flat[inside]:
+            rank = int(np.frombuffer(file.read_at(4, ranks + 4 * block), "<u4")[0]) + int(flat[:inside].sum())
+            entry = np.frombuffer(file.read_at(_ENTRY.itemsize, bits + total // 8 + rank * _ENTRY.itemsize), _ENTRY)[0]
+            return entry if entry["fingerprint"] == _fingerprint(key)[0] else None
+        base += m
+    return None
+
+
+def ids_of(folder: str, manifest: list, n_buckets: int, key: int | None) -> list[np.ndarray]:
+    """The ids of each document of a key, read by place: constant time for a key, whatever the corpus.
+
+    manifest: its rows (shard, path, ...), one a shard.
+    """
+    import xxhash
+
+    seed = xxhash.xxh64_intdigest(int(key is None).to_bytes(4, "little"), 42)
+    named = seed if key is None else xxhash.xxh64_intdigest(int(key).to_bytes(8, "little", signed=True), seed)
+    bucket = (named - (named >> 63 << 64)) % n_buckets
+    fs, at = file_system(f"{folder}/index/bucket-{bucket}")
+    if fs.get_file_info(at).type.name == "NotFound":
+        return []
+    h = int(key_hash(np.array([key or 0], np.int64), np.array([key is not None]))[0])
+    with fs.open_input_file(at) as f:
+        entry = find_in(f, h)
+    if entry is None:
+        return []
+    paths, out = {r.shard: r.path for r in manifest}, []
+    shard, ordinal, left = int(entry["shard"]), int(entry["ordinal"]), int(entry["n_docs"])
+    while left:
+        with Shard(paths[shard]) as s:
+            here = min(left, s.n_docs - ordinal)
+            b = s.bounds(ordinal, here).tolist()
+            out += [s.ids(x, y) for x, y in zip(b, b[1:], strict=False)]
+        left, ordinal = left - here, 0
+        shard = min((x for x in paths if x > shard), default=shard)
+    return out
+
+
 def _bucket_of(column: str, n: int):
     return F.pmod(F.xxhash64(F.col(column).isNull(), column), F.lit(n)).cast("int")
 
@@ -413,11 +464,17 @@ def read_back(found: DataFrame, manifest: DataFrame, with_ids: bool = False) ->
 
 def round_trip(docs: DataFrame, path: str | None = None, end_id: int = 1, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Writes shards and index of all documents below spark.checkpoint.dir and reads each document back by its key."""
+    folder, manifest, n_buckets = write_files(docs, path, end_id, key, text)
+    keys = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id")).distinct()
+    return read_back(lookup(keys, f"{folder}/index", n_buckets), manifest)
+
+
+def write_files(docs: DataFrame, path: str | None = None, end_id: int = 1, key: str = "doc_id", text: str = "text") -> tuple[str, DataFrame, int]:
+    """(folder, manifest, buckets) of the shards and the index of all documents."""
     spark: SparkSession = docs.sparkSession
     folder = shared.shared_folder(spark, "tokens")
     manifest = write_shards(docs, f"{folder}/shards", path, end_id, None, key, text)
     total = sum(r.n_docs for r in manifest.select("n_docs").collect())
     n_buckets = max(1, -(-total // BUCKET_KEYS))
     write_index(manifest, f"{folder}/index", n_buckets)
-    keys = docs.select(F.col(f"`{key}`").cast("long").alias("doc_id")).distinct()
-    return read_back(lookup(keys, f"{folder}/index", n_buckets), manifest)
+    return folder, manifest, n_buckets

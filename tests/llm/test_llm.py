@@ -130,6 +130,15 @@ def test_license_wording(spark):
     assert [r.labels for r in got] == ["mit", "mit", "", "mit"] and got[0].score == 1.0 and 0.5 <= got[1].score < 1 and all(r.n_base == 0 for r in got)
 
 
+def test_license_fragments_are_no_license(spark):
+    """Words of a template over and over, or its grams in another order, are not the template."""
+    isc = licenses.WORDING["isc"].split()
+    parts = [isc[i : i + 6] for i in range(0, len(isc), 6)]
+    texts = ["copies of the software " * 30, "permission notice appear in all copies " * 12, " ".join(w for p in parts[::-1] for w in p), " ".join(isc)]
+    got = licenses.licenses(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id").collect()
+    assert [(r.labels, r.score) for r in got] == [("", 0.0), ("", 0.0), ("", 0.0), ("isc", 1.0)]
+
+
 def test_byte_bpe(docs, plain, empty):
     import public_tokenizers as P
     import tiktoken
@@ -177,6 +186,18 @@ def test_token_files(spark, docs, plain, empty):
     assert tokenfiles.round_trip(empty).count() == 0
 
 
+def test_ids_of_one_key(spark, docs, plain):
+    """Constant-time reads give what the library gives, for null, repeated and unknown keys too."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenfiles.default_path())
+    folder, manifest, n = tokenfiles.write_files(docs)
+    rows = manifest.collect()
+    for k in (None, 7, plain[0][0], plain[5][0], 10**6 + 5, -3, 10**12):
+        want = sorted(tok.encode(t or "", add_special_tokens=False).ids + [1] for i, t in plain if i == k)
+        assert sorted(x.tolist() for x in tokenfiles.ids_of(folder, rows, n, k)) == want
+
+
 def test_perfect_hash():
     h = words.mix(np.arange(20_000, dtype=np.uint64))
     mph = tokenfiles.PerfectHash.of(h)
@@ -206,6 +227,14 @@ def test_pii_score_and_redaction(spark):
     assert got == {1: "mail me: <EMAIL> now", 2: "x <EMAIL> y", 3: "card <CARD>, not 4111 1111 1111 1112 ip <IP>", 4: None}
 
 
+def test_iban_before_capitals(spark):
+    rows = [(1, "pay GB82 WEST 1234 5698 7654 32 EUR 3000 now"), (2, "GB82WEST12345698765432 PLEASE TRANSFER IT NOW AND HERE"), (3, "GB83 WEST 1234 5698 7654 32 EUR"), (4, "DE89370400440532013000.")]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.spans, r.t) for r in pii.report(d).join(d.select("doc_id", pii.redact(F.col("text")).alias("t")), "doc_id").collect()}
+    assert got[1] == ("iban:4:31", "pay <IBAN> EUR 3000 now") and got[2] == ("iban:0:22", "<IBAN> PLEASE TRANSFER IT NOW AND HERE")
+    assert got[3][0] == "" and got[4] == ("iban:0:22", "<IBAN>.")
+
+
 def test_substrings(docs, plain, empty):
     want = brute.substrings([t for _, t in plain])
     same(substrings.deduplicate(docs, block_bytes=50_000).collect(), [(i, *w) for (i, _), w in zip(plain, want, strict=True)])
@@ -333,6 +362,27 @@ def test_html_whole(page, text):
     assert htmltext.page_text(page) == text
 
 
+def test_html_size_and_time():
+    """Text in proportion to the page, and no walk over open elements."""
+    import time
+
+    page = "<table><tr><td>" + "x" * 60_000 + "</td></tr>" + "<tr><td>a<td>b</tr>" * 4000 + "</table>"
+    assert len(htmltext.page_text(page)) < 10 * len(page)
+    wide = "<table><tr>" + "<td>" * 8000 + "z</tr>" + "<tr><td colspan=1000><td>y</tr>" * 2000 + "</table>"
+    assert len(htmltext.page_text(wide)) < 50 * len(wide)
+    began = time.time()
+    htmltext.page_text("<p><button>" + "<div>" * 50_000)
+    assert time.time() - began < 5
+
+
+def test_html_edge_rows(spark):
+    rows = [(1, None, "a", 1), (1, None, "a", 1), (None, "<p>x", "b", 2), (2, "", "c", 3)]
+    d = spark.createDataFrame(rows, "page_id long, html string, text string, n_words long")
+    want = [(1, "", 0, 0), (1, "", 0, 0), (None, "x", 1, 1), (2, "", 0, 0)]
+    assert sorted((tuple(r) for r in htmltext.extract(d).collect()), key=str) == sorted(want, key=str)
+    assert htmltext.extract(d.limit(0)).count() == 0
+
+
 def test_html_query(spark):
     assert htmltext.extract(documents(spark, SF, "pages")).where("n_words > 0").count() == 50
 
