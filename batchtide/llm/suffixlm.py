@@ -46,6 +46,8 @@ _END = b"\n"
 _END_KEY = 0x9D8E7F60514233A5
 #: Distinct runs that a task counts before it hands them on.
 _HELD = 4_000_000
+#: Bytes of text whose runs are numbered at once.
+_STEP = 4 << 20
 _U = np.uint64
 
 
@@ -89,15 +91,35 @@ def _stream(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     pad = _END * DEPTH
     said = [pad + b" ".join(words_of(t, LOWER)) + _END for t in texts]
     lens = np.fromiter(map(len, said), np.int64, len(said))
-    a = np.frombuffer(b"".join(said), np.uint8).astype(_U)
-    size = len(a) - DEPTH
-    g = np.zeros(size, _U)
-    for k in range(DEPTH + 1):
-        g <<= _U(8)
-        g |= a[k : size + k]
+    flat = b"".join(said) + _END * 8
+    # eight bytes from each place on, as one number
+    g = np.ndarray((len(flat) - 7,), ">u8", flat, 0, (1,)).astype(_U) >> _U(8 * (7 - DEPTH))
     doc = np.repeat(np.arange(len(said)), lens - DEPTH)
-    at = np.arange(len(doc)) + doc * DEPTH
-    return g[at], doc
+    return g[np.arange(len(doc)) + doc * DEPTH], doc
+
+
+def _numbered(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(which of the distinct runs each one is, the distinct runs), by a hash table."""
+    import pandas as pd
+
+    return pd.factorize(runs)
+
+
+def _counted(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(the distinct runs, sorted; how often each one stands)."""
+    s = np.sort(runs)
+    new = np.ones(len(s), bool)
+    new[1:] = s[1:] != s[:-1]
+    at = np.flatnonzero(new)
+    return s[at], np.diff(np.append(at, len(s)))
+
+
+def _places(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Where each key is among the sorted known ones; keys are looked up in their order, which is kinder to caches."""
+    order = np.argsort(keys)
+    out = np.empty(len(keys), np.int64)
+    out[order] = np.searchsorted(known, keys[order])
+    return out
 
 
 def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -114,8 +136,8 @@ def count_runs(held: DataFrame) -> DataFrame:
             for path in batch.column("path").to_pylist():
                 keys, texts = blocks.load(path)
                 texts = [t for k, t in zip(keys, texts, strict=True) if is_training(k)]
-                for lo, hi in pieces(texts):
-                    parts.append(np.unique(_stream(texts[lo:hi])[0], return_counts=True))
+                for lo, hi in pieces(texts, _STEP):
+                    parts.append(_counted(_stream(texts[lo:hi])[0]))
                     if len(parts) > 8:
                         parts = [_merge(parts)]
                         if len(parts[0][0]) > _HELD:
@@ -123,10 +145,12 @@ def count_runs(held: DataFrame) -> DataFrame:
         if parts:
             yield row(_merge(parts))
 
+    n = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a task adds up the runs of several blocks
+
     def row(part):
         return pa.RecordBatch.from_arrays([pa.array(part[0].astype(np.int64)), pa.array(part[1].astype(np.int64))], names=["run", "n"])
 
-    return held.select("path", "block").repartition(blocks.spread(held), "block").mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
+    return held.select("path", "block").repartition(n, "block").mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
 
 
 def grow(runs: DataFrame) -> DataFrame:
@@ -184,7 +208,7 @@ def _unasked(keys: np.ndarray) -> np.ndarray:
 
 def _run_keys(keys: list, texts: list[bytes]) -> tuple[np.ndarray, None]:
     """Distinct runs of a block, as keys."""
-    u = [np.unique(_stream(texts[lo:hi])[0]) for lo, hi in pieces(texts)]
+    u = [_counted(_stream(texts[lo:hi])[0])[0] for lo, hi in pieces(texts, _STEP)]
     return np.sort(_asked(np.unique(np.concatenate(u)) if u else np.zeros(0, _U))), None
 
 
@@ -301,11 +325,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
             raise ValueError("a run without its answer")
         worth = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
         end = int(np.searchsorted(known, _U(_END_KEY)))
-        for lo, hi in pieces(texts):
+        for lo, hi in pieces(texts, _STEP):
             w = Words(texts[lo:hi], LOWER)
-            at = np.searchsorted(known, w.hash)
+            at = _places(known, w.hash)
             runs, doc = _stream(texts[lo:hi])
-            u, inv = np.unique(runs, return_inverse=True)
+            which, u = _numbered(runs)
             yield {
                 "doc_id": keys[lo:hi],
                 "held_out": [not is_training(k) for k in keys[lo:hi]],
@@ -313,7 +337,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
                 "n_known": _sums(count[at] > 0, w.first) + int(count[end] > 0),
                 "train_tokens": np.full(hi - lo, n),
                 "base_score": np.array([worth[at[a:b]].sum() for a, b in zip(w.first, w.first[1:], strict=False)]) + worth[end],
-                "score": np.bincount(doc, p_run[np.searchsorted(asked, _asked(u))][inv], hi - lo),
+                "score": np.bincount(doc, p_run[_places(asked, _asked(u))][which], hi - lo),
             }
 
     return blocks.with_answers(held, both, use, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
