@@ -316,28 +316,32 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
     both = told.select("block", "part", "data").unionByName(scored.select("block", (F.col("part") + buckets).cast("int").alias("part"), "data"))
 
     def use(_, keys, texts, parts):
-        known = _word_keys(keys, texts)[0]
+        seen = []
+        for lo, hi in pieces(texts, _STEP):
+            w = Words(texts[lo:hi], LOWER)
+            runs, doc = _stream(texts[lo:hi])
+            which, u = _numbered(runs)
+            seen.append((lo, hi, w.first, w.hash, doc.astype(np.int32), which.astype(np.int32), _asked(u)))
+        # the block's keys, as it asked for them
+        known = np.unique(np.concatenate([np.array([_END_KEY], _U), *(x[3] for x in seen)]))
+        asked = np.unique(np.concatenate([np.zeros(0, _U), *(x[6] for x in seen)]))
         words = int(np.searchsorted(np.cumsum([len(p) for p in parts]), 8 * len(known))) + 1
         count = np.concatenate([np.frombuffer(p, "<i8") for p in parts[:words]])
-        asked = _run_keys(keys, texts)[0]
         p_run = np.concatenate([np.zeros(0), *(np.frombuffer(p, "<f4") for p in parts[words:])])
-        if len(p_run) != len(asked):
-            raise ValueError("a run without its answer")
+        if len(p_run) != len(asked) or len(count) != len(known):
+            raise ValueError("a key without its answer")
         worth = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
         end = int(np.searchsorted(known, _U(_END_KEY)))
-        for lo, hi in pieces(texts, _STEP):
-            w = Words(texts[lo:hi], LOWER)
-            at = _places(known, w.hash)
-            runs, doc = _stream(texts[lo:hi])
-            which, u = _numbered(runs)
+        for lo, hi, first, hashes, doc, which, keyed in seen:
+            at = _places(known, hashes)
             yield {
                 "doc_id": keys[lo:hi],
                 "held_out": [not is_training(k) for k in keys[lo:hi]],
-                "n_tokens": np.diff(w.first) + 1,
-                "n_known": _sums(count[at] > 0, w.first) + int(count[end] > 0),
+                "n_tokens": np.diff(first) + 1,
+                "n_known": _sums(count[at] > 0, first) + int(count[end] > 0),
                 "train_tokens": np.full(hi - lo, n),
-                "base_score": np.array([worth[at[a:b]].sum() for a, b in zip(w.first, w.first[1:], strict=False)]) + worth[end],
-                "score": np.bincount(doc, p_run[_places(asked, _asked(u))][which], hi - lo),
+                "base_score": np.array([worth[at[a:b]].sum() for a, b in zip(first, first[1:], strict=False)]) + worth[end],
+                "score": np.bincount(doc, p_run[_places(asked, keyed)][which], hi - lo),
             }
 
     return blocks.with_answers(held, both, use, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
