@@ -58,12 +58,12 @@ _MOVES = ", ".join(f"CASE WHEN lag(f{p}) OVER w > 0 THEN (lead(f{p}, h) OVER w -
 m AS (SELECT h, x, {_MOVES} FROM f WINDOW w AS (PARTITION BY h ORDER BY hour))
 SELECT h::BIGINT AS horizon, round(sum(x * ya) / sum(x * x), 9) AS slope_a, round(sum(x * yb) / sum(x * x), 9) AS slope_b, round(sum(x * ya) / sum(x * x) - sum(x * yb) / sum(x * x), 9) AS diff FROM m WHERE ya IS NOT NULL AND yb IS NOT NULL GROUP BY h""")
 def common_flow(spark, sf):
-    p = _pair(spark, sf)
-    r = series.common_flow_slopes(p, p.select("coin", "hour", "x"), "fba", "cda", "hour", ["coin"])
+    # rows in order, as hours may be missing
+    p = stats.numbered(_pair(spark, sf), ["coin"], "hour")
+    r = series.common_flow_slopes(p, p.select("coin", "i", "x"), "fba", "cda", "i", ["coin"])
     return r.select(F.col("horizon").cast("long").alias("horizon"), *[F.round(c, 9).alias(c) for c in ("slope_a", "slope_b", "diff")])
 
 
-_M = ("fba", "eff", "rv")
 _HAC = "least(60, floor(4 * pow(n / 100.0, 2.0 / 9)))"
 
 
