@@ -33,7 +33,8 @@ out but by the bits' 6.5 standard deviations.
 
 Sizes: rows of the forest are ranged over tasks by the whole order, so a region
 that holds much of the corpus is many tasks' work; comparisons are dealt by
-component and salted; counts by set are pre-aggregated.  Prefix search works on
+component and salted; components are joined by tasks of EDGES edges each;
+counts by set are pre-aggregated.  Prefix search works on
 a shingle's sets only while they are of several components, and in as many
 tasks as it has pairs of blocks; the order of shingles needs BUCKETS counts,
 whatever the corpus, and any order gives the same pairs.
@@ -67,6 +68,8 @@ UNIT_PAIRS = 4000
 BUCKETS, BLOCK = 1 << 20, 512
 #: Shingles in a part of a family, parts up to which all pairs of parts are compared, and sets that are compared pair by pair.
 SHINGLES, PARTS, SMALL = 1_500_000, 32, 24
+#: Edges that a task joins at once.
+EDGES = 250_000
 _U = np.uint64
 
 
@@ -257,45 +260,63 @@ def stars(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return names[own], names[root[own]]
 
 
-def _contracted(edges: DataFrame) -> DataFrame:
-    """Distinct edges; what a task holds of a component is a star."""
-    schema = "a long, b long"
+def _contracted(edges: DataFrame, count: int) -> DataFrame:
+    """Of at most count edges, what tasks of up to EDGES edges make of them: a star for each component that a task sees."""
+    schema, most = "a long, b long", EDGES
     want = shared.arrow_schema(edges.sparkSession, schema)
 
     def run(batches):
-        parts = [(x.column("a").to_numpy(), x.column("b").to_numpy()) for x in batches if x.num_rows]
-        if parts:
-            high, low = stars(*(np.concatenate(p) for p in zip(*parts, strict=True)))
-            for i in range(0, len(high), 100_000):
-                yield pa.RecordBatch.from_pydict({"a": low[i : i + 100_000], "b": high[i : i + 100_000]}, schema=want)
-
-    plain = edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
+        parts, held = [], 0
+        for x in batches:
+            if held and held + x.num_rows > most:
+                yield from put(parts)
+                parts, held = [], 0
+            parts.append((x.column("a").to_numpy(), x.column("b").to_numpy()))
+            held += x.num_rows
+        if held:
+            yield from put(parts)
+
+    def put(parts):
+        high, low = stars(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+        for i in range(0, len(high), 100_000):
+            yield pa.RecordBatch.from_pydict({"a": low[i : i + 100_000], "b": high[i : i + 100_000]}, schema=want)
+
+    plain = edges.select("a", "b").where("a <> b").coalesce(max(1, -(-count // most)))
     return shared.written(plain.mapInArrow(run, schema), "edges")
 
 
 def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
-    """(uid, root) of every end of an edge; root is the smallest uid that it reaches.
-
-    A task first makes stars of the edges that it holds.  Then, in each round, a
-    node goes to its first neighbour, and to that one's, by an order that is
-    hashed anew, and the edges are drawn between what is left.  The order owes
-    nothing to the uids, so a share of the nodes goes in each round whatever the
-    shape, a chain in the order of its uids included.  It ends when no edge is
-    left; rounds only guards against a fault.  Tables are written between.
+    """(uid, root) of every end of an edge of a written table; root is the smallest uid that it reaches.
+
+    Tasks, in proportion to the edges, first make stars of the edges that they
+    hold.  Then, in each round, a node goes to its first neighbour, and to that
+    one's, by an order that is hashed anew, and the edges are drawn between what
+    is left.  The order owes nothing to the uids, so a share of the nodes goes in
+    each round whatever the shape, a chain in the order of its uids included.
+    Where the edges that are left are one task's share, its stars are whole
+    components and end it; rounds only guards against a fault.  Tables are
+    written between.
     """
-    found = None
-    live = _contracted(edges)
+    found, count = None, edges.count()
+    live = _contracted(edges, count)
     for turn in range(rounds):
-        up = _mates(live, turn)
-        step = shared.written(up.join(up.select(F.col("u").alias("p"), F.col("p").alias("q")), "p").select("u", F.col("q").alias("p")), "roots")
+        whole = count <= EDGES
+        if whole:
+            step = live.select(F.col("b").alias("u"), F.col("a").alias("p"))
+        else:
+            up = _mates(live, turn)
+            step = shared.written(up.join(up.select(F.col("u").alias("p"), F.col("p").alias("q")), "p").select("u", F.col("q").alias("p")), "roots")
         if found is None:
             found = step.select(F.col("u").alias("uid"), F.col("p").alias("root"))
+            if whole:
+                return found.unionByName(found.select(F.col("root").alias("uid"), "root").distinct())
         else:
             found = shared.written(found.join(step.select(F.col("u").alias("root"), F.col("p").alias("to")), "root", "left").select("uid", F.coalesce("to", "root").alias("root")), "roots")
-        drawn = live.join(step.select(F.col("u").alias("a"), F.col("p").alias("x")), "a").join(step.select(F.col("u").alias("b"), F.col("p").alias("y")), "b")
-        live = _contracted(drawn.select(F.col("x").alias("a"), F.col("y").alias("b")))
-        if live.isEmpty():
+        if whole:
             break
+        count = live.count()
+        drawn = live.join(step.select(F.col("u").alias("a"), F.col("p").alias("x")), "a").join(step.select(F.col("u").alias("b"), F.col("p").alias("y")), "b")
+        live = _contracted(drawn.select(F.col("x").alias("a"), F.col("y").alias("b")), count)
     else:
         raise RuntimeError(f"edges are left after {rounds} rounds")
     least = found.groupBy("root").agg(F.min("uid").alias("least"))
@@ -535,7 +556,7 @@ def near_duplicates(docs: DataFrame, k: int = 3, percent: int = 85, key: str = "
     more = link_parts(mixed.where(F.col("parts") <= PARTS), scanned, k, percent)
     large = mixed.where(F.col("parts") > PARTS).select("uid", "root")
     if not large.isEmpty():
-        more = more.unionByName(confirm(prefix_pairs(large, scanned, k, percent), scanned, k, percent))
+        more = shared.written(more.unionByName(confirm(prefix_pairs(large, scanned, k, percent), scanned, k, percent)), "links")
     if not more.isEmpty():
         found = components(links.unionByName(more))
     rooted = first.join(found, first["rep"] == found["uid"], "left").select("node", "doc_id", F.coalesce("root", "rep").alias("root"))

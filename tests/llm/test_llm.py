@@ -505,7 +505,16 @@ def test_one_of_each_row(spark):
     assert got == [(1, "a", 8), (2, "z", 7), (3, "x", 0), (4, "y", 5)]
 
 
-def test_components_of_a_chain(spark):
+@pytest.mark.parametrize("edges", [250_000, 60])
+def test_components_of_a_chain(spark, monkeypatch, edges):
+    """Whether one task holds all edges or few of them; so too for edges in any order, several times."""
+    monkeypatch.setattr(neardup, "EDGES", edges)
+    rng = random.Random(edges)
+    drawn = [(rng.randrange(800), rng.randrange(800)) for _ in range(500)] * 2
+    high, low = neardup.stars(*(np.array(x) for x in zip(*[e for e in drawn if e[0] != e[1]], strict=True)))
+    want = dict(zip(high.tolist(), low.tolist(), strict=True)) | {r: r for r in set(low.tolist())}
+    assert {r.uid: r.root for r in neardup.components(spark.createDataFrame(drawn, "a long, b long").repartition(9)).collect()} == want
+    assert neardup.components(spark.createDataFrame([], "a long, b long")).count() == 0
     chain = [(i, i + 1) for i in range(999)]
     got = neardup.components(spark.createDataFrame([*chain, (5000, 4000), (4000, 4500)], "a long, b long")).collect()
     assert sorted(map(tuple, got)) == [*((i, 0) for i in range(1000)), (4000, 4000), (4500, 4000), (5000, 4000)]
