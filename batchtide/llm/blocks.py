@@ -128,18 +128,18 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(np.ascontiguousarray(raw.T).view("<u8").ravel().astype(_U), dtype=_U)
 
 
-def _cuts(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Where each bucket's slice of sorted keys begins, and the end."""
-    edge = np.array([(b << 64) // buckets for b in range(1, buckets)], _U)
+def _cuts(keys: np.ndarray, buckets: int, low: int = 0) -> np.ndarray:
+    """Where each bucket's slice of sorted keys begins, and the end; keys that differ in the low bits only stay together."""
+    edge = np.array([(b << 64) // buckets >> low << low for b in range(1, buckets)], _U)
     return np.concatenate([[0], np.searchsorted(keys, edge), [len(keys)]])
 
 
 _SLICES = "bucket int, block long, keys binary, numbers binary"
 
 
-def slices(block: int, keys: np.ndarray, numbers: np.ndarray | None, buckets: int) -> Iterator[dict]:
+def slices(block: int, keys: np.ndarray, numbers: np.ndarray | None, buckets: int, low: int = 0) -> Iterator[dict]:
     """Rows of a block's sorted distinct keys and the numbers that go with them."""
-    cut = _cuts(keys, buckets)
+    cut = _cuts(keys, buckets, low)
     full = np.flatnonzero(np.diff(cut)).tolist()
     for lo in range(0, len(full), 64):
         some = full[lo : lo + 64]
@@ -151,40 +151,52 @@ def slices(block: int, keys: np.ndarray, numbers: np.ndarray | None, buckets: in
         }
 
 
-def asked(held: DataFrame, buckets: int, ask: Callable[[list, list[bytes]], tuple[np.ndarray, np.ndarray | None]]) -> DataFrame:
-    """Slices of all blocks.  ask: the sorted distinct keys of a block's documents (keys, texts), and numbers that go with them or None."""
+def asked(held: DataFrame, buckets: int, ask: Callable[[list, list[bytes]], tuple[np.ndarray, np.ndarray | None]], low: int = 0) -> DataFrame:
+    """Slices of all blocks.  ask: the sorted distinct keys of a block's documents (keys, texts), and numbers that go with them or None.
+
+    Keys that differ in the low bits only go to one bucket.
+    """
 
     def out(batch):
         for block, path in zip(batch.column("block").to_pylist(), batch.column("path").to_pylist(), strict=True):
-            yield from slices(block, *ask(*load(path)), buckets)
+            yield from slices(block, *ask(*load(path)), buckets, low)
 
     return shared.arrow(held.select("block", "path").repartition(spread(held), "block"), out, _SLICES)
 
 
-def answered(asked: DataFrame, answer: Callable[[list[np.ndarray], list[bytes], list[int]], tuple[list[bytes], tuple[int, int]]]) -> DataFrame:
-    """Rows (block, part, data, x, y): the answer to each slice, and two figures of each part in one of its rows.
-
-    answer: from the slices of all blocks, their numbers (as bytes) and the blocks to an answer for each and the part's two figures.
-    """
+def by_bucket(asked: DataFrame, work: Callable[[int, list[int], list[np.ndarray], list[bytes]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    """work: from a bucket, the blocks that ask there, their slices and their numbers (as bytes) to rows."""
 
-    def work(batches):
+    def run(batches):
         now, rows = None, []
 
         def put():
-            got, (x, y) = answer([unpack_sorted(k) for _, k, _ in rows], [n or b"" for _, _, n in rows], [b for b, _, _ in rows])
-            return pa.RecordBatch.from_pydict({"block": pa.array([b for b, _, _ in rows], pa.int64()), "part": pa.array([now] * len(rows), pa.int32()), "data": pa.array(got, pa.binary()), "x": pa.array([x] + [0] * (len(got) - 1), pa.int64()), "y": pa.array([y] + [0] * (len(got) - 1), pa.int64())})
+            return work(now, [b for b, _, _ in rows], [unpack_sorted(k) for _, k, _ in rows], [n or b"" for _, _, n in rows])
 
         for batch in batches:
             for bucket, block, k, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "block", "keys", "numbers")), strict=True):
                 if bucket != now and rows:
-                    yield put()
+                    yield from put()
                     rows = []
                 now = bucket
                 rows.append((block, k, n))
         if rows:
-            yield put()
+            yield from put()
+
+    return asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, schema)
+
+
+def answered(asked: DataFrame, answer: Callable[[list[np.ndarray], list[bytes], list[int]], tuple[list[bytes], tuple[int, int]]]) -> DataFrame:
+    """Rows (block, part, data, x, y): the answer to each slice, and two figures of each part in one of its rows.
+
+    answer: from the slices of all blocks, their numbers (as bytes) and the blocks to an answer for each and the part's two figures.
+    """
+
+    def work(bucket, asking, keys, numbers):
+        got, (x, y) = answer(keys, numbers, asking)
+        yield pa.RecordBatch.from_pydict({"block": pa.array(asking, pa.int64()), "part": pa.array([bucket] * len(got), pa.int32()), "data": pa.array(got, pa.binary()), "x": pa.array([x] + [0] * (len(got) - 1), pa.int64()), "y": pa.array([y] + [0] * (len(got) - 1), pa.int64())})
 
-    return asked.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(work, "block long, part int, data binary, x long, y long")
+    return by_bucket(asked, work, "block long, part int, data binary, x long, y long")
 
 
 def with_answers(held: DataFrame, answered: DataFrame, use: Callable[[int, list, list[bytes], list[bytes]], Iterator[dict]], schema: str) -> DataFrame:

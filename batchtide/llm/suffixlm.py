@@ -11,10 +11,13 @@ state's distribution is smoothed towards that of its longest shorter state,
 with SMOOTHING times the number of distinct next symbols as weight.  A text is scored by the longest state that is a suffix
 of what came before.
 
-States of SPLIT symbols or more are dealt by a hash of the last SPLIT symbols,
-which all longer states of a run share; the shorter ones, few for any corpus,
-are read by every task.  Blocks of documents ask for their distinct runs (see
-blocks.py), so no task holds the tree; answers are 32-bit floats.
+A block of documents (see blocks.py) asks for its distinct runs and says how
+often its training texts have them.  Runs are dealt by a hash of the last SPLIT
+symbols of their context, so all that a state of SPLIT symbols or more needs is
+in one bucket: its task adds the counts up, grows the bucket's part of the tree
+and answers from it.  The counts of SPLIT symbols, from which the shorter states
+grow, are at most 256**SPLIT for any corpus and are read by every task.  So no
+task holds the tree; answers are 32-bit floats.
 
 Beside it stand the unigram figures of words: counts of every word in all
 training texts, asked for by blocks of documents (see blocks.py), so that no
@@ -31,6 +34,7 @@ from __future__ import annotations
 
 import zlib
 from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -44,10 +48,10 @@ DEPTH, SPLIT, MIN_COUNT, MIN_DIVERGENCE, SMOOTHING = 6, 3, 64, 0.01, 3
 _ODD = (0x9E3779, 0x85EBCB)
 _END = b"\n"
 _END_KEY = 0x9D8E7F60514233A5
-#: Distinct runs that a task counts before it hands them on.
-_HELD = 4_000_000
 #: Bytes of text whose runs are numbered at once.
-_STEP = 4 << 20
+_STEP = 1 << 20
+#: Bits of a key below the hash that deals it.
+_LOW = 40
 _U = np.uint64
 
 
@@ -105,13 +109,21 @@ def _numbered(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return pd.factorize(runs)
 
 
-def _counted(runs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(the distinct runs, sorted; how often each one stands)."""
-    s = np.sort(runs)
+def _starts(s: np.ndarray) -> np.ndarray:
+    """Where each distinct value of a sorted array begins."""
     new = np.ones(len(s), bool)
     new[1:] = s[1:] != s[:-1]
-    at = np.flatnonzero(new)
-    return s[at], np.diff(np.append(at, len(s)))
+    return np.flatnonzero(new)
+
+
+def _added(values: np.ndarray, first: np.ndarray) -> np.ndarray:
+    return np.add.reduceat(values, first) if len(first) else values[:0]
+
+
+def _distinct(parts: list[np.ndarray]) -> np.ndarray:
+    s = np.concatenate([np.zeros(0, _U), *parts])
+    s.sort()
+    return s[_starts(s)]
 
 
 def _places(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
@@ -122,107 +134,115 @@ def _places(known: np.ndarray, keys: np.ndarray) -> np.ndarray:
     return out
 
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    u, inv = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return u, np.bincount(inv, np.concatenate([p[1] for p in parts]), len(u)).astype(np.int64)
-
-
-def count_runs(held: DataFrame) -> DataFrame:
-    """(run, n): how often each run of symbols stands in the training texts."""
-
-    def run(batches):
-        parts = []
-        for batch in batches:
-            for path in batch.column("path").to_pylist():
-                keys, texts = blocks.load(path)
-                texts = [t for k, t in zip(keys, texts, strict=True) if is_training(k)]
-                for lo, hi in pieces(texts, _STEP):
-                    parts.append(_counted(_stream(texts[lo:hi])[0]))
-                    if len(parts) > 8:
-                        parts = [_merge(parts)]
-                        if len(parts[0][0]) > _HELD:
-                            yield row(parts.pop())
-        if parts:
-            yield row(_merge(parts))
-
-    n = int(held.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # a task adds up the runs of several blocks
-
-    def row(part):
-        return pa.RecordBatch.from_arrays([pa.array(part[0].astype(np.int64)), pa.array(part[1].astype(np.int64))], names=["run", "n"])
-
-    return held.select("path", "block").repartition(n, "block").mapInArrow(run, "run long, n long").groupBy("run").agg(F.sum("n").alias("n"))
-
-
-def grow(runs: DataFrame) -> DataFrame:
-    """States and their next symbols: (depth, context, total, kinds, code, n); code is context and next symbol."""
-    levels, code = {}, runs.select(F.col("run").alias("code"), "n")
-    for d in range(DEPTH, -1, -1):
-        if d < DEPTH:
-            code = code.groupBy(F.col("code").bitwiseAND(F.lit((1 << 8 * (d + 1)) - 1)).alias("code")).agg(F.sum("n").alias("n"))
-        context = F.shiftright("code", 8)
-        totals = code.groupBy(context.alias("context")).agg(F.sum("n").alias("total"), F.count(F.lit(1)).alias("kinds")).where(F.col("total") >= MIN_COUNT)
-        levels[d] = shared.written(code.withColumn("context", context).join(totals, "context"), f"tree-{d}")
-    states = levels[0]
-    out = states.select(F.lit(0).alias("depth"), "context", "total", "kinds", "code", "n")
-    for d in range(1, DEPTH + 1):
-        mask = F.lit((1 << 8 * d) - 1)
-        shorter = levels[d - 1].select(F.col("code").alias("short"), (F.col("n") / F.col("total")).alias("q"))
-        p = F.col("n") / F.col("total")
-        far = (
-            levels[d]
-            .withColumn("short", F.col("code").bitwiseAND(mask))
-            .join(shorter, "short")
-            .groupBy("context")
-            .agg(F.sum(p * F.log(p / F.col("q"))).alias("divergence"), F.first("total").alias("total"), F.first("kinds").alias("kinds"))
-            .where((F.col("divergence") >= MIN_DIVERGENCE) & (F.col("divergence") * F.col("total") >= F.col("kinds")))
-            .select("context")
-        )
-        out = out.unionByName(levels[d].join(far, "context", "left_semi").select(F.lit(d).alias("depth"), "context", "total", "kinds", "code", "n"))
-    return out
-
-
-_COLUMNS = ["depth", "context", "total", "kinds", "code", "n"]
-
-
-def _hashed(context):
-    """A one-to-one hash of 24 bits, of numpy or Spark numbers."""
-    spark = not isinstance(context, np.ndarray)
-    low = (lambda x: x.bitwiseAND(F.lit(0xFFFFFF))) if spark else (lambda x: x & _U(0xFFFFFF))
-    h = low(low(context) * (F.lit(_ODD[0]).cast("long") if spark else _U(_ODD[0])))
-    h = h.bitwiseXOR(F.shiftright(h, 12)) if spark else h ^ (h >> _U(12))
-    return low(h * (F.lit(_ODD[1]).cast("long") if spark else _U(_ODD[1])))
+def count_short(held: DataFrame) -> DataFrame:
+    """(code, n): how often each run of SPLIT symbols stands in the training texts."""
+
+    def out(batch):
+        for path in batch.column("path").to_pylist():
+            keys, texts = blocks.load(path)
+            texts = [t for k, t in zip(keys, texts, strict=True) if is_training(k)]
+            some = [(_stream(texts[lo:hi])[0] & _U(256**SPLIT - 1)).astype(np.uint32) for lo, hi in pieces(texts, _STEP)]
+            s = np.sort(np.concatenate([np.zeros(0, np.uint32), *some]))
+            at = _starts(s)
+            yield {"code": s[at].astype(np.int64), "n": np.diff(np.append(at, len(s)))}
+
+    counts = shared.arrow(held.select("path", "block").repartition(blocks.spread(held), "block"), out, "code long, n long")
+    return counts.groupBy("code").agg(F.sum("n").alias("n"))
+
+
+class Level(NamedTuple):
+    """Contexts of one length, sorted, with their places and numbers of next symbols; codes (context and next symbol), sorted, with their counts."""
+
+    context: np.ndarray
+    total: np.ndarray
+    kinds: np.ndarray
+    code: np.ndarray
+    n: np.ndarray
+
+
+def _level(code: np.ndarray, n: np.ndarray, kept) -> Level:
+    """Sorted codes and their counts by context; kept: the contexts that stay, from a level."""
+    first = _starts(code >> _U(8))
+    level = Level(code[first] >> _U(8), _added(n, first), np.diff(np.append(first, len(code))), code, n)
+    keep = kept(level)
+    each = np.repeat(keep, level.kinds)
+    return Level(level.context[keep], level.total[keep], level.kinds[keep], code[each], n[each])
+
+
+def _divergent(shorter: Level, depth: int):
+    def kept(level: Level) -> np.ndarray:
+        at = _places(shorter.code, level.code & _U(256**depth - 1))
+        q = shorter.n[at] / np.repeat(shorter.total, shorter.kinds)[at]
+        p = level.n / np.repeat(level.total, level.kinds)
+        first = np.cumsum(level.kinds) - level.kinds
+        far = _added(p * np.log(p / q), first)
+        return (far >= MIN_DIVERGENCE) & (far * level.total >= level.kinds)
+
+    return kept
+
+
+def grow(code: np.ndarray, n: np.ndarray, deep: int, shallow: int = 0, shorter: Level | None = None) -> tuple[list[Level], Level | None]:
+    """States of deep down to shallow symbols from the counts of all codes of deep + 1 symbols that end alike.
+
+    shorter: the frequent contexts, states or not, one symbol shorter than the
+    shallow ones; those of deep symbols are given back with the states.
+    """
+    frequent = []
+    for d in range(deep, shallow - 1, -1):
+        code = code & _U(256 ** (d + 1) - 1)
+        order = np.argsort(code)
+        code, n = code[order], n[order]
+        at = _starts(code)
+        code, n = code[at], _added(n, at)
+        frequent.insert(0, _level(code, n, lambda x: x.total >= MIN_COUNT))
+    states = []
+    for d, level in enumerate(frequent, shallow):
+        states.append(_level(level.code, level.n, _divergent(shorter, d)) if d else level)
+        shorter = level
+    return states, shorter
+
+
+def _hashed(context: np.ndarray) -> np.ndarray:
+    """A one-to-one hash of 24 bits."""
+    h = (context & _U(0xFFFFFF)) * _U(_ODD[0]) & _U(0xFFFFFF)
+    h ^= h >> _U(12)
+    return h * _U(_ODD[1]) & _U(0xFFFFFF)
 
 
 def _asked(runs: np.ndarray) -> np.ndarray:
     """Runs as keys whose top bits are the hash of the last SPLIT symbols of the context."""
-    return _hashed(runs >> _U(8)) << _U(40) | (runs >> _U(32)) << _U(16) | (runs & _U(255)) << _U(8)
+    return _hashed(runs >> _U(8)) << _U(_LOW) | (runs >> _U(32)) << _U(16) | (runs & _U(255)) << _U(8)
 
 
 def _unasked(keys: np.ndarray) -> np.ndarray:
-    h, a = keys >> _U(40), [_U(pow(o, -1, 1 << 24)) for o in _ODD]
+    h, a = keys >> _U(_LOW), [_U(pow(o, -1, 1 << 24)) for o in _ODD]
     h = h * a[1] & _U(0xFFFFFF)
     h ^= h >> _U(12)
     h = h * a[0] & _U(0xFFFFFF)
     return (keys >> _U(16) & _U(0xFFFFFF)) << _U(32) | h << _U(8) | keys >> _U(8) & _U(255)
 
 
-def _run_keys(keys: list, texts: list[bytes]) -> tuple[np.ndarray, None]:
-    """Distinct runs of a block, as keys."""
-    u = [_counted(_stream(texts[lo:hi])[0])[0] for lo, hi in pieces(texts, _STEP)]
-    return np.sort(_asked(np.unique(np.concatenate(u)) if u else np.zeros(0, _U))), None
+def _run_keys(keys: list, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct runs of a block, as keys, and how often training texts have them."""
+    every = [np.zeros(0, _U)]
+    for lo, hi in pieces(texts, _STEP):
+        runs, doc = _stream(texts[lo:hi])
+        every.append(runs << _U(8) | np.array([is_training(k) for k in keys[lo:hi]], _U)[doc])
+    s = np.concatenate(every)
+    del every
+    s.sort()
+    at = _starts(s >> _U(8))
+    n = _added(s & _U(255), at)
+    u = _asked(s[at] >> _U(8))
+    order = np.argsort(u)
+    return u[order], n[order].astype("<u4")
 
 
 class Tree:
-    """The states, by depth: sorted contexts with totals, sorted (context, symbol) codes with counts."""
+    """The states, by depth."""
 
-    def __init__(self, table: pa.Table):
-        c = {n: table.column(n).to_numpy() for n in _COLUMNS}
-        self.levels = []
-        for d in range(DEPTH + 1):
-            mine = np.flatnonzero(c["depth"] == d)
-            mine = mine[np.argsort(c["code"][mine], kind="stable")]
-            context, first = np.unique(c["context"][mine], return_index=True)
-            self.levels.append((context.astype(_U), c["total"][mine][first], c["kinds"][mine][first], c["code"][mine].astype(_U), c["n"][mine]))
+    def __init__(self, levels: list[Level]):
+        self.levels = levels
 
     def log10(self, runs: np.ndarray) -> np.ndarray:
         """log10 probability of the last symbol of each run after the others."""
@@ -231,10 +251,10 @@ class Tree:
             if not len(context):
                 continue
             now = runs & _U((1 << 8 * (d + 1)) - 1)
-            at = np.minimum(np.searchsorted(context, now >> _U(8)), len(context) - 1)
+            at = np.minimum(_places(context, now >> _U(8)), len(context) - 1)
             hit = np.flatnonzero(context[at] == now >> _U(8))
             now, at = now[hit], at[hit]
-            i = np.minimum(np.searchsorted(code, now), len(code) - 1)
+            i = np.minimum(_places(code, now), len(code) - 1)
             seen = np.where(code[i] == now, n[i], 0)
             weight = SMOOTHING * kinds[at]
             p[hit] = (seen + weight * p[hit]) / (total[at] + weight)
@@ -248,61 +268,76 @@ class Tree:
         return np.bincount(doc, self.log10(u)[inv], len(texts))
 
 
-def _table(path: str, bucket: int | None = None) -> pa.Table:
-    import pyarrow.fs
+def _read(path: str) -> dict[str, np.ndarray]:
     import pyarrow.parquet as pq
 
     from .tokenfiles import file_system
 
-    fs, at = file_system(path if bucket is None else f"{path}/bucket={bucket}")
-    if fs.get_file_info(at).type == pyarrow.fs.FileType.NotFound:
-        kind = {"depth": pa.int32(), **dict.fromkeys(_COLUMNS[1:], pa.int64())}
-        return pa.table({c: pa.array([], kind[c]) for c in _COLUMNS})
-    return pq.read_table(at, filesystem=fs, columns=_COLUMNS, partitioning=None)
+    fs, at = file_system(path)
+    t = pq.read_table(at, filesystem=fs)
+    return {c: t.column(c).to_numpy() for c in t.column_names}
 
 
-def load(path: str) -> Tree:
-    """The whole tree."""
-    return Tree(_table(path))
+@lru_cache(maxsize=1)
+def _short(path: str) -> tuple[list[Level], Level]:
+    """The states below SPLIT symbols, and the frequent contexts just below it."""
+    c = _read(path)
+    return grow(c["code"].astype(_U), c["n"], SPLIT - 1)
+
+
+def _bucket(path: str, keys: list[np.ndarray], numbers: list[bytes]) -> tuple[Tree, np.ndarray, np.ndarray]:
+    """(the shorter states and those of a bucket, its distinct runs, which of these each asked one is)."""
+    every = np.concatenate(keys)
+    order = np.argsort(every)
+    s = every[order]
+    at = _starts(s)
+    n = _added(np.concatenate([np.frombuffer(x, "<u4") for x in numbers])[order].astype(np.int64), at)
+    which = np.empty(len(s), np.int32)
+    which[order] = np.repeat(np.arange(len(at), dtype=np.int32), np.diff(np.append(at, len(s))))
+    runs = _unasked(s[at])
+    states, shorter = _short(path)
+    train = n > 0
+    return Tree(states + grow(runs[train], n[train], DEPTH, SPLIT, shorter)[0]), runs, which
+
+
+def _answer(path: str):
+    """Answers to slices of a bucket: log10 of each run's last symbol after the others."""
 
+    def answer(slices: list[np.ndarray], numbers: list[bytes], _):
+        tree, runs, which = _bucket(path, slices, numbers)
+        p = tree.log10(runs).astype("<f4")[which]
+        ends = np.cumsum([len(x) for x in slices])
+        return [x.tobytes() for x in np.split(p, ends[:-1])], (0, 0)
 
-@lru_cache(maxsize=1)
-def _top(path: str) -> Tree:
-    return Tree(_table(path, -1))
+    return answer
 
 
-def load_bucket(path: str, bucket: int) -> Tree:
-    """The shorter states, and the others of a bucket."""
-    tree = Tree(_table(path, bucket))
-    tree.levels[:SPLIT] = _top(path).levels[:SPLIT]
-    return tree
+_STATES = "depth int, context long, total long, kinds long, code long, n long"
 
 
-def train(held: DataFrame, buckets: int = 1) -> str:
-    """Grows the tree from blocks and writes it to the shared folder by bucket, -1 for the shorter states; gives its path."""
-    runs = shared.written(count_runs(held), "runs")
+def train(held: DataFrame, buckets: int | None = None) -> str:
+    """Grows the tree from blocks and writes it to the shared folder: its states and their next symbols, and the counts of SPLIT symbols; gives its path."""
     path = shared.shared_folder(held.sparkSession, "suffix-tree")
-    h = _hashed(F.col("context"))
-    # a hash's runs may lie on both sides of a bucket's edge
-    lo, hi = F.shiftright(h * F.lit(buckets).cast("long"), 24), F.least(F.shiftright((h + 1) * F.lit(buckets).cast("long"), 24), F.lit(buckets - 1).cast("long"))
-    states = grow(runs).withColumn("bucket", F.explode(F.when(F.col("depth") < SPLIT, F.array(F.lit(-1).cast("long"))).otherwise(F.sequence(lo, hi))))
-    states.repartition("bucket").sortWithinPartitions("bucket").write.partitionBy("bucket").parquet(path)
-    return path
+    count_short(held).write.parquet(f"{path}/short")
 
+    def states(_, blocks, keys, numbers):
+        for d, level in enumerate(_bucket(f"{path}/short", keys, numbers)[0].levels[SPLIT:], SPLIT):
+            each = [np.repeat(x, level.kinds) for x in level[:3]]
+            yield pa.RecordBatch.from_pydict(dict(zip(want.names, [np.full(len(level.code), d), *each, *level[3:]], strict=True)), schema=want)
 
-def _answer(path: str, buckets: int):
-    """Answers to slices of a bucket: log10 of each run's last symbol after the others."""
+    want = shared.arrow_schema(held.sparkSession, _STATES)
+    blocks.by_bucket(blocks.asked(held, buckets or blocks.bucket_count(held), _run_keys, _LOW), states, _STATES).write.parquet(f"{path}/states")
+    return path
 
-    def answer(slices: list[np.ndarray], numbers, _):
-        u, inv = np.unique(np.concatenate(slices), return_inverse=True)
-        first = int(u[0])
-        bucket = first * buckets >> 64
-        bucket += first >= ((bucket + 1) << 64) // buckets
-        p = load_bucket(path, bucket).log10(_unasked(u)).astype("<f4")[inv]
-        ends = np.cumsum([len(x) for x in slices])
-        return [x.tobytes() for x in np.split(p, ends[:-1])], (0, 0)
 
-    return answer
+def load(path: str) -> Tree:
+    """The whole tree."""
+    c, levels = _read(f"{path}/states"), list(_short(f"{path}/short")[0])
+    for d in range(SPLIT, DEPTH + 1):
+        mine = np.flatnonzero(c["depth"] == d)
+        mine = mine[np.argsort(c["code"][mine])]
+        levels.append(_level(c["code"][mine].astype(_U), c["n"][mine], lambda x: np.ones(len(x.context), bool)))
+    return Tree(levels)
 
 
 def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes: int = blocks.BLOCK_BYTES) -> DataFrame:
@@ -311,8 +346,9 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
     told = shared.written(blocks.answered(blocks.asked(held, blocks.bucket_count(held), _word_keys), _total), "word-counts")
     v, n = told.agg(F.coalesce(F.sum("x"), F.lit(0)), F.coalesce(F.sum("y"), F.lit(0))).first()
     buckets = blocks.bucket_count(held)
-    path = train(held, buckets)
-    scored = blocks.answered(blocks.asked(held, buckets, _run_keys), _answer(path, buckets))
+    path = shared.shared_folder(held.sparkSession, "short-runs")
+    count_short(held).write.parquet(path)
+    scored = blocks.answered(blocks.asked(held, buckets, _run_keys, _LOW), _answer(path))
     both = told.select("block", "part", "data").unionByName(scored.select("block", (F.col("part") + buckets).cast("int").alias("part"), "data"))
 
     def use(_, keys, texts, parts):
@@ -323,11 +359,11 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text", block_bytes:
             which, u = _numbered(runs)
             seen.append((lo, hi, w.first, w.hash, doc.astype(np.int32), which.astype(np.int32), _asked(u)))
         # the block's keys, as it asked for them
-        known = np.unique(np.concatenate([np.array([_END_KEY], _U), *(x[3] for x in seen)]))
-        asked = np.unique(np.concatenate([np.zeros(0, _U), *(x[6] for x in seen)]))
+        known = _distinct([np.array([_END_KEY], _U), *(x[3] for x in seen)])
+        asked = _distinct([x[6] for x in seen])
         words = int(np.searchsorted(np.cumsum([len(p) for p in parts]), 8 * len(known))) + 1
         count = np.concatenate([np.frombuffer(p, "<i8") for p in parts[:words]])
-        p_run = np.concatenate([np.zeros(0), *(np.frombuffer(p, "<f4") for p in parts[words:])])
+        p_run = np.concatenate([np.zeros(0, "<f4"), *(np.frombuffer(p, "<f4") for p in parts[words:])])
         if len(p_run) != len(asked) or len(count) != len(known):
             raise ValueError("a key without its answer")
         worth = np.log10((count + 0.5) / (n + 0.5 * (v + 1)))
