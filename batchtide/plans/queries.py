@@ -28,14 +28,14 @@ MESSAGES_SQL = """SELECT seq, ts, oid, user_id, is_ask, CASE WHEN order_type_id
   orig_sz AS quantity, (status_id = 1 OR status_id = 9) AS accepted FROM {flow} WHERE orig_sz > 0"""
 TRADES_SQL = """SELECT 'cda' AS engine, seq AS trade_id, seq, limit_px AS price, orig_sz AS quantity, oid AS buy_order_id, oid - 1 - seq % 5 AS sell_order_id,
   ts + (seq % 7) * 1000000000 AS ts, 100000000 + (seq % 5 - 2) * 10000 AS reference_price, seq % 2 = 0 AS aggressor_is_ask
-  FROM {flow} WHERE status_id = 1 AND seq % 3 = 0"""
+  FROM {flow} WHERE status_id = 1"""
 BOOKS_SQL = """SELECT seq, ts, CASE WHEN seq % 17 <> 0 THEN limit_px - 20000 END AS best_bid, limit_px + 10000 * (1 + seq % 3) AS best_ask,
   orig_sz AS best_bid_qty, orig_sz % 7 AS best_ask_qty, orig_sz * 40 AS bid_depth, orig_sz * 30 AS ask_depth, orig_sz AS b10, orig_sz * 2 AS a10,
   orig_sz * 3 AS b50, orig_sz * 4 AS a50, orig_sz * 5 AS b100, orig_sz * 6 AS a100, 1000 AS compute_ns FROM {flow}"""
 BATCHES_SQL = """SELECT seq AS batch, ts, ts - 3600000000000 * (1 + seq % 3) AS batch_open_ts, CASE WHEN seq % 200 <> 0 THEN limit_px END AS clearing_price,
   orig_sz * 3 AS demand_at_price, orig_sz + 20 AS supply_at_price, orig_sz - 9 AS net_order_flow, abs(orig_sz * 3 - orig_sz - 20) AS unexecuted_quantity,
   CASE WHEN seq % 3 <> 0 THEN limit_px - 20000 END AS best_unfilled_buy, limit_px + 20000 AS best_unfilled_sell, orig_sz AS b10, orig_sz * 2 AS a10,
-  orig_sz * 3 AS b50, orig_sz * 4 AS a50, orig_sz * 5 AS b100, orig_sz * 6 AS a100, 1000 AS compute_ns FROM {flow} WHERE seq % 40 = 0"""
+  orig_sz * 3 AS b50, orig_sz * 4 AS a50, orig_sz * 5 AS b100, orig_sz * 6 AS a100, 1000 AS compute_ns FROM {flow}"""
 TAPE = "WITH " + FLOW_SQL + ",\n" + ",\n".join(f"{n} AS ({q.format(flow='flow')})" for n, q in (("messages", MESSAGES_SQL), ("trades", TRADES_SQL), ("books", BOOKS_SQL), ("batches", BATCHES_SQL)))
 TAPE += ",\nanchor AS (SELECT min(ts) AS a, max(ts) AS z FROM messages)"
 
@@ -524,12 +524,12 @@ def compare_results(spark, sf):
     return audit.compare(s, s.where("hour % 11 <> 0").withColumn("q", F.when(F.col("hour") % 7 == 0, F.col("q") + 1).otherwise(F.col("q"))), ["hour"], ["q"])
 
 
-@query(f"""{TAPE}, m AS (SELECT * FROM trades WHERE seq % 2 = 0 UNION ALL SELECT 'fba' AS engine, * EXCLUDE (engine) FROM trades WHERE seq % 5 = 0) SELECT row_number() OVER (ORDER BY ts, engine, trade_id)::BIGINT AS place, engine, trade_id, price, quantity FROM m""")
+@query(f"""{TAPE}, m AS (SELECT * FROM trades UNION ALL SELECT 'fba' AS engine, * EXCLUDE (engine) FROM trades) SELECT row_number() OVER (ORDER BY ts, engine, trade_id)::BIGINT AS place, engine, trade_id, price, quantity FROM m""")
 def trade_ledger(spark, sf):
     from ..session import ledger
 
     t = tape(spark, sf, TRADES_SQL)
-    both = reduce(DataFrame.unionByName, [t.where("seq % 2 = 0"), t.where("seq % 5 = 0").withColumn("engine", F.lit("fba"))])
+    both = reduce(DataFrame.unionByName, [t, t.withColumn("engine", F.lit("fba"))])
     return ledger(both).select("place", "engine", "trade_id", "price", "quantity")
 
 
