@@ -9,8 +9,7 @@ engine objects serve the streaming operator.
 from __future__ import annotations
 
 import time
-from bisect import insort
-from heapq import heappop, heappush
+from heapq import heapify, heappop, heappush
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -23,13 +22,17 @@ _BANDS = (10, 50, 100)
 
 
 class _Side:
-    """One side of a book: levels by price, each a list of orders sorted by (ts, oid, arrival).
+    """One side of a book: levels by price, each a heap of orders [ts, oid, arrival, left, user, is_ask, price].
 
+    The first order of a level is open; others that a cancellation took stay,
+    with nothing left, until they come up or are most of their level.
     Prices wait in a heap (negated for bids); empty levels leave it late.
+    With moves, every change of a price's quantity is written down.
     """
 
     def __init__(self, sign: int):
-        self.sign, self.levels, self.heap, self.total, self.depth = sign, {}, [], {}, 0
+        self.sign, self.levels, self.heap, self.total, self.gone, self.depth = sign, {}, [], {}, {}, 0
+        self.moves: tuple[list[int], list[int]] | None = None
 
     def best(self) -> int | None:
         while self.heap:
@@ -39,29 +42,52 @@ class _Side:
             heappop(self.heap)
         return None
 
-    def add(self, price: int, order: list) -> None:
+    def add(self, order: list) -> None:
+        price, left = order[6], order[3]
         level = self.levels.get(price)
         if level is None:
-            level = self.levels[price] = []
-            self.total[price] = 0
-            heappush(self.heap, price * self.sign)
-        if level and order[:2] < level[-1][:2]:
-            insort(level, order, lo=0)
+            self.levels[price], self.total[price] = [order], left
+            if len(self.heap) > 2 * len(self.levels) + 64:
+                self.heap = [p * self.sign for p in self.levels]
+                heapify(self.heap)
+            else:
+                heappush(self.heap, price * self.sign)
         else:
-            level.append(order)
-        self.total[price] += order[3]
-        self.depth += order[3]
-
-    def drop(self, price: int, at: int) -> list:
-        order = self.levels[price].pop(at)
-        self.reduce(price, order[3])
-        return order
-
-    def reduce(self, price: int, quantity: int) -> None:
+            heappush(level, order)
+            self.total[price] += left
+        self.depth += left
+        if self.moves is not None:
+            self.moves[0].append(price)
+            self.moves[1].append(left)
+
+    def take(self, order: list, quantity: int) -> None:
+        """Takes some of an order off, which is the first of its level unless all of it goes."""
+        price = order[6]
+        order[3] -= quantity
         self.depth -= quantity
-        self.total[price] -= quantity
-        if not self.levels[price]:
+        if self.moves is not None:
+            self.moves[0].append(price)
+            self.moves[1].append(-quantity)
+        total = self.total[price] = self.total[price] - quantity
+        if not total:
             del self.levels[price], self.total[price]
+            self.gone.pop(price, None)
+        elif not order[3]:
+            level = self.levels[price]
+            if level[0] is order:
+                heappop(level)
+                while not level[0][3]:
+                    heappop(level)
+                    self.gone[price] -= 1
+            else:
+                gone = self.gone[price] = self.gone.get(price, 0) + 1
+                if 2 * gone > len(level):
+                    level[:] = [o for o in level if o[3]]
+                    heapify(level)
+                    del self.gone[price]
+
+    def orders(self, price: int) -> list[list]:
+        return sorted(o for o in self.levels[price] if o[3])
 
 
 class Continuous:
@@ -69,19 +95,43 @@ class Continuous:
 
     def __init__(self):
         self.sides = {False: _Side(-1), True: _Side(1)}
-        self.where: dict[int, tuple[bool, int]] = {}  # the newest resting order of an oid
+        self.where: dict[int, list] = {}  # the newest resting order of an oid, until any order of that oid ends
+        self.copies: dict[int, dict[tuple, list]] = {}  # of an oid that came again: a heap of its orders for each side and price
         self.arrivals = self.trades = self.submitted = self.filled = 0
 
+    def _rest(self, order: list) -> None:
+        oid = order[1]
+        was = self.where.get(oid)
+        if was is not None or oid in self.copies:
+            kept = self.copies.setdefault(oid, {})
+            if not kept:
+                kept[was[5], was[6]] = [was]
+            heappush(kept.setdefault((order[5], order[6]), []), order)
+        self.where[oid] = order
+        self.sides[order[5]].add(order)
+
+    def _end(self, order: list) -> None:
+        """An order leaves: the first of its oid at its price."""
+        oid = order[1]
+        self.where.pop(oid, None)
+        if oid in self.copies:
+            kept, at = self.copies[oid], (order[5], order[6])
+            heappop(kept[at])
+            if not kept[at]:
+                del kept[at]
+                if not kept:
+                    del self.copies[oid]
+
     def cancel(self, oid: int) -> bool:
-        at = self.where.pop(oid, None)
-        if at is None:
+        """The first order of that oid at the price of its newest goes."""
+        order = self.where.get(oid)
+        if order is None:
             return False
-        side = self.sides[at[0]]
-        for i, o in enumerate(side.levels.get(at[1], ())):
-            if o[1] == oid:
-                side.drop(at[1], i)
-                return True
-        return False
+        if oid in self.copies:
+            order = self.copies[oid][order[5], order[6]][0]
+        self._end(order)
+        self.sides[order[5]].take(order, order[3])
+        return True
 
     def submit(self, ts: int, oid: int, is_ask: bool, limit: int | None, quantity: int, user: str) -> list[tuple]:
         """Fills (trade_id, price, quantity, resting oid, resting user) of a live order; what is left of a limit order rests."""
@@ -91,21 +141,17 @@ class Continuous:
             price = other.best()
             if price is None or (limit is not None and (price < limit if is_ask else price > limit)):
                 break
-            level = other.levels[price]
-            order = level[0]
+            order = other.levels[price][0]
             n = min(left, order[3])
             left -= n
-            order[3] -= n
             fills.append((self.trades, price, n, order[1], order[4]))
             self.trades += 1
             self.filled += 2 * n
-            if not order[3]:
-                level.pop(0)
-                self.where.pop(order[1], None)
-            other.reduce(price, n)
+            if n == order[3]:
+                self._end(order)
+            other.take(order, n)
         if left and limit is not None:
-            self.where[oid] = (is_ask, limit)
-            self.sides[is_ask].add(limit, [ts, oid, self.arrivals, left, user])
+            self._rest([ts, oid, self.arrivals, left, user, is_ask, limit])
             self.arrivals += 1
         return fills
 
@@ -127,7 +173,7 @@ class Continuous:
         """Open orders, best first."""
         for is_ask, side in self.sides.items():
             for p in sorted(side.levels, key=lambda x, s=side.sign: x * s):
-                for ts, oid, _, left, user in side.levels[p]:
+                for ts, oid, _, left, user, *_ in side.orders(p):
                     yield is_ask, p, ts, oid, user, left, False
 
 

@@ -165,3 +165,36 @@ def test_clock_closes_batches_and_skips_empty_ones():
     assert [(x[1], x[2], x[3]) for x in r.out["batch"]] == [(0, 10, 0), (1, 20, 10), (2, 30, 20)]
     r.finish()
     assert r.out["batch"][-1][1:5] == (3, 35, 30, 100) and r.out["trade"][-1][10] == 35
+
+
+def test_cancellations_in_a_deep_level_read_few_orders():
+    # 20,000 orders at one price, cancelled from the back: a scan of the level would read 200 million
+    book, read = Continuous(), [0]
+
+    class Oid(int):
+        def __eq__(self, other):
+            read[0] += 1
+            return int(self) == int(other)
+
+        def __lt__(self, other):
+            read[0] += 1
+            return int(self) < int(other)
+
+        __hash__ = int.__hash__
+
+    for i in range(20_000):
+        book.submit(1, Oid(i), False, 100, 1, "u")
+    assert all(book.cancel(i) for i in reversed(range(1, 20_000)))
+    assert read[0] < 2_000_000
+    assert book.sides[False].depth == 1 and len(book.sides[False].levels[100]) < 4
+    assert [f[3] for f in book.submit(2, 99_999, True, 100, 5, "s")] == [0]
+
+
+def test_cancel_takes_the_first_copy_at_the_newest_price():
+    book = Continuous()
+    for ts, price in ((5, 100), (3, 100), (4, 90), (6, 100)):
+        book.submit(ts, 7, False, price, ts, "u")
+    assert book.cancel(7) and [r[2] for r in book.resting()] == [5, 6, 4]
+    assert not book.cancel(7)
+    book.submit(9, 7, False, 90, 9, "u")
+    assert book.cancel(7) and [r[2] for r in book.resting()] == [5, 6, 9]
