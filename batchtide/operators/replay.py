@@ -1,16 +1,18 @@
 """The two matching engines, as keyed stateful operators.
 
 Records of a coin are worked off in seq order.  A task gets its coins' records
-sorted (coin, seq) and streams through them, so it holds the open orders and
-never a coin's whole history; coins are the unit of parallelism.  The same
-engine objects serve the streaming operator.
+of an engine sorted (coin, seq) and streams through them, so it holds the open
+orders and never a coin's whole history; coins and engines are the units of
+parallelism.  The same engine objects serve the streaming operator.
 """
 
 from __future__ import annotations
 
+import gc
 import time
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -188,29 +190,87 @@ def bands(reference: int, levels) -> tuple[int, ...]:
     return tuple(out)
 
 
+_STEP = 512
+
+
+def schedules(total: dict[int, int], prices: list[int], deltas: list[int], ends: np.ndarray, mid: np.ndarray, told: np.ndarray) -> np.ndarray:
+    """bands() of one side after each of many records: a row a record, a column a band.
+
+    total is the side after the last record, prices and deltas its changes, the
+    first ends[i] of them made by records up to i; told says where mid counts.
+    Records are worked off by _STEP: a step sums the side before it up by price, and its own changes by record and price.
+    """
+    prices, deltas, now = np.array(prices, np.int64), np.array(deltas, np.int64), np.array(list(total), np.int64)
+    at = np.searchsorted(ends, np.arange(len(prices)), "right")
+    known = np.unique(np.concatenate([now, prices]))
+    held, place = np.zeros(len(known), np.int64), np.searchsorted(known, prices)
+    held[np.searchsorted(known, now)] = list(total.values())
+    np.subtract.at(held, place, deltas)
+    most = np.array(_BANDS) + 1
+    whole, rest = np.divmod(mid[:, None], 10_000)
+    far = most * whole + (most * rest - 1) // 10_000  # the farthest p for which abs(p - mid) * 10_000 // mid is within the band
+    low = np.where(mid[:, None] > 0, mid[:, None] - far, np.iinfo(np.int64).min)
+    high = np.where(mid[:, None] > 0, mid[:, None] + far, np.iinfo(np.int64).max)
+    low, high = np.searchsorted(known, low, "left"), np.searchsorted(known, high, "right")
+    out = np.zeros(low.shape, np.int64)
+    for i in range(0, len(ends), _STEP):
+        j = min(i + _STEP, len(ends))
+        before = np.concatenate([[0], np.cumsum(held)])
+        out[i:j] = before[high[i:j]] - before[low[i:j]]
+        m = slice(ends[i - 1] if i else 0, ends[j - 1])
+        if m.start < m.stop:
+            moved, which = np.unique(place[m], return_inverse=True)
+            own = np.zeros((j - i, len(moved) + 1), np.int64)
+            np.add.at(own, (at[m] - i, which + 1), deltas[m])
+            own = own.cumsum(0).cumsum(1)
+            row = np.arange(j - i)[:, None]
+            out[i:j] += own[row, np.searchsorted(moved, high[i:j])] - own[row, np.searchsorted(moved, low[i:j])]
+            np.add.at(held, place[m], deltas[m])
+    return np.where(told[:, None], out, 0)
+
+
 class _Queue:
-    """Open orders of one side by limit price (None: at the market), with the quantity of each price."""
+    """Open orders of one side by limit price (None: at the market), with the quantity of each price.
+
+    A level is a heap of orders [ts, oid, arrival, limit, left, user, is_ask] as in _Side.
+    """
 
     def __init__(self, is_ask: bool):
         self.is_ask = is_ask
-        self.orders: dict[int | None, dict[int, list]] = {}
+        self.orders: dict[int | None, list[list]] = {}
         self.total: dict[int | None, int] = {}
+        self.gone: dict[int | None, int] = {}
 
-    def add(self, number: int, order: list) -> None:
-        self.orders.setdefault(order[3], {})[number] = order
-        self.total[order[3]] = self.total.get(order[3], 0) + order[4]
+    def add(self, order: list) -> None:
+        limit = order[3]
+        level = self.orders.get(limit)
+        if level is None:
+            self.orders[limit], self.total[limit] = [order], order[4]
+        else:
+            heappush(level, order)
+            self.total[limit] += order[4]
 
-    def take(self, number: int, order: list, quantity: int) -> bool:
-        """Takes some of an order off; true if nothing is left of it."""
+    def take(self, order: list, quantity: int) -> None:
+        """Takes some of an order off, which is the first of its level unless all of it goes."""
         limit = order[3]
         order[4] -= quantity
-        self.total[limit] -= quantity
-        if order[4]:
-            return False
-        del self.orders[limit][number]
-        if not self.orders[limit]:
+        total = self.total[limit] = self.total[limit] - quantity
+        if not total:
             del self.orders[limit], self.total[limit]
-        return True
+            self.gone.pop(limit, None)
+        elif not order[4]:
+            level = self.orders[limit]
+            if level[0] is order:
+                heappop(level)
+                while not level[0][4]:
+                    heappop(level)
+                    self.gone[limit] -= 1
+            else:
+                gone = self.gone[limit] = self.gone.get(limit, 0) + 1
+                if 2 * gone > len(level):
+                    level[:] = [o for o in level if o[4]]
+                    heapify(level)
+                    del self.gone[limit]
 
     def limits(self) -> list[int]:
         """Prices, the keenest first."""
@@ -219,10 +279,11 @@ class _Queue:
     def keenest(self) -> int | None:
         return (min if self.is_ask else max)((p for p in self.total if p is not None), default=None)
 
-    def ranked(self):
-        """(number, order) by priority: at the market, then by price, each by time and id."""
+    def heads(self):
+        """The first order by priority (at the market, then by price, each by time and id), again after each that was taken."""
         for p in ([None] if None in self.orders else []) + self.limits():
-            yield from sorted(self.orders[p].items(), key=lambda x: (x[1][0], x[1][1]))
+            while p in self.orders:
+                yield self.orders[p][0]
 
 
 class Batch:
@@ -233,40 +294,63 @@ class Batch:
     """
 
     def __init__(self):
-        self.pool: dict[int, list] = {}  # by arrival: [ts, oid, is_ask, limit or None, left, user]
+        self.pool: dict[int, list] = {}  # by arrival: [ts, oid, arrival, limit or None, left, user, is_ask]
         self.sides = {False: _Queue(False), True: _Queue(True)}
-        self.by_oid: dict[int, list[int]] = {}
-        self.times: list[tuple[int, int]] = []  # newest first, with arrivals that may be gone
+        self.by_oid: dict[int, list | dict[int, list]] = {}  # an open order, or several by arrival
+        self.times: list[tuple[int, int]] = []  # newest first, with arrivals that may be gone; those from settled on are not in it
+        self.settled = 0
         self.last: int | None = None
         self.arrivals = self.trades = self.submitted = 0
 
     def submit(self, ts: int, oid: int, is_ask: bool, limit: int | None, quantity: int, user: str) -> None:
         self.submitted += quantity
-        order = self.pool[self.arrivals] = [ts, oid, is_ask, limit, quantity, user]
-        self.sides[is_ask].add(self.arrivals, order)
-        heappush(self.times, (-ts, self.arrivals))
-        self.by_oid.setdefault(oid, []).append(self.arrivals)
+        number = self.arrivals
+        order = self.pool[number] = [ts, oid, number, limit, quantity, user, is_ask]
+        self.sides[is_ask].add(order)
+        same = self.by_oid.get(oid)
+        if same is None:
+            self.by_oid[oid] = order
+        elif isinstance(same, dict):
+            same[number] = order
+        else:
+            self.by_oid[oid] = {same[2]: same, number: order}
         self.arrivals += 1
 
     def cancel(self, oid: int) -> bool:
         """All open orders of that id go."""
-        hit = False
-        for number in self.by_oid.pop(oid, ()):
-            if (order := self.pool.get(number)) is not None:
-                self._take(number, order[4])
-                hit = True
-        return hit
-
-    def _take(self, number: int, quantity: int) -> None:
-        order = self.pool[number]
-        if self.sides[order[2]].take(number, order, quantity):
-            del self.pool[number]
+        same = self.by_oid.get(oid)
+        if same is None:
+            return False
+        for order in list(same.values()) if isinstance(same, dict) else [same]:
+            self._take(order, order[4])
+        return True
+
+    def _take(self, order: list, quantity: int) -> None:
+        self.sides[order[6]].take(order, quantity)
+        if not order[4]:
+            del self.pool[order[2]]
+            same = self.by_oid[order[1]]
+            if isinstance(same, dict):
+                del same[order[2]]
+            if not isinstance(same, dict) or not same:
+                del self.by_oid[order[1]]
 
     def newest(self) -> int:
         """The latest time of an open order."""
-        while self.times[0][1] not in self.pool:
+        while self.times and self.times[0][1] not in self.pool:
             heappop(self.times)
-        return -self.times[0][0]
+        fresh = [self.pool[n][0] for n in range(self.settled, self.arrivals) if n in self.pool]
+        return max(fresh + [-self.times[0][0]] if self.times else fresh)
+
+    def _settle(self) -> None:
+        """Times of what a batch leaves open."""
+        for n in range(self.settled, self.arrivals):
+            if n in self.pool:
+                heappush(self.times, (-self.pool[n][0], n))
+        self.settled = self.arrivals
+        if len(self.times) > 2 * len(self.pool) + 64:
+            self.times = [(-o[0], n) for n, o in self.pool.items()]
+            heapify(self.times)
 
     def levels(self) -> list[tuple[int | None, bool, int]]:
         return [(p, a, q) for a, side in self.sides.items() for p, q in side.total.items()]
@@ -287,29 +371,25 @@ class Batch:
     def clear(self) -> tuple[int, int, int, list[tuple]] | None:
         """(price, demand, supply, trades); None if there is no limit price.  Trades: (id, quantity, buyer, seller, buy oid, sell oid)."""
         if (found := self.price()) is None:
+            self._settle()
             return None
         price, demand, supply = found
         open_, trades = min(demand, supply), []
         if open_:
-            queues = [self.sides[a].ranked() for a in (False, True)]
-            heads: list = [None, None]
-            matched = []
-            while open_:  # ranked() is read while nothing changes below it; what trades is taken off afterwards
-                for i in (0, 1):
-                    if heads[i] is None or not heads[i][2]:
-                        number, order = next(queues[i])
-                        heads[i] = [number, order, order[4]]
-                quantity = min(heads[0][2], heads[1][2], open_)
-                (b, x, _), (a, y, _) = heads
+            buyers, sellers = (self.sides[a].heads() for a in (False, True))
+            x, y = next(buyers), next(sellers)
+            while open_:
+                quantity = min(x[4], y[4], open_)
                 trades.append((self.trades, quantity, x[5], y[5], x[1], y[1]))
-                matched += [(b, quantity), (a, quantity)]
                 self.trades += 1
                 open_ -= quantity
-                heads[0][2] -= quantity
-                heads[1][2] -= quantity
-            for number, quantity in matched:
-                self._take(number, quantity)
+                for order in (x, y):
+                    self._take(order, quantity)
+                if open_:
+                    x = x if x[4] else next(buyers)
+                    y = y if y[4] else next(sellers)
             self.last = price
+        self._settle()
         return price, demand, supply, trades
 
     def best_unfilled(self) -> tuple[int | None, int | None]:
@@ -319,7 +399,7 @@ class Batch:
         for is_ask, side in self.sides.items():
             last = [None] if None in side.orders else []
             for p in side.limits() + last:
-                for ts, oid, _, limit, left, user in sorted(side.orders[p].values(), key=lambda o: (o[0], o[1])):
+                for ts, oid, _, limit, left, user, _ in sorted(o for o in side.orders[p] if o[4]):
                     yield is_ask, limit, ts, oid, user, left, limit is None
 
 
@@ -333,8 +413,32 @@ class Replay:
         self.opened: int | None = None
         self.batch = 0
         self.last_ts: int | None = None
-        self.depths = (0,) * 6
         self.out: dict[str, list[tuple]] = {"trade": [], "batch": [], "book": []}
+        self._watch()
+
+    def _watch(self) -> None:
+        if self.cda is not None and self.books:
+            for side in self.cda.sides.values():
+                side.moves = ([], [])
+
+    def columns(self, kind: str) -> dict | None:
+        """What has gathered of a kind, by column, which is then let go; None if nothing has."""
+        rows, self.out[kind] = self.out[kind], []
+        if not rows:
+            return None
+        cols = list(zip(*rows, strict=True))
+        if kind != "book":
+            return dict(zip(names(_KINDS[kind]), cols, strict=True))
+        seq, ts, bid, ask, *sizes, bids_moved, asks_moved, spent = cols
+        mids = [b if a is None else a if b is None else (a + b) // 2 for b, a in zip(bid, ask, strict=True)]
+        mid, told = np.array([m or 0 for m in mids], np.int64), np.array([bool(m) for m in mids])
+        out = {"coin": [self.coin] * len(seq), "seq": seq, "ts": ts, "best_bid": bid, "best_ask": ask, **dict(zip(("best_bid_qty", "best_ask_qty", "bid_depth", "ask_depth"), sizes, strict=True))}
+        for is_ask, ends in ((False, bids_moved), (True, asks_moved)):
+            side = self.cda.sides[is_ask]
+            for n, c in zip(DEPTHS[is_ask::2], schedules(side.total, *side.moves, np.array(ends), mid, told).T, strict=True):
+                out[n] = c
+        self._watch()
+        return out | {"compute_ns": spent}
 
     def record(self, seq, ts, oid, is_ask, limit, quantity, user, live, cancel) -> None:
         self.last_ts = ts
@@ -354,22 +458,25 @@ class Replay:
                 self.fba.cancel(oid)
         if self.cda is None:
             return
-        began = time.perf_counter_ns()
-        bid, ask, *_ = self.cda.touch()
-        mid = bid if ask is None else ask if bid is None else (bid + ask) // 2
-        fills = []
+        cda = self.cda
+        began = time.perf_counter_ns() if self.books else 0
         if live:
-            fills = self.cda.submit(ts, oid, is_ask, limit, quantity, user)
+            bids, asks = cda.sides[False], cda.sides[True]
+            bid, ask = bids.best(), asks.best()
+            fills = cda.submit(ts, oid, is_ask, limit, quantity, user)
+            if fills:
+                mid = bid if ask is None else ask if bid is None else (bid + ask) // 2
+                coin, trades = self.coin, self.out["trade"]
+                for n, price, q, other, who in fills:
+                    if is_ask:
+                        trades.append((coin, "cda", n, seq, price, q, who, user, other, oid, ts, mid, True))
+                    else:
+                        trades.append((coin, "cda", n, seq, price, q, user, who, oid, other, ts, mid, False))
         elif cancel:
-            self.cda.cancel(oid)
-        spent = time.perf_counter_ns() - began
-        for n, price, q, other, who in fills:
-            buyer, seller, b, s = (who, user, other, oid) if is_ask else (user, who, oid, other)
-            self.out["trade"].append((self.coin, "cda", n, seq, price, q, buyer, seller, b, s, ts, mid, is_ask))
+            cda.cancel(oid)
         if self.books:
-            if live or cancel:
-                self.depths = self.cda.schedule()
-            self.out["book"].append((self.coin, seq, ts, *self.cda.touch(), *self.depths, spent))
+            spent = time.perf_counter_ns() - began
+            self.out["book"].append((seq, ts, *cda.touch(), len(cda.sides[False].moves[0]), len(cda.sides[True].moves[0]), spent))
 
     def _close(self, ts: int) -> None:
         batch, fba = self.batch, self.fba
@@ -404,28 +511,35 @@ class Replay:
 _KINDS = {"trade": TRADES, "batch": BATCHES, "book": BOOKS}
 
 
-def tagged_schema() -> str:
+def tagged_schema(kinds: tuple[str, ...] = ("trade", "batch", "book", "resting")) -> str:
     """One wide row for trades, batches, books and (at the end) resting orders; ``kind`` says which."""
     cols: dict[str, str] = {}
-    for ddl in (*_KINDS.values(), RESTING):
-        cols |= dict(c.split() for c in ddl.split(", "))
+    for kind in kinds:
+        cols |= dict(c.split() for c in _KINDS.get(kind, RESTING).split(", "))
     return "kind string, " + ", ".join(f"{k} {v}" for k, v in cols.items())
 
 
-def _rows_to_batch(kind: str, ddl: str, rows: list[tuple], want: pa.Schema) -> pa.RecordBatch:
-    named = dict(zip(names(ddl), zip(*rows, strict=True), strict=True))
-    return pa.RecordBatch.from_arrays([pa.array([kind] * len(rows)) if f.name == "kind" else pa.array(named[f.name], f.type) if f.name in named else pa.nulls(len(rows), f.type) for f in want], schema=want)
+_CHUNK = 10_000
 
 
-def taken(replay: Replay, want: pa.Schema, final: tuple[str, ...] = ()):
-    """Record batches of what has gathered, and of the open orders of some engines."""
-    for kind, ddl in _KINDS.items():
-        if rows := replay.out[kind]:
-            yield _rows_to_batch(kind, ddl, rows, want)
+def _to_batches(kind: str, cols: dict, want: pa.Schema):
+    n = len(cols["coin"])
+    cols = {f.name: pa.array(cols[f.name], f.type) for f in want if f.name in cols} | {"kind": pa.array([kind] * n)}
+    whole = pa.RecordBatch.from_arrays([cols[f.name] if f.name in cols else pa.nulls(n, f.type) for f in want], schema=want)
+    for at in range(0, n, _CHUNK):
+        yield whole.slice(at, _CHUNK)
+
+
+def taken(replay: Replay, want: pa.Schema, kinds: tuple[str, ...] = tuple(_KINDS), final: tuple[str, ...] = ()):
+    """Record batches of what has gathered of some kinds, and of the open orders of some engines."""
+    for kind in _KINDS:
+        if kind not in kinds:
             replay.out[kind] = []
+        elif cols := replay.columns(kind):
+            yield from _to_batches(kind, cols, want)
     for engine in final:
         if rows := list(replay.resting(engine)):
-            yield _rows_to_batch(f"resting_{engine}", RESTING, rows, want)
+            yield from _to_batches(f"resting_{engine}", dict(zip(names(RESTING), zip(*rows, strict=True), strict=True)), want)
 
 
 _INPUT = ("coin", "seq", "ts", "oid", "is_ask", "limit", "orig_sz", "user_id", "live", "cancel")
@@ -438,33 +552,53 @@ def prepared(events: DataFrame) -> DataFrame:
     )
 
 
-def replay(events: DataFrame, width: int, engines: tuple[str, ...] = ("cda", "fba"), books: bool = True, resting: bool = False) -> DataFrame:
-    """Tagged rows of the replay of every coin (see tagged_schema).
+def _listed(column: pa.Array) -> list:
+    """to_pylist(), by numpy where a column has numbers."""
+    if pa.types.is_integer(column.type):
+        out = column.fill_null(0).to_numpy().tolist()
+        if column.null_count:
+            for i in np.flatnonzero(column.is_null().to_numpy(zero_copy_only=False)).tolist():
+                out[i] = None
+        return out
+    if pa.types.is_boolean(column.type) and not column.null_count:
+        return column.to_numpy(zero_copy_only=False).tolist()
+    if pa.types.is_string(column.type):
+        column = column.dictionary_encode()
+        names = [*column.dictionary.to_pylist(), None]
+        return [names[i] for i in column.indices.fill_null(len(names) - 1).to_numpy().tolist()]
+    return column.to_pylist()
+
+
+def replay(events: DataFrame, width: int, engines: tuple[str, ...] = ("cda", "fba"), books: bool = True, resting: bool = False, kinds: tuple[str, ...] | None = None) -> DataFrame:
+    """Tagged rows of the replay of every coin (see tagged_schema); of some kinds only, if named.
 
-    Every record moves the clock, so all are read.
+    Every record moves the clock, so all are read, by each engine on its own.
     """
-    schema = tagged_schema()
+    kinds = kinds or ("trade", *["batch"] * ("fba" in engines), *["book"] * (books and "cda" in engines), *["resting"] * resting)
+    schema = tagged_schema(kinds)
     want = arrow(schema)
-    final = tuple(engines) if resting else ()
 
     def run(batches):
+        gc.disable()  # nothing here refers to itself, and every look at the open orders takes long
         now: Replay | None = None
+        engine = None
         for batch in batches:
-            cols = [batch.column(c).to_pylist() for c in _INPUT]
-            for coin, *rest in zip(*cols, strict=True):
-                if now is None or coin != now.coin:
+            cols = [_listed(batch.column(c)) for c in ("engine", *_INPUT)]
+            for of, coin, *rest in zip(*cols, strict=True):
+                if now is None or coin != now.coin or of != engine:
                     if now is not None:
                         now.finish()
-                        yield from taken(now, want, final)
-                    now = Replay(coin, width, engines, books)
+                        yield from taken(now, want, kinds, (engine,) * resting)
+                    now, engine = Replay(coin, width, (of,), books), of
                 now.record(*rest)
             if now is not None:
-                yield from taken(now, want)
+                yield from taken(now, want, kinds)
         if now is not None:
             now.finish()
-            yield from taken(now, want, final)
+            yield from taken(now, want, kinds, (engine,) * resting)
 
-    return prepared(events).repartition("coin").sortWithinPartitions("coin", "seq").mapInArrow(run, schema)
+    each = prepared(events).withColumn("engine", F.explode(F.array(*map(F.lit, engines))))
+    return each.repartition("engine", "coin").sortWithinPartitions("engine", "coin", "seq").mapInArrow(run, schema)
 
 
 def of_kind(tagged: DataFrame, kind: str) -> DataFrame:

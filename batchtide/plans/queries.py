@@ -310,7 +310,7 @@ def cda_replay(spark, sf):
 
 @query(_CDA + "SELECT is_ask, px AS price, ts, oid, (rem - fill)::BIGINT AS quantity FROM step WHERE kind = 0 AND rem > fill AND i = (SELECT max(i) FROM step)")
 def cda_open_orders(spark, sf):
-    return R.of_kind(R.replay(order_flow(spark, sf), W, ("cda",), books=False, resting=True), "resting_cda").select("is_ask", "price", "ts", "oid", "quantity")
+    return R.of_kind(R.replay(order_flow(spark, sf), W, ("cda",), books=False, resting=True, kinds=("resting",)), "resting_cda").select("is_ask", "price", "ts", "oid", "quantity")
 
 
 @query()

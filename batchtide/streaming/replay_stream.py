@@ -36,7 +36,7 @@ class _Engines(StatefulProcessor):
         limit = [None if pd.isna(x) else int(x) for x in d["limit"]]
         for seq, ts, oid, ask, lim, q, u, live, gone in zip(d.seq, d.ts, d.oid, d.is_ask, limit, d.orig_sz, d.user_id, d.live, d.cancel, strict=True):
             r.record(int(seq), int(ts), int(oid), bool(ask), lim, int(q), u, bool(live), bool(gone))
-        out, r.out = r.out, {k: [] for k in r.out}
+        out = {kind: r.columns(kind) for kind in _KINDS}
         self.state.update((pickle.dumps(r, protocol=5),))
         for kind, ddl in _KINDS.items():
             if out[kind]:

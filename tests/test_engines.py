@@ -5,6 +5,10 @@ import random
 import pytest
 
 from batchtide.operators.replay import Batch, Continuous, Replay
+from batchtide.schemas import BOOKS, names
+
+SF = "/root/testdata/sf0.001"
+BOOK_COLUMNS = names(BOOKS)[3:-1]
 
 
 def cda(*orders):
@@ -198,3 +202,51 @@ def test_cancel_takes_the_first_copy_at_the_newest_price():
     assert not book.cancel(7)
     book.submit(9, 7, False, 90, 9, "u")
     assert book.cancel(7) and [r[2] for r in book.resting()] == [5, 6, 9]
+
+
+def test_book_rows_by_column_equal_each_record_s_own():
+    rng = random.Random(8)
+    for low, high in ((95, 105), (9_500, 10_500), (-3, 3)):
+        r, want, got = Replay("C", 1_000, ("cda",)), [], []
+        for i in range(1_500):  # more than a step of schedules()
+            z = rng.random()
+            r.record(i, i, rng.randrange(900), rng.random() < 0.5, None if rng.random() < 0.1 else rng.randint(low, high), rng.randint(1, 20), "u", z < 0.6, 0.6 <= z < 0.9)
+            want.append((*r.cda.touch(), *r.cda.schedule()))
+            if i in (3, 900):
+                got += _books(r)
+        assert got + _books(r) == want
+
+
+def _books(r):
+    c = r.columns("book")
+    return [tuple(None if x is None else int(x) for x in row) for row in zip(*[c[n] for n in BOOK_COLUMNS], strict=True)]
+
+
+def test_replay_gives_named_kinds_and_engines_tasks(spark):
+    from batchtide.operators import replay as R
+    from batchtide.sources.flow import order_flow
+
+    flow = order_flow(spark, SF)
+    d = R.replay(flow, 21_600 * 10**9, resting=True)
+    only = R.replay(flow, 21_600 * 10**9, ("cda",), books=False, resting=True, kinds=("resting",))
+    assert {r[0] for r in only.select("kind").distinct().collect()} == {"resting_cda"}
+    both = {r["kind"]: r["count"] for r in d.groupBy("kind").count().collect()}
+    assert set(both) == {"trade", "batch", "book", "resting_cda", "resting_fba"} and both["resting_cda"] == only.count()
+    assert "price" in only.columns and "clearing_price" not in only.columns
+
+
+def test_deep_batches_sort_only_what_trades():
+    # 3,000 sellers at one price, one of them traded a batch: levels were sorted anew in each
+    b, read = Batch(), [0]
+
+    class Time(int):
+        def __lt__(self, other):
+            read[0] += 1
+            return int(self) < int(other)
+
+    for i in range(3_000):
+        b.submit(Time(i), i, True, 100, 1, "s")
+    for i in range(300):
+        b.submit(Time(3_000 + i), 3_000 + i, False, 100, 1, "b")
+        assert [t[5] for t in b.clear()[3]] == [i]
+    assert read[0] < 100_000 and len(b.pool) == 2_700 == len(b.by_oid)
