@@ -27,7 +27,8 @@ def bounds(messages: DataFrame) -> DataFrame:
 
 
 def _bucketed(df: DataFrame, limits: DataFrame, width: int, ts: str = "ts") -> DataFrame:
-    return df.join(limits.select("coin", "anchor"), "coin").withColumn("bucket", bucket(F.col(ts), F.col("anchor"), width)).drop("anchor")
+    # sent to every task, a row a coin: a shuffle by coin would leave all that follows to one task a coin
+    return df.join(F.broadcast(limits.select("coin", "anchor")), "coin").withColumn("bucket", bucket(F.col(ts), F.col("anchor"), width)).drop("anchor")
 
 
 def _ratio(a: Column, b: Column) -> Column:

@@ -116,7 +116,7 @@ def in_windows(windows: DataFrame, points: DataFrame, lo: str, hi: str, at: str,
     held = windows.withColumns({"_lo": F.col(lo), "_hi": F.col(hi)})
     ends = F.explode(F.array(F.struct(F.lit(-1).alias("sign"), F.col("_lo").alias("x")), F.struct(F.lit(1).alias("sign"), (F.col("_hi") + 1).alias("x"))))
     probes = held.select(*k, "_lo", "_hi").distinct().withColumn("_e", ends).select(*k, "_lo", "_hi", "_e.sign", F.col("_e.x").alias("_x"))
-    found = asof_forward(probes, before, "_x", "_at", "_at", "_before", "_c", k, width).join(total, k, "left")
+    found = asof_forward(probes, before, "_x", "_at", "_at", "_before", "_c", k, width).join(F.broadcast(total), k, "left")
     got = found.groupBy(*k, "_lo", "_hi").agg(F.sum(F.col("sign") * F.coalesce("_c", "_total", F.lit(0))).alias("_count"))
     return held.join(got, [*k, "_lo", "_hi"], "left").select(*windows.columns, F.coalesce(F.greatest("_count", F.lit(0)), F.lit(0)).alias(name))
 

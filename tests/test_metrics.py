@@ -171,3 +171,14 @@ def test_ledger_is_whole(spark):
     rows = [((i * 7919) % 3001 * 10**10, "cda" if i % 3 else "fba", i) for i in range(4000)]
     got = ledger(spark.createDataFrame(rows, "ts long, engine string, trade_id long")).select("place", "ts", "engine", "trade_id").collect()
     assert sorted(map(tuple, got)) == [(i, *r) for i, r in enumerate(sorted(rows), 1)]
+
+
+def test_one_coin_s_rows_are_dealt_by_interval(spark):
+    p = spark.createDataFrame([("C", t, t, float(t)) for t in range(1, 9)], "coin string, ts long, ord long, p double")
+    least = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = metrics.volatility(p, limits(spark, 8), 2)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
+    assert "SortMergeJoin" not in plan and "bucket" in plan[plan.index("hashpartitioning(") :].split(")")[0]
