@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..tables import shared_folder, written  # noqa: F401
+
 
 def documents(spark: SparkSession, sf_dir: str, name: str = "documents") -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -20,19 +21,6 @@ def keyed(docs: DataFrame, key: str = "doc_id", text: str = "text", as_bytes: bo
     return docs.select(F.col(f"`{key}`").cast("long").alias("doc_id"), (t.cast("binary") if as_bytes else t).alias("text"))
 
 
-def shared_folder(spark: SparkSession, kind: str) -> str:
-    """A new folder below spark.checkpoint.dir, which driver and executors share.
-
-    Only where the session names none (single machine, tests) one is set below
-    the warehouse.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/batchtide-{kind}-{uuid.uuid4().hex}"
-
-
 def file_system(uri: str):
     """(file system, path) of a path as Spark writes it."""
     from pyarrow import fs
@@ -45,14 +33,6 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
-def written(df: DataFrame, kind: str) -> DataFrame:
-    """df as a table in the shared folder: it is computed once and lost executors don't lose it."""
-    spark = df.sparkSession
-    path = shared_folder(spark, kind)
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow(df: DataFrame, f: Callable[[pa.RecordBatch], Iterator[dict]], schema: str) -> DataFrame:
     """mapInArrow with a function from a batch to columns by name."""
 

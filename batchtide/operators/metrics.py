@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import NS, UNIT, bucket, deviation_bps
 from ..schemas import INTERVAL_COLUMNS
+from ..tables import written
 from .ordered import asof_forward, dense_grid, forward_fill, in_windows
 
 HORIZONS, LAMBDA_HORIZON = (1, 5, 30), 5
@@ -135,20 +136,21 @@ def book_liquidity(books: DataFrame, limits: DataFrame, width: int) -> DataFrame
 
 def batch_liquidity(batches: DataFrame, messages: DataFrame, limits: DataFrame, width: int) -> DataFrame:
     """Spread, depths, residual share and boundary concentration of cleared batches."""
-    w = batches.withColumn("_window", F.greatest(F.col("ts") - F.col("batch_open_ts"), F.lit(0))).withColumn("_tail", F.col("ts") - F.floor(F.col("_window") / 10))
-    w = in_windows(w, messages, "batch_open_ts", "ts", "ts", "_all", ["coin"], width)
-    w = in_windows(w, messages, "_tail", "ts", "ts", "_late", ["coin"], width)
-    b, cp = _bucketed(w, limits, width), F.col("clearing_price")
-    real = F.col("_window") > 0
+    opened, late = F.greatest(F.col("ts") - F.col("batch_open_ts"), F.lit(0)), F.struct(F.lit(True).alias("_late"), (F.col("ts") - F.floor(F.col("_window") / 10)).alias("_from"))
+    w = batches.select("coin", "ts", "batch_open_ts", opened.alias("_window")).where("_window > 0")
+    # a batch's whole window and its last tenth are two rows, so the messages are counted up once
+    w = w.select("coin", "ts", F.explode(F.array(F.struct(F.lit(False).alias("_late"), F.col("batch_open_ts").alias("_from")), late)).alias("_w")).select("coin", "ts", "_w.*")
+    w = _bucketed(in_windows(w, messages, "_from", "ts", "ts", "_held", ["coin"], width), limits, width)
+    near = w.groupBy(*KEY).agg(_ratio(F.sum(F.when(F.col("_late"), F.col("_held"))), F.sum(F.when(~F.col("_late"), F.col("_held")))).alias("boundary_concentration"))
+    b, cp = _bucketed(batches, limits, width), F.col("clearing_price")
     return b.groupBy(*KEY).agg(
         F.avg(F.when(cp > 0, (F.col("best_unfilled_sell") - F.col("best_unfilled_buy")) / cp * BPS)).alias("quoted_spread_bps"),
         F.avg((F.col("demand_at_price") + F.col("supply_at_price")) / 2.0).alias("depth_at_best"),
         *[F.avg((F.col(f"b{n}") + F.col(f"a{n}")) / 2.0).alias(f"depth_within_{n}bps") for n in (10, 50, 100)],
         _ratio(F.sum("unexecuted_quantity"), F.sum(F.greatest("demand_at_price", "supply_at_price"))).alias("unexecuted_residual_share"),
-        _ratio(F.sum(F.when(real, F.col("_late"))), F.sum(F.when(real, F.col("_all")))).alias("boundary_concentration"),
         F.sum("compute_ns").alias("_spent"),
         F.count(F.lit(1)).alias("_timed"),
-    )
+    ).join(near, KEY, "left")
 
 
 def message_counts(messages: DataFrame, limits: DataFrame, width: int) -> DataFrame:
@@ -159,10 +161,12 @@ def intervals(engine: str, width: int, messages: DataFrame, trades: DataFrame, b
     """coin and the interval table's columns, a row for every interval of the grid.
 
     Both engines of a run share their grid: it comes from the messages.
+    Each part is a table before the next one is planned: the driver holds one
+    part's plan at a time, and the result's plan reads a table.
     """
-    limits = limits if limits is not None else bounds(messages)
+    limits = limits if limits is not None else written(bounds(messages), "bounds")
     trades = trades.where(F.col("engine") == engine)
-    states, prices = order_states(messages, trades), price_series(engine, books, batches)
+    states, prices = written(order_states(messages, trades), "states"), price_series(engine, books, batches)
     parts = [
         traded(trades, states, limits, width),
         realized(trades, prices, limits, width),
@@ -172,7 +176,8 @@ def intervals(engine: str, width: int, messages: DataFrame, trades: DataFrame, b
         message_counts(messages, limits, width),
         book_liquidity(books, limits, width) if engine == "cda" else batch_liquidity(batches, messages, limits, width),
     ]
-    d = reduce(lambda x, y: x.join(y, KEY, "left"), parts, dense_grid(limits, width))
+    parts = [written(p, "interval-part") for p in parts]
+    d = written(reduce(lambda x, y: x.join(y, KEY, "left"), parts, dense_grid(limits, width)), "interval-parts")
     d = forward_fill(d.withColumn("_n", F.floor(F.col("bucket") / width)), "was", "close", "_n", ["coin"], inclusive=False)
     dollars = F.col("executed_notional") / UNIT
     out = {

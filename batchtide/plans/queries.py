@@ -17,6 +17,7 @@ from ..functions import scalars as S
 from ..operators import auction, audit, metrics, ordered, stats
 from ..operators import replay as R
 from ..sources.flow import FLOW_SQL, order_flow
+from ..tables import written
 
 W = 21_600 * 10**9
 HOUR = 3_600 * 10**9
@@ -325,7 +326,7 @@ def replay_intervals(spark, sf):
 def replay_invariants(spark, sf):
     from ..session import replay
 
-    both = replay(order_flow(spark, sf), W).intervals.persist()  # four passes over a few rows
+    both = written(replay(order_flow(spark, sf), W).intervals, "intervals")  # four passes over a few rows
     return audit.invariants(both.where("engine = 'cda'"), "cda", W).withColumn("engine", F.lit("cda")).unionByName(audit.invariants(both.where("engine = 'fba'"), "fba", W).withColumn("engine", F.lit("fba")))
 
 

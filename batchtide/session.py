@@ -12,6 +12,9 @@ from .functions import classify
 from .operators import audit, metrics, stats
 from .operators import replay as R
 from .schemas import METRICS, RESTING, TRADES
+from .tables import written
+
+_FILE_ROWS = 1 << 19  # an engine's replay of a coin is one task, what reads its rows needn't be
 
 
 @dataclass
@@ -23,11 +26,11 @@ class ReplayResult:
 
 
 def replay(events: DataFrame, interval_ns: int) -> ReplayResult:
-    """Both engines over the same records, and their interval tables on one grid."""
-    tagged = R.replay(events, interval_ns).persist()
+    """Both engines over the same records, and their interval tables on one grid; what is read more than once is written."""
+    tagged = written(R.replay(events, interval_ns), "replay", _FILE_ROWS)
     trades, batches, books = (R.of_kind(tagged, k) for k in ("trade", "batch", "book"))
     messages = classify.messages(events)
-    limits = metrics.bounds(messages)
+    limits = written(metrics.bounds(messages), "bounds")
     both = metrics.intervals("fba", interval_ns, messages, trades, batches=batches, limits=limits).unionByName(metrics.intervals("cda", interval_ns, messages, trades, books=books, limits=limits))
     return ReplayResult(trades, batches, books, both)
 

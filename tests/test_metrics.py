@@ -182,3 +182,22 @@ def test_one_coin_s_rows_are_dealt_by_interval(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", least)
     assert "SortMergeJoin" not in plan and "bucket" in plan[plan.index("hashpartitioning(") :].split(")")[0]
+
+
+def test_a_replay_s_tables_are_planned_in_parts(spark, monkeypatch):
+    from batchtide import session
+    from batchtide.sources.flow import order_flow
+
+    lines = lambda d: d._jdf.queryExecution().analyzed().toString().count("\n")
+    seen, kept = [], getattr(metrics, "written", None)
+    monkeypatch.setattr(metrics, "written", lambda d, kind: seen.append(lines(d)) or kept(d, kind), raising=False)
+    d = session.replay(order_flow(spark, "/root/testdata/sf0.001"), 21_600 * NS).intervals
+    assert lines(d) < 200 and max(seen) < 500
+
+
+def test_a_batch_s_windows_are_counted_in_one_pass(spark):
+    b = rows(spark, BATCHES, [{"coin": "C", "batch": i, "ts": 100, "batch_open_ts": at, "clearing_price": 100} for i, at in enumerate((0, 60, 100))])
+    m = rows(spark, MSG, [{"coin": "C", "seq": ts, "ts": ts} for ts in (0, 50, 89, 90, 97, 100, 101)])
+    d = metrics.batch_liquidity(b, m, limits(spark, 101), 1000)
+    assert d.first().boundary_concentration == pytest.approx((3 + 2) / (6 + 4))  # the third has no window
+    assert d._jdf.queryExecution().analyzed().toString().count("Window [") <= 6  # 24 if each window looks up on its own
