@@ -9,7 +9,9 @@ parallelism.  The same engine objects serve the streaming operator.
 from __future__ import annotations
 
 import gc
+import sys
 import time
+from bisect import bisect_left
 from heapq import heapify, heappop, heappush
 
 import numpy as np
@@ -55,6 +57,7 @@ class _Side:
             else:
                 heappush(self.heap, price * self.sign)
         else:
+            order[6] = level[0][6]  # the same number, held once a level
             heappush(level, order)
             self.total[price] += left
         self.depth += left
@@ -247,6 +250,7 @@ class _Queue:
         if level is None:
             self.orders[limit], self.total[limit] = [order], order[4]
         else:
+            order[3] = level[0][3]  # the same number, held once a level
             heappush(level, order)
             self.total[limit] += order[4]
 
@@ -294,19 +298,21 @@ class Batch:
     """
 
     def __init__(self):
-        self.pool: dict[int, list] = {}  # by arrival: [ts, oid, arrival, limit or None, left, user, is_ask]
         self.sides = {False: _Queue(False), True: _Queue(True)}
-        self.by_oid: dict[int, list | dict[int, list]] = {}  # an open order, or several by arrival
-        self.times: list[tuple[int, int]] = []  # newest first, with arrivals that may be gone; those from settled on are not in it
-        self.settled = 0
+        self.by_oid: dict[int, list | dict[int, list]] = {}  # an open order, or several by arrival: [ts, oid, arrival, limit or None, left, user, is_ask]
+        self.open = 0
+        self.times: list[list] = []  # orders that batches left open, newest last; some may be gone since
+        self.fresh: list[list] = []  # orders since the last batch
         self.last: int | None = None
         self.arrivals = self.trades = self.submitted = 0
 
     def submit(self, ts: int, oid: int, is_ask: bool, limit: int | None, quantity: int, user: str) -> None:
         self.submitted += quantity
         number = self.arrivals
-        order = self.pool[number] = [ts, oid, number, limit, quantity, user, is_ask]
+        order = [ts, oid, number, limit, quantity, user, is_ask]
         self.sides[is_ask].add(order)
+        self.fresh.append(order)
+        self.open += 1
         same = self.by_oid.get(oid)
         if same is None:
             self.by_oid[oid] = order
@@ -328,29 +334,38 @@ class Batch:
     def _take(self, order: list, quantity: int) -> None:
         self.sides[order[6]].take(order, quantity)
         if not order[4]:
-            del self.pool[order[2]]
+            self.open -= 1
             same = self.by_oid[order[1]]
             if isinstance(same, dict):
                 del same[order[2]]
             if not isinstance(same, dict) or not same:
                 del self.by_oid[order[1]]
 
+    def orders(self):
+        """Open orders, by id."""
+        for same in self.by_oid.values():
+            yield from same.values() if isinstance(same, dict) else (same,)
+
+    @property
+    def pool(self) -> dict[int, list]:
+        """Open orders by arrival, looked up anew."""
+        return {o[2]: o for o in sorted(self.orders(), key=lambda o: o[2])}
+
     def newest(self) -> int:
         """The latest time of an open order."""
-        while self.times and self.times[0][1] not in self.pool:
-            heappop(self.times)
-        fresh = [self.pool[n][0] for n in range(self.settled, self.arrivals) if n in self.pool]
-        return max(fresh + [-self.times[0][0]] if self.times else fresh)
+        while self.times and not self.times[-1][4]:
+            self.times.pop()
+        fresh = [o[0] for o in self.fresh if o[4]]
+        return max(fresh + [self.times[-1][0]] if self.times else fresh)
 
     def _settle(self) -> None:
-        """Times of what a batch leaves open."""
-        for n in range(self.settled, self.arrivals):
-            if n in self.pool:
-                heappush(self.times, (-self.pool[n][0], n))
-        self.settled = self.arrivals
-        if len(self.times) > 2 * len(self.pool) + 64:
-            self.times = [(-o[0], n) for n, o in self.pool.items()]
-            heapify(self.times)
+        """Puts what a batch leaves open where its time belongs; most come after all others."""
+        fresh, self.fresh = sorted(o for o in self.fresh if o[4]), []
+        if fresh:
+            at = bisect_left(self.times, fresh[0])
+            self.times[at:] = sorted(self.times[at:] + fresh)
+        if 4 * len(self.times) > 5 * self.open + 256:
+            self.times = [o for o in self.times if o[4]]
 
     def levels(self) -> list[tuple[int | None, bool, int]]:
         return [(p, a, q) for a, side in self.sides.items() for p, q in side.total.items()]
@@ -447,7 +462,7 @@ class Replay:
         while ts >= self.opened + self.width:
             self._close(self.opened + self.width)
             self.opened += self.width
-            if self.fba is None or not self.fba.pool:  # nothing can clear until the batch of ts
+            if self.fba is None or not self.fba.open:  # nothing can clear until the batch of ts
                 skip = (ts - self.opened) // self.width
                 self.batch += skip
                 self.opened += skip * self.width
@@ -481,9 +496,9 @@ class Replay:
     def _close(self, ts: int) -> None:
         batch, fba = self.batch, self.fba
         self.batch += 1
-        if fba is None or not fba.pool:
+        if fba is None or not fba.open:
             return
-        levels, orders, newest = fba.levels(), len(fba.pool), fba.newest()
+        levels, orders, newest = fba.levels(), fba.open, fba.newest()
         flow = sum(-q if a else q for _, a, q in levels)
         was = fba.last
         began = time.perf_counter_ns()
@@ -564,7 +579,7 @@ def _listed(column: pa.Array) -> list:
         return column.to_numpy(zero_copy_only=False).tolist()
     if pa.types.is_string(column.type):
         column = column.dictionary_encode()
-        names = [*column.dictionary.to_pylist(), None]
+        names = [*map(sys.intern, column.dictionary.to_pylist()), None]  # an open order's user is held once
         return [names[i] for i in column.indices.fill_null(len(names) - 1).to_numpy().tolist()]
     return column.to_pylist()
 

@@ -93,9 +93,9 @@ class Session:
 
     def clear(self) -> dict | None:
         """Clears the batch; None if it has no limit price."""
-        if not self.fba.pool:
+        if not self.fba.open:
             return None
-        newest, was = max(o[0] for o in self.fba.pool.values()), self.fba.last
+        newest, was = self.fba.newest(), self.fba.last
         got = self.fba.clear()
         if got is None:
             return None
@@ -135,7 +135,7 @@ class Session:
                 "volume": sum(t[5] for t in done), "notional": sum(t[4] * t[5] for t in done),
             }
         buy, sell = self.fba.best_unfilled()
-        pending = sum(o[4] for o in self.fba.pool.values())
+        pending = sum(o[4] for o in self.fba.orders())
         ref = self.fba.last if self.fba.last is not None else (buy + sell) // 2 if buy is not None and sell is not None else None
         return {
             "best_buy": buy, "best_sell": sell, "spread_bps": (sell - buy) / ref * 1e4 if ref and buy is not None and sell is not None else None,

@@ -250,3 +250,25 @@ def test_deep_batches_sort_only_what_trades():
         b.submit(Time(3_000 + i), 3_000 + i, False, 100, 1, "b")
         assert [t[5] for t in b.clear()[3]] == [i]
     assert read[0] < 100_000 and len(b.pool) == 2_700 == len(b.by_oid)
+
+
+def test_an_open_order_is_held_once():
+    import sys
+
+    import pyarrow as pa
+
+    from batchtide.operators.replay import Batch, _listed
+
+    b = Batch()
+    for at in range(0, 4000, 100):
+        users = _listed(pa.array([f"user {i % 7}" for i in range(100)]))
+        for i, who in zip(range(at, at + 100), users, strict=True):
+            b.submit(10**18 - abs(i - 50), i, i % 2 == 1, int("1000000") + i % 2 * 1000, 5, who)
+        b.clear()
+    assert len(b.pool) == 4000 == len(list(b.resting()))
+    assert len({id(o[5]) for o in b.pool.values()}) == 7 and len({id(o[3]) for o in b.pool.values()}) == 2
+    assert sum(sys.getsizeof(x) for x in b.times) <= 4000 * sys.getsizeof(next(iter(b.pool.values()))) and all(x is b.pool[x[2]] for x in b.times)
+    for i in range(4000):
+        assert i % 1000 or b.newest() == max(o[0] for o in b.pool.values())
+        b.cancel(i)
+    assert not b.pool and not b.by_oid
